@@ -50,3 +50,46 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import roundtrip
 
     return roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _mixing_sql() -> str:
+    from .mixing import oracle
+
+    return oracle()
+
+
+@query("op3_mixing", _mixing_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
+@query("op2_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import decode, encode
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, drop=True), path, pattern)
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+_TOPK_SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+          FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query("op1_topk", _TOPK_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
