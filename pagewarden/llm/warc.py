@@ -183,21 +183,29 @@ def normalise(source: str, folder: str, spark) -> DataFrame:
     return stage(files.mapInArrow(_normaliser(folder), "archive string, records bigint, bytes bigint"), "normalised")
 
 
-def _reader(batches):
+def _reader(folder: str):
+    def run(batches):
+        system, at = place(folder)
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                with system.open_input_stream(f"{at}/{posixpath.basename(path).removesuffix('.warc.gz')}.idx", compression=None) as f:
+                    yield from _members(data, f.read())
+
+    return run
+
+
+def _members(data: bytes, index: bytes):
     kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.binary(), "whole": pa.bool_()}
-    for batch in batches:
-        for data, index in zip(batch.column("content").to_pylist(), batch.column("index").to_pylist()):
-            entries = [json.loads(x) for x in index.decode().splitlines()]
-            for at in range(0, len(entries), 200):
-                rows = [parse(gzip.decompress(data[x["offset"] : x["offset"] + x["length"]])) for x in entries[at : at + 200]]
-                yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
+    entries = [json.loads(x) for x in index.decode().splitlines()]
+    for at in range(0, len(entries), 200):
+        rows = [parse(gzip.decompress(data[x["offset"] : x["offset"] + x["length"]])) for x in entries[at : at + 200]]
+        yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
 
 
 def read_archives(folder: str, spark) -> DataFrame:
     """The records of normalised archives, each inflated on its own at the offset that the index gives."""
-    files = lambda end: spark.read.format("binaryFile").option("pathGlobFilter", "*" + end).load(folder).select(F.regexp_extract("path", r"([^/]+)\.(warc\.gz|idx)$", 1).alias("name"), "content")
-    both = files(".warc.gz").join(files(".idx").withColumnRenamed("content", "index"), "name")
-    return both.select("content", "index").mapInArrow(_reader, "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary, whole boolean")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
+    return files.mapInArrow(_reader(folder), "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary, whole boolean")
 
 
 def roundtrip(pages: DataFrame, least: int = LEAST_BYTES, folder: str | None = None) -> DataFrame:
