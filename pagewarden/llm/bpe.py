@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 
 #: Longest piece that is encoded in a batch; pieces kept by a worker; characters handled at once.
 BATCH_BYTES = 128
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 CHUNK_CHARS = 1_000_000
+CHUNK_IDS = 200_000
 NONE = np.int64(1) << 60
 
 
@@ -196,10 +197,14 @@ class Vocabulary:
         """Bytes of ids one after another, and where each text's bytes end."""
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length) or not self.length[ids].all()):
             raise ValueError("an id is outside the vocabulary")
-        length = self.length[ids]
-        stop = np.concatenate(([0], np.cumsum(length)))
-        at = np.arange(stop[-1]) + np.repeat(self.start[ids] - stop[:-1], length)
-        return self.blob[at], stop[ends]
+        stop = np.concatenate(([0], np.cumsum(self.length[ids])))
+        out = np.empty(stop[-1], dtype=np.uint8)
+        for a in range(0, len(ids), CHUNK_IDS):
+            some = ids[a : a + CHUNK_IDS]
+            begin = stop[a : a + len(some)]
+            at = np.arange(begin[0], stop[a + len(some)]) + np.repeat(self.start[some] - begin, self.length[some])
+            out[begin[0] : stop[a + len(some)]] = self.blob[at]
+        return out, stop[ends]
 
 
 _READY: dict = {}
