@@ -93,3 +93,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op10_main_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
