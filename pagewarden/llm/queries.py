@@ -100,3 +100,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .extract import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
