@@ -5,15 +5,15 @@ start: its smallest id stands for it. Representatives get BANDS bands of ROWS Mi
 bands make them candidates. At Jaccard similarity s a pair shares a band with probability
 1 - (1 - s^ROWS)^BANDS: at 0.8 all but 5e-8 of the pairs, more above.
 
-Candidates are not paired off within a bucket. A bucket's smallest member is its centre, and every
-other member is a candidate of that centre: as many pairs as rows. The odd sketch of a document, the
-parity bitmap of its MinHash samples, decides which of them to verify: the population count of the XOR of two
+Candidates are not paired off. First a bucket's smallest member is its centre, and every other
+member a candidate of that centre: as many pairs as rows. The odd sketch of a document, the parity
+bitmap of its MinHash samples, decides which of them to verify: the population count of the XOR of two
 sketches estimates their similarity, precisely where it is high. Pairs whose estimate is far below the
-threshold go; the margin MARGIN is over five standard deviations. Of a document's remaining centres the most similar is
-verified first, on the full sets, and verified links give components. Then each bucket is looked at
-again: members that still are in another component than their centre are candidates of all the
-bucket's components, each present by a few rows. Rounds go on until no bucket holds an unsettled pair
-of components, so every link that bands reveal between components is found or refuted.
+threshold go; the margin MARGIN is over four standard deviations. Of a document's remaining centres the
+most similar is verified on the full sets, and verified links give components. Then buckets that
+still hold several components are compared in full: by sketches, block against block, which leaves
+the members with a plausible partner in another component, and those by their sets until two
+components are found to be linked. So every link between components that the bands reveal is found or refuted.
 
 Cases: text that is null or without words has the empty set, linked with nothing; with fewer words
 than a shingle, the whole sequence is the one shingle; rows that repeat a doc_id are linked like
@@ -25,15 +25,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, components, fresh, stage
+from .common import attach, components, stage
 
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 1024
 #: How far below the threshold an estimate may be for the pair still to be verified.
 MARGIN = 0.16
+#: Members of a bucket whose sketches, and documents whose sets, are compared at once with as many others.
+SKETCH_BLOCK, SET_BLOCK = 512, 128
 KEPT_WORDS = 300_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20240501).integers(1, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
@@ -164,7 +166,7 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id", rounds: int = 40) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs: documents are linked when
     100 * common >= percent * union of their shingle sets, and components are those of the links."""
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -177,25 +179,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     sketches = classes.select("rep", "sketch", "size")
 
     most = most_differing(percent / 100)
-    # Pairs of a member and its centre; later, of what lies in one bucket and different components.
     pairs = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links, tried, found = None, None, None
-    for number in range(rounds):
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        near = _plausible(stage(pairs, "pairs"), sketches, most, percent)
-        if number == 0:  # just the most similar centre of each document
-            near = near.groupBy("b").agg(F.min(F.struct("z", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        chosen = stage(near.select("a", "b"), "chosen")
-        if number and not chosen.limit(1).count():
-            break
-        tried = chosen if tried is None else tried.unionByName(chosen)
-        new = stage(_verified(chosen, source, width, percent), "links").filter("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        found = components(links)
-        pairs = _open_pairs(members, found)
-    else:
-        raise RuntimeError("near-duplicate search did not settle")
+    near = _plausible(stage(pairs, "pairs"), sketches, most, percent)
+    chosen = stage(near.groupBy("b").agg(F.min(F.struct("z", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "chosen")
+    links = stage(_verified(chosen, source, width, percent), "links").filter("linked").select("a", "b")
+    more = _links_between(members, components(links), sketches, source, most, width, percent)
+    found = components(links.unionByName(more))
     labelled = stage(classes.select("print", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("print", "n", F.coalesce("component", "rep").alias("component_id")), "membership")
     full = rows.select("doc_id", "n_shingles", "print")
     linked = attach(full.filter("print IS NOT NULL AND doc_id IS NOT NULL"), labelled, ["print"], "n", ["doc_id"]).select("doc_id", "n_shingles", "component_id")
@@ -221,24 +210,111 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, most: int, percent: int) -
 
 def _verified(pairs: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     """pairs with `linked`, by the full sets, which are made anew for just the documents of pairs."""
-    wanted = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
-    texts = source.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stage(texts.mapInArrow(_only_sets(width), "doc_id bigint, set binary").withColumnRenamed("doc_id", "rep"), "sets")
+    sets = _full_sets(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))), source, width)
     return _with_both(pairs, sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean")
 
 
-def _open_pairs(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of representatives that share a bucket and are in different components."""
-    labels = stage(members.groupBy("rep").agg(F.count("*").alias("n")).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("component")), "labels")
-    marked = stage(members.join(labels.drop("n"), "rep"), "marked")
+def _full_sets(reps: DataFrame, source: DataFrame, width: int) -> DataFrame:
+    """rep, set for the documents that reps names; of rows that share an id the first text in order."""
+    texts = source.join(reps.distinct(), source["doc_id"] == F.col("rep"), "left_semi")
+    sets = texts.mapInArrow(_only_sets(width), "doc_id bigint, set binary")
+    return stage(sets.groupBy(F.col("doc_id").alias("rep")).agg(F.min("set").alias("set")), "sets")
+
+
+def _links_between(members: DataFrame, found: DataFrame, sketches: DataFrame, source: DataFrame, most: int, width: int, percent: int) -> DataFrame:
+    """A link for any two components that have linked members in one bucket.
+
+    All members of a bucket that holds several components are compared by sketch, block by block, and
+    nothing is returned but the members with a plausible partner in another component. Those of two such
+    components are then compared by full sets, block by block, until a link is found."""
+    labels = stage(members.groupBy("rep").agg(F.count("*").alias("w")).join(found.withColumnRenamed("node", "rep"), "rep", "left").join(sketches, "rep").select("rep", "w", F.coalesce("component", "rep").alias("component"), "sketch", "size"), "labels")
+    marked = stage(members.select("rep", "band", "key").join(labels.select("rep", "component"), "rep"), "marked")
     mixed = marked.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
     mixed = stage(mixed.select("band", "key", "n"), "mixed")
-    rest = stage(attach(marked, mixed, ["band", "key"], "n", ["rep"]).select("band", "key", "rep", "component"), "rest")
-    sizes = stage(rest.groupBy("band", "key", "component").agg(F.count("*").alias("m"), F.min("rep").alias("rep")), "parts")
-    # Members of every component but the bucket's largest meet all members of the others.
-    order = Window.partitionBy("band", "key").orderBy(F.desc("m"), "component")
-    ranked = stage(sizes.withColumn("r", F.row_number().over(order)).select("band", "key", "component", "r", "m"), "ranked")
-    small = rest.join(ranked.filter("r > 1").select("band", "key", "component", "r"), ["band", "key", "component"])
-    other = rest.join(ranked.select("band", "key", "component", F.col("r").alias("r2")), ["band", "key", "component"]).select("band", "key", F.col("rep").alias("rep2"), "r2")
-    met = small.join(other, ["band", "key"]).filter("r2 < r")
-    return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    rest = attach(marked, mixed, ["band", "key"], "n", ["rep"]).join(labels.select("rep", "sketch", "size"), "rep")
+    met = _block_pairs(rest, ["band", "key"], SKETCH_BLOCK, F.struct("rep", "component", "size", "sketch"))
+    open_ = met.mapInArrow(_plausible_blocks(most, percent), "rep bigint, component bigint, other bigint").distinct()
+    open_ = stage(open_.withColumns({"low": F.least("component", "other"), "high": F.greatest("component", "other")}).drop("other"), "open")
+    with_sets = open_.join(_full_sets(open_.select("rep"), source, width), "rep")
+    sides = open_.groupBy("low", "high", "component").agg(F.count("*").alias("n"))
+    with_sets = stage(with_sets.join(stage(sides, "sides"), ["low", "high", "component"]), "with_sets")
+    item = F.struct("rep", "set")
+    left = _blocks(with_sets.filter("component = low"), ["low", "high"], SET_BLOCK, item, "left")
+    right = _blocks(with_sets.filter("component = high"), ["low", "high"], SET_BLOCK, item, "right")
+    pairs = left.select("low", "high", "left").join(right.select("low", "high", "right"), ["low", "high"]).select("left", "right")
+    return stage(pairs.mapInArrow(_link_blocks(percent), "a bigint, b bigint"), "links")
+
+
+def _blocks(rows: DataFrame, keys: list[str], size: int, item, name: str) -> DataFrame:
+    """rows(keys, n, rep, ...) packed into blocks of about `size` items; n is the number of a key's rows."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    return rows.groupBy(*keys, "blocks", "block").agg(F.collect_list(item).alias(name))
+
+
+def _block_pairs(rows: DataFrame, keys: list[str], size: int, item) -> DataFrame:
+    """left, right: every two blocks of a key, and each block with itself. The second block's number is
+    part of the join's key, so the pairs of a large key are dealt over as many tasks as it has blocks."""
+    packed = stage(_blocks(rows, keys, size, item, "left"), "packed")
+    first = packed.select(*keys, F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block"), "left")
+    return first.join(packed.select(*keys, "block", F.col("left").alias("right")), [*keys, "block"]).select("left", "right")
+
+
+def _plausible_blocks(most: int, percent: int):
+    def run(batches):
+        for batch in batches:
+            out = []
+            sides = []
+            for name in ("left", "right"):
+                column = batch.column(name)
+                flat = column.flatten()
+                ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+                sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), dtype="<u8").reshape(len(flat), -1)
+                sides.append((ends, *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "size")), sketch))
+            (e, r, c, n, s), (e2, r2, c2, n2, s2) = sides
+            for i in range(batch.num_rows):
+                x, y = slice(e[i], e[i + 1]), slice(e2[i], e2[i + 1])
+                ok = c[x][:, None] != c2[y][None, :]
+                ok &= 100 * np.minimum(n[x][:, None], n2[y][None, :]) >= percent * np.maximum(n[x][:, None], n2[y][None, :])
+                if not ok.any():
+                    continue
+                z = np.zeros(ok.shape, dtype=np.int64)
+                for w in range(s.shape[1]):
+                    z += np.bitwise_count(s[x, w][:, None] ^ s2[y, w][None, :])
+                at, to = np.nonzero(ok & (z <= most))
+                if len(at):
+                    a = np.stack((r[x][at], c[x][at], c2[y][to]), axis=1)
+                    b = np.stack((r2[y][to], c2[y][to], c[x][at]), axis=1)
+                    out.append(np.unique(np.concatenate((a, b)), axis=0))
+            if out:
+                rows = np.unique(np.concatenate(out), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, j]), pa.int64()) for j in range(3)], ["rep", "component", "other"])
+
+    return run
+
+
+def _link_blocks(percent: int):
+    def find(left, right):
+        sets = [[np.frombuffer(x["set"], dtype=np.uint64) for x in side] for side in (left, right)]
+        every, index = np.unique(np.concatenate(sets[0] + sets[1]), return_inverse=True)
+        sizes = [np.array([len(x) for x in side]) for side in sets]
+        cut = int(sizes[0].sum())
+        starts = np.concatenate(([0], np.cumsum(sizes[1])[:-1]))
+        mark = np.zeros(len(every), dtype=np.int64)
+        at = 0
+        for i, n in enumerate(sizes[0]):
+            mark[index[at : at + n]] = 1
+            common = np.add.reduceat(mark[index[cut:]], starts)
+            mark[index[at : at + n]] = 0
+            at += n
+            good = np.flatnonzero(100 * common >= percent * (n + sizes[1] - common))
+            if len(good):
+                return left[i]["rep"], right[good[0]]["rep"]
+        return None
+
+    def run(batches):
+        for batch in batches:
+            got = [x for x in map(find, batch.column("left").to_pylist(), batch.column("right").to_pylist()) if x]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], pa.int64()) for j in range(2)], ["a", "b"])
+
+    return run
