@@ -107,3 +107,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+@query("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "lines_deleted", "runs", F.length("text_kept").cast("long").alias("n_chars_kept"), F.sha2("text_kept", 256).alias("text_sha256"))
