@@ -115,3 +115,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "lines_deleted", "runs", F.length("text_kept").cast("long").alias("n_chars_kept"), F.sha2("text_kept", 256).alias("text_sha256"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, score_toxicity
+
+    out = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
