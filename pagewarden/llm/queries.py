@@ -123,3 +123,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op6_chat")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats, train, transcripts_of
+
+    conversations = table(spark, sf_dir, "conversations")
+    out = format_chats(transcripts_of(conversations), train(conversations))
+    return out.select("conv_id", F.size("roles").cast("long").alias("n_turns"), "roles", F.col("truth").alias("roles_given"), F.sha2("rendered", 256).alias("rendered_sha256"), F.length("rendered").cast("long").alias("n_chars"))
