@@ -57,18 +57,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, spread: list[str], how: str = "inner") -> DataFrame:
-    """rows joined with groups, which has one row for each key and the key's number of rows in `weight`.
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, spread: list[str], how: str = "inner", weights: DataFrame | None = None) -> DataFrame:
+    """rows joined with groups, which has one row for each key. weights (groups itself, unless given) has
+    the number of each key's rows in the column `weight`; it is read twice, so it should be staged.
 
     A hot key's rows are dealt over several tasks by a hash of the columns `spread`, and its one
-    row of groups is copied to each of them. groups is read three times, so it should be staged.
-    The broadcast table holds only hot keys: at most HOT_KEYS, as each has over 1/HOT_KEYS of all rows."""
+    row of groups is copied to each of them. The broadcast table holds only hot keys: at most HOT_KEYS,
+    as each has over 1/HOT_KEYS of all rows."""
+    weights = groups if weights is None else weights
     limit = F.greatest(F.lit(HOT_FLOOR), F.ceil(F.sum(weight) / HOT_KEYS)).cast("long")
-    bound = groups.agg(limit.alias("n")).first()["n"] or HOT_FLOOR
-    hot = groups.filter(F.col(weight) > bound).select(*keys, F.ceil(F.col(weight) / bound).cast("int").alias("_n"))
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_n"))).cast("int")).drop("_n")
-    right = groups.withColumn("_n", F.when(F.col(weight) > bound, F.ceil(F.col(weight) / bound)).otherwise(1).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    bound = weights.agg(limit.alias("n")).first()["n"] or HOT_FLOOR
+    hot = F.broadcast(weights.filter(F.col(weight) > bound).select(*keys, F.ceil(F.col(weight) / bound).cast("int").alias("_n")))
+    left = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_n"))).cast("int")).drop("_n")
+    right = groups.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

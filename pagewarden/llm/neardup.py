@@ -3,7 +3,7 @@
 A document's set holds the hashes of its distinct w-word shingles. Equal sets are one class from the
 start: its smallest id stands for it. Representatives get BANDS bands of ROWS MinHash values; equal
 bands make them candidates. At Jaccard similarity s a pair shares a band with probability
-1 - (1 - s^ROWS)^BANDS: at 0.8 all but 5e-8 of the pairs, more above.
+1 - (1 - s^ROWS)^BANDS: at 0.8 all but 3e-6 of the pairs, more above.
 
 Candidates are not paired off. First a bucket's smallest member is its centre, and every other
 member a candidate of that centre: as many pairs as rows. The odd sketch of a document, the parity
@@ -11,13 +11,13 @@ bitmap of its MinHash samples, decides which of them to verify: the population c
 sketches estimates their similarity, precisely where it is high. Pairs whose estimate is far below the
 threshold go; the margin MARGIN is over four standard deviations. Of a document's remaining centres the
 most similar is verified on the full sets, and verified links give components. Then buckets that
-still hold several components are compared in full: by sketches, block against block, which leaves
-the members with a plausible partner in another component, and those by their sets until two
-components are found to be linked. So every link between components that the bands reveal is found or refuted.
+still hold several components are compared in full: by sketches, block against block, which joins
+the members with a plausible partner in another component to clusters, and within clusters by their
+sets. What comes back from a block is a forest at most, never its pairs. So every link between components that the bands reveal is found or refuted.
 
 Cases: text that is null or without words has the empty set, linked with nothing; with fewer words
-than a shingle, the whole sequence is the one shingle; rows that repeat a doc_id are linked like
-others and carry that id; null ids take no part and come back without component; very long texts are
+than a shingle, the whole sequence is the one shingle; rows that repeat a doc_id with other text are
+one node, linked where any of them is; null ids take no part and come back without component; very long texts are
 taken whole; an empty table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
@@ -30,15 +30,17 @@ from pyspark.sql import functions as F
 
 from .common import attach, components, stage
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 24, 4
+#: MinHash values, of which the bands take the first and the sketch all.
+SAMPLES = 128
 SKETCH_BITS = 1024
 #: How far below the threshold an estimate may be for the pair still to be verified.
 MARGIN = 0.16
-#: Members of a bucket whose sketches, and documents whose sets, are compared at once with as many others.
-SKETCH_BLOCK, SET_BLOCK = 512, 128
+#: Members of a bucket, and shingles of a cluster's documents, that make a block and are compared at once with another.
+SKETCH_BLOCK, SET_BLOCK = 512, 500_000
 KEPT_WORDS = 300_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = np.random.default_rng(20240501).integers(1, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+_SEEDS = np.random.default_rng(20240501).integers(1, 1 << 63, size=(2, SAMPLES), dtype=np.uint64) | np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -77,7 +79,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def signature(sets: np.ndarray) -> np.ndarray:
-    """The BANDS * ROWS MinHash values of a set."""
+    """The SAMPLES MinHash values of a set."""
     mul, add = _SEEDS[0][:, None], _SEEDS[1][:, None]
     best = None
     for at in range(0, len(sets), 2048):
@@ -89,7 +91,7 @@ def signature(sets: np.ndarray) -> np.ndarray:
 def bands(sig: np.ndarray) -> np.ndarray:
     out = np.arange(BANDS, dtype=np.uint64)
     for i in range(ROWS):
-        out = _mixed(out * _GOLD + sig.reshape(BANDS, ROWS)[:, i])
+        out = _mixed(out * _GOLD + sig[: BANDS * ROWS].reshape(BANDS, ROWS)[:, i])
     return out.view(np.int64)
 
 
@@ -101,7 +103,7 @@ def odd_sketch(sig: np.ndarray) -> bytes:
 
 def estimate(differing: np.ndarray) -> np.ndarray:
     """Similarity from the number of differing bits: 1 + n/(4k) ln(1 - 2z/n) for k samples and n bits."""
-    n, k = SKETCH_BITS, BANDS * ROWS
+    n, k = SKETCH_BITS, SAMPLES
     return 1 + n / (4 * k) * np.log(np.maximum(1e-9, 1 - 2 * differing / n))
 
 
@@ -171,11 +173,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     100 * common >= percent * union of their shingle sets, and components are those of the links."""
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stage(source.mapInArrow(_sets(width), "doc_id bigint, n_shingles bigint, print binary, bands array<bigint>, sketch binary"), "signatures")
-    classes = stage(rows.filter("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    shared = stage(shared, "buckets")
-    members = stage(attach(buckets, shared, ["band", "key"], "n", ["rep"]).select("rep", "band", "key", "centre"), "members")
+    classes = stage(rows.filter("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first(F.struct("sketch", F.col("n_shingles").alias("size"), "bands")).alias("f")).select("print", "rep", "n", "f.*"), "classes")
+    buckets = classes.select("rep", F.explode("bands").alias("key"))  # a band's number is in its hash
+    shared = stage(buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    members = stage(attach(buckets, shared, ["key"], "n", ["rep"]).select("rep", "key", "centre", "n"), "members")
     sketches = classes.select("rep", "sketch", "size")
 
     most = most_differing(percent / 100)
@@ -183,7 +184,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     near = _plausible(stage(pairs, "pairs"), sketches, most, percent)
     chosen = stage(near.groupBy("b").agg(F.min(F.struct("z", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "chosen")
     links = stage(_verified(chosen, source, width, percent), "links").filter("linked").select("a", "b")
-    more = _links_between(members, components(links), sketches, source, most, width, percent)
+    found = components(links)
+    more = _links_between(members, near, found, sketches, source, most, width, percent)
     found = components(links.unionByName(more))
     labelled = stage(classes.select("print", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("print", "n", F.coalesce("component", "rep").alias("component_id")), "membership")
     full = rows.select("doc_id", "n_shingles", "print")
@@ -193,12 +195,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 
 
 def _with_both(pairs: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
-    """pairs(a, b) with the columns of facts(rep, ...) for both ends; a may be hot."""
-    for end in ("a", "b"):
-        counts = pairs.groupBy(end).agg(F.count("*").alias("_w"))
-        keyed = stage(counts.join(facts.withColumnRenamed("rep", end).select(end, *[F.col(c).alias(f"{c}_{end}") for c in columns]), end), "ends")
-        pairs = attach(pairs, keyed, [end], "_w", ["b" if end == "a" else "a"]).drop("_w")
-    return pairs
+    """pairs(a, b) with the columns of facts(rep, ...) for both ends; a may be hot, b has few pairs."""
+    named = lambda end: facts.select(F.col("rep").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+    counts = stage(pairs.groupBy("a").agg(F.count("*").alias("_w")), "counts")
+    return attach(pairs.join(named("b"), "b"), named("a").join(counts.select("a"), "a", "left_semi"), ["a"], "_w", ["b"], weights=counts)
 
 
 def _plausible(pairs: DataFrame, sketches: DataFrame, most: int, percent: int) -> DataFrame:
@@ -208,112 +208,145 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, most: int, percent: int) -
     return stage(met.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_differ(most), "a bigint, b bigint, z bigint"), "plausible")
 
 
+def _full_sets(reps: DataFrame, source: DataFrame, width: int) -> DataFrame:
+    """rep, set for the documents that reps names, made anew from their texts."""
+    texts = source.join(reps.distinct(), source["doc_id"] == F.col("rep"), "left_semi")
+    return stage(texts.mapInArrow(_only_sets(width), "doc_id bigint, set binary").withColumnRenamed("doc_id", "rep"), "sets")
+
+
 def _verified(pairs: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs with `linked`, by the full sets, which are made anew for just the documents of pairs."""
+    """pairs with `linked`, by the full sets."""
     sets = _full_sets(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))), source, width)
     return _with_both(pairs, sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean")
 
 
-def _full_sets(reps: DataFrame, source: DataFrame, width: int) -> DataFrame:
-    """rep, set for the documents that reps names; of rows that share an id the first text in order."""
-    texts = source.join(reps.distinct(), source["doc_id"] == F.col("rep"), "left_semi")
-    sets = texts.mapInArrow(_only_sets(width), "doc_id bigint, set binary")
-    return stage(sets.groupBy(F.col("doc_id").alias("rep")).agg(F.min("set").alias("set")), "sets")
-
-
-def _links_between(members: DataFrame, found: DataFrame, sketches: DataFrame, source: DataFrame, most: int, width: int, percent: int) -> DataFrame:
-    """A link for any two components that have linked members in one bucket.
-
-    All members of a bucket that holds several components are compared by sketch, block by block, and
-    nothing is returned but the members with a plausible partner in another component. Those of two such
-    components are then compared by full sets, block by block, until a link is found."""
-    labels = stage(members.groupBy("rep").agg(F.count("*").alias("w")).join(found.withColumnRenamed("node", "rep"), "rep", "left").join(sketches, "rep").select("rep", "w", F.coalesce("component", "rep").alias("component"), "sketch", "size"), "labels")
-    marked = stage(members.select("rep", "band", "key").join(labels.select("rep", "component"), "rep"), "marked")
-    mixed = marked.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
-    mixed = stage(mixed.select("band", "key", "n"), "mixed")
-    rest = attach(marked, mixed, ["band", "key"], "n", ["rep"]).join(labels.select("rep", "sketch", "size"), "rep")
-    met = _block_pairs(rest, ["band", "key"], SKETCH_BLOCK, F.struct("rep", "component", "size", "sketch"))
-    open_ = met.mapInArrow(_plausible_blocks(most, percent), "rep bigint, component bigint, other bigint").distinct()
-    open_ = stage(open_.withColumns({"low": F.least("component", "other"), "high": F.greatest("component", "other")}).drop("other"), "open")
-    with_sets = open_.join(_full_sets(open_.select("rep"), source, width), "rep")
-    sides = open_.groupBy("low", "high", "component").agg(F.count("*").alias("n"))
-    with_sets = stage(with_sets.join(stage(sides, "sides"), ["low", "high", "component"]), "with_sets")
-    item = F.struct("rep", "set")
-    left = _blocks(with_sets.filter("component = low"), ["low", "high"], SET_BLOCK, item, "left")
-    right = _blocks(with_sets.filter("component = high"), ["low", "high"], SET_BLOCK, item, "right")
-    pairs = left.select("low", "high", "left").join(right.select("low", "high", "right"), ["low", "high"]).select("left", "right")
-    return stage(pairs.mapInArrow(_link_blocks(percent), "a bigint, b bigint"), "links")
-
-
-def _blocks(rows: DataFrame, keys: list[str], size: int, item, name: str) -> DataFrame:
-    """rows(keys, n, rep, ...) packed into blocks of about `size` items; n is the number of a key's rows."""
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    return rows.groupBy(*keys, "blocks", "block").agg(F.collect_list(item).alias(name))
-
-
-def _block_pairs(rows: DataFrame, keys: list[str], size: int, item) -> DataFrame:
-    """left, right: every two blocks of a key, and each block with itself. The second block's number is
-    part of the join's key, so the pairs of a large key are dealt over as many tasks as it has blocks."""
-    packed = stage(_blocks(rows, keys, size, item, "left"), "packed")
+def _links_between(members: DataFrame, near: DataFrame, found: DataFrame, sketches: DataFrame, source: DataFrame, most: int, width: int, percent: int) -> DataFrame:
+    """Links for any two components that have linked members in one bucket.
+
+    All members of a bucket that holds several components are compared by sketch, block by block. Returned
+    is not every plausible pair, but a forest that connects the members with a plausible partner in
+    another component: its trees are clusters, outside of which nothing can be linked. The members of a
+    cluster are compared by sketch and full set, block by block again, and links that connect
+    components come back, a forest at most. A bucket of two is settled by the centre's pair."""
+    known = found.withColumnRenamed("node", "rep")
+    labels = stage(members.select("rep").distinct().join(known, "rep", "left").join(sketches, "rep").select("rep", F.coalesce("component", "rep").alias("component"), "sketch", "size"), "labels")
+    of = labels.select("rep", "component")
+    marked = stage(members.filter("n > 2").select("rep", "key").join(of, "rep"), "marked")
+    mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
+    mixed = stage(mixed.select("key", "n"), "mixed")
+    rest = attach(marked.select("key", "rep"), mixed, ["key"], "n", ["rep"]).join(labels, "rep")
+    rest = rest.withColumn("blocks", F.ceil(F.col("n") / SKETCH_BLOCK).cast("int"))
+    forest = _block_pairs(rest, ["key"], F.struct("rep", "component", "size", "sketch")).mapInArrow(_plausible_blocks(most, percent), "a bigint, b bigint").distinct()
+    ends = [of.select(F.col("rep").alias(e), F.col("component").alias(f"c{e}")) for e in ("a", "b")]
+    stars = near.select("a", "b").join(ends[0], "a").join(ends[1], "b").filter("ca <> cb").select("a", "b")
+    clusters = components(stage(forest.unionByName(stars), "plausible")).withColumnsRenamed({"node": "rep", "component": "cluster"})
+    sized = stage(clusters.join(labels, "rep"), "clusters")
+    blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("size") / SET_BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
+    rows = attach(sized, stage(blocks, "blocks"), ["cluster"], "n", ["rep"]).join(_full_sets(clusters.select("rep"), source, width), "rep")
+    met = _block_pairs(rows, ["cluster"], F.struct("rep", "component", "size", "sketch", "set"))
+    return stage(met.mapInArrow(_link_blocks(most, percent), "a bigint, b bigint"), "links")
+
+
+def _block_pairs(rows: DataFrame, keys: list[str], item) -> DataFrame:
+    """left, right: every two blocks of a key's rows, and each block with itself. `blocks` says how many a key
+    has. The second block's number is part of the join's key, so the pairs of a large key are dealt over
+    as many tasks as it has blocks."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    packed = stage(rows.groupBy(*keys, "blocks", "block").agg(F.collect_list(item).alias("left")), "packed")
     first = packed.select(*keys, F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("block"), "left")
     return first.join(packed.select(*keys, "block", F.col("left").alias("right")), [*keys, "block"]).select("left", "right")
 
 
+def _sides(batch, fields: tuple[str, ...]):
+    """For left and right: where each row's items end, their sketches, and their fields."""
+    for name in ("left", "right"):
+        column = batch.column(name)
+        flat = column.flatten()
+        ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+        sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), dtype="<u8").reshape(len(flat), -1)
+        yield ends, sketch, [flat.field(c).to_numpy(zero_copy_only=False) for c in fields]
+
+
+def _could_link(c, n, s, c2, n2, s2, most: int, percent: int) -> np.ndarray:
+    """Which pairs are in different components and allow the threshold by size and sketch."""
+    ok = c[:, None] != c2[None, :]
+    ok &= 100 * np.minimum(n[:, None], n2[None, :]) >= percent * np.maximum(n[:, None], n2[None, :])
+    if ok.any():
+        z = np.zeros(ok.shape, dtype=np.int64)
+        for w in range(s.shape[1]):
+            z += np.bitwise_count(s[:, w][:, None] ^ s2[:, w][None, :])
+        ok &= z <= most
+    return ok
+
+
 def _plausible_blocks(most: int, percent: int):
+    top = np.iinfo(np.int64).max
+
     def run(batches):
         for batch in batches:
             out = []
-            sides = []
-            for name in ("left", "right"):
-                column = batch.column(name)
-                flat = column.flatten()
-                ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
-                sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), dtype="<u8").reshape(len(flat), -1)
-                sides.append((ends, *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "size")), sketch))
-            (e, r, c, n, s), (e2, r2, c2, n2, s2) = sides
+            (e, s, (r, c, n)), (e2, s2, (r2, c2, n2)) = _sides(batch, ("rep", "component", "size"))
             for i in range(batch.num_rows):
                 x, y = slice(e[i], e[i + 1]), slice(e2[i], e2[i + 1])
-                ok = c[x][:, None] != c2[y][None, :]
-                ok &= 100 * np.minimum(n[x][:, None], n2[y][None, :]) >= percent * np.maximum(n[x][:, None], n2[y][None, :])
+                ok = _could_link(c[x], n[x], s[x], c2[y], n2[y], s2[y], most, percent)
                 if not ok.any():
                     continue
-                z = np.zeros(ok.shape, dtype=np.int64)
-                for w in range(s.shape[1]):
-                    z += np.bitwise_count(s[x, w][:, None] ^ s2[y, w][None, :])
-                at, to = np.nonzero(ok & (z <= most))
-                if len(at):
-                    a = np.stack((r[x][at], c[x][at], c2[y][to]), axis=1)
-                    b = np.stack((r2[y][to], c2[y][to], c[x][at]), axis=1)
-                    out.append(np.unique(np.concatenate((a, b)), axis=0))
+                a, b = r[x].copy(), r2[y].copy()  # labels: the least id of those connected
+                while True:
+                    new = np.minimum(a, np.where(ok, b[None, :], top).min(axis=1))
+                    far = np.minimum(b, np.where(ok, new[:, None], top).min(axis=0))
+                    if (new == a).all() and (far == b).all():
+                        break
+                    a, b = new, far
+                for ids, labels in ((r[x], a), (r2[y], b)):
+                    moved = ids != labels
+                    out.append(np.stack((labels[moved], ids[moved]), axis=1))
             if out:
                 rows = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, j]), pa.int64()) for j in range(3)], ["rep", "component", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, j]), pa.int64()) for j in range(2)], ["a", "b"])
 
     return run
 
 
-def _link_blocks(percent: int):
-    def find(left, right):
-        sets = [[np.frombuffer(x["set"], dtype=np.uint64) for x in side] for side in (left, right)]
+def _link_blocks(most: int, percent: int):
+    def links(ok, left, right, components_left, components_right, ids_left, ids_right):
+        """Links that connect components not yet connected within these two blocks."""
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        sets = [[np.frombuffer(x, dtype=np.uint64) for x in side] for side in (left, right)]
         every, index = np.unique(np.concatenate(sets[0] + sets[1]), return_inverse=True)
-        sizes = [np.array([len(x) for x in side]) for side in sets]
-        cut = int(sizes[0].sum())
-        starts = np.concatenate(([0], np.cumsum(sizes[1])[:-1]))
-        mark = np.zeros(len(every), dtype=np.int64)
-        at = 0
-        for i, n in enumerate(sizes[0]):
-            mark[index[at : at + n]] = 1
-            common = np.add.reduceat(mark[index[cut:]], starts)
-            mark[index[at : at + n]] = 0
-            at += n
-            good = np.flatnonzero(100 * common >= percent * (n + sizes[1] - common))
-            if len(good):
-                return left[i]["rep"], right[good[0]]["rep"]
-        return None
+        ends = np.cumsum([len(x) for side in sets for x in side])
+        starts = np.concatenate(([0], ends[:-1]))
+        mark = np.zeros(len(every), dtype=bool)
+        m = len(sets[0])
+        for i in np.flatnonzero(ok.any(axis=1)):
+            mine = index[starts[i] : ends[i]]
+            mark[mine] = True
+            for j in np.flatnonzero(ok[i]):
+                a, b = find(int(components_left[i])), find(int(components_right[j]))
+                if a != b:
+                    common = int(np.count_nonzero(mark[index[starts[m + j] : ends[m + j]]]))
+                    if 100 * common >= percent * (len(sets[0][i]) + len(sets[1][j]) - common):
+                        root[max(a, b)] = min(a, b)
+                        yield int(ids_left[i]), int(ids_right[j])
+            mark[mine] = False
 
     def run(batches):
         for batch in batches:
-            got = [x for x in map(find, batch.column("left").to_pylist(), batch.column("right").to_pylist()) if x]
+            (e, s, (r, c, n)), (e2, s2, (r2, c2, n2)) = _sides(batch, ("rep", "component", "size"))
+            set_l, set_r = (batch.column(k).flatten().field("set") for k in ("left", "right"))
+            got = []
+            for i in range(batch.num_rows):
+                x, y = slice(e[i], e[i + 1]), slice(e2[i], e2[i + 1])
+                ok = _could_link(c[x], n[x], s[x], c2[y], n2[y], s2[y], most, percent)
+                if ok.any():
+                    some = [k[z.start : z.stop].to_pylist() for k, z in ((set_l, x), (set_r, y))]
+                    got += links(ok, *some, c[x], c2[y], r[x], r2[y])
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], pa.int64()) for j in range(2)], ["a", "b"])
 
