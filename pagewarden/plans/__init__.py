@@ -1 +1,6 @@
+"""Named queries over the engine's tables."""
 
+
+def all_queries() -> None:
+    """Registers every query."""
+    from . import graph_queries, page_queries  # noqa: F401
