@@ -26,10 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Longest piece that is encoded in a batch; pieces kept by a worker; characters handled at once.
+from .common import slices
+
+#: Longest piece that is encoded in a batch; pieces kept by a worker; ids decoded at once.
 BATCH_BYTES = 128
 KEPT_PIECES = 200_000
-CHUNK_CHARS = 1_000_000
 CHUNK_IDS = 200_000
 NONE = np.int64(1) << 60
 
@@ -221,20 +222,13 @@ def vocabulary(data: bytes, pattern: str) -> Vocabulary:
 def _encode(sent, text: str, into: str, drop: bool):
     def run(batches):
         vocab = vocabulary(*sent.value)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(text).to_pylist()]
-            done, at = [], 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and size < CHUNK_CHARS:
-                    size += len(texts[to])
-                    to += 1
-                done += vocab.encode(texts[at:to])
-                at = to
-            ends = np.cumsum([0] + [len(x) // 4 for x in done], dtype=np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(done), dtype="<i4"), pa.int32()))
-            keep = [i for i, n in enumerate(batch.schema.names) if n != into and not (drop and n == text)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), ids], [*(batch.schema.names[i] for i in keep), into])
+        for whole in batches:
+            for batch in slices(whole, text):
+                done = vocab.encode([x or "" for x in batch.column(text).to_pylist()])
+                ends = np.cumsum([0] + [len(x) // 4 for x in done], dtype=np.int64)
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(done), dtype="<i4"), pa.int32()))
+                keep = [i for i, n in enumerate(batch.schema.names) if n != into and not (drop and n == text)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), ids], [*(batch.schema.names[i] for i in keep), into])
 
     return run
 
@@ -242,14 +236,15 @@ def _encode(sent, text: str, into: str, drop: bool):
 def _decode(sent, ids: str, into: str):
     def run(batches):
         vocab = vocabulary(*sent.value)
-        for batch in batches:
-            column = batch.column(ids).fill_null(pa.scalar([], pa.list_(pa.int32()))) if batch.column(ids).null_count else batch.column(ids)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-            data, stops = vocab.decode(flat, ends)
-            whole = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(stops.astype("<i4").tobytes()), pa.py_buffer(data.tobytes())])
-            keep = [i for i, n in enumerate(batch.schema.names) if n != into]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), whole], [*(batch.schema.names[i] for i in keep), into])
+        for whole in batches:
+            for batch in slices(whole, ids):
+                column = batch.column(ids)
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)  # a null list has no items
+                ends = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+                data, stops = vocab.decode(flat, ends)
+                text = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(stops.astype("<i4").tobytes()), pa.py_buffer(data.tobytes())])
+                keep = [i for i, n in enumerate(batch.schema.names) if n != into]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), text], [*(batch.schema.names[i] for i in keep), into])
 
     return run
 
@@ -270,3 +265,12 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", into:
     """df with the bytes that the ids stand for."""
     kept = [f for f in df.schema.fields if f.name != into]
     return df.mapInArrow(_decode(_send(df, path, pattern), ids, into), T.StructType([*kept, T.StructField(into, T.BinaryType())]))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", into: str = "decoded", drop: bool = False) -> DataFrame:
+    """encode() and then decode() in one pass, so one Python worker holds the vocabulary, not two."""
+    sent = _send(df, path, pattern)
+    there, back = _encode(sent, text, ids, drop), _decode(sent, ids, into)
+    kept = [f for f in df.schema.fields if f.name not in (ids, into) and not (drop and f.name == text)]
+    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(into, T.BinaryType())])
+    return df.drop(into).mapInArrow(lambda batches: back(there(batches)), schema)

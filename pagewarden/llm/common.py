@@ -3,13 +3,14 @@ survive hot keys, and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import fresh, scratch, stage, sweep  # noqa: F401  also used by the operators
+
 #: A key is hot when it holds more than this part of all rows, so at most so many keys are hot.
 HOT_KEYS = 1000
 #: Keys with fewer rows than this are never hot.
@@ -19,42 +20,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession) -> str:
-    """This session's folder under spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is missing (tests, one machine) a folder of our own is made."""
-    sc = spark.sparkContext
-    known = getattr(sc, "_pagewarden_scratch", None)
-    if known is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="pagewarden-")
-            sc.setCheckpointDir(base)
-        known = sc._pagewarden_scratch = f"{base.rstrip('/')}/pagewarden-{uuid.uuid4().hex}"
-        atexit.register(sweep, spark)
-    return known
-
-
-def sweep(spark: SparkSession) -> None:
-    """Deletes this session's staged tables."""
-    try:
-        sc = spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(sc._pagewarden_scratch)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the JVM may be gone at interpreter exit; the folder is then left to its owner
-        pass
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and returns it read back: lineage ends here,
-    and the loss of an executor costs no recomputation."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def slices(batch: pa.RecordBatch, column: str, size: int = 500_000):
+    """A batch in pieces of about `size` bytes of a text column, or items of a list column, and a row at least:
+    what a worker holds at once then doesn't depend on how Spark cuts its batches."""
+    values = batch.column(column)
+    length = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    ends = np.cumsum(length.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, spread: list[str], how: str = "inner", weights: DataFrame | None = None) -> DataFrame:

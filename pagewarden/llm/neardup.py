@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, components, stage
+from .common import attach, components, slices, stage
 
 BANDS, ROWS = 24, 4
 #: MinHash values, of which the bands take the first and the sketch all.
@@ -38,7 +38,7 @@ SKETCH_BITS = 1024
 MARGIN = 0.16
 #: Members of a bucket, and shingles of a cluster's documents, that make a block and are compared at once with another.
 SKETCH_BLOCK, SET_BLOCK = 512, 500_000
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20240501).integers(1, 1 << 63, size=(2, SAMPLES), dtype=np.uint64) | np.uint64(1)
 
@@ -115,27 +115,29 @@ def most_differing(threshold: float) -> int:
 
 def _sets(width: int):
     def run(batches):
-        for batch in batches:
-            found = [shingles(x, width) for x in batch.column("text").to_pylist()]
-            sigs = [signature(s) if len(s) else None for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary()),
-                    pa.array([None if s is None else bands(s) for s in sigs], pa.list_(pa.int64())),
-                    pa.array([None if s is None else odd_sketch(s) for s in sigs], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "print", "bands", "sketch"],
-            )
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = [shingles(x, width) for x in batch.column("text").to_pylist()]
+                sigs = [signature(s) if len(s) else None for s in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"),
+                        pa.array([len(s) for s in found], pa.int64()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary()),
+                        pa.array([None if s is None else bands(s) for s in sigs], pa.list_(pa.int64())),
+                        pa.array([None if s is None else odd_sketch(s) for s in sigs], pa.binary()),
+                    ],
+                    ["doc_id", "n_shingles", "print", "bands", "sketch"],
+                )
 
     return run
 
 
 def _only_sets(width: int):
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(x, width).tobytes() for x in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "set"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(x, width).tobytes() for x in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "set"])
 
     return run
 

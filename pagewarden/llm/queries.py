@@ -70,10 +70,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import decode, encode
+    from .bpe import round_trip
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, drop=True), path, pattern)
+    out = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, drop=True)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -28,6 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import slices
 
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2000
 WINDOW, STRIDE = 64, 48
@@ -36,7 +39,7 @@ EPOCHS, BATCH, RATE = 6, 64, 0.01
 SHRINK = 8.0
 THRESHOLD = 0.3
 SEED = 11
-KEPT_WORDS = 200_000
+KEPT_WORDS = 150_000
 WINDOWS_AT_ONCE = 1024
 words_in = re.compile(r"[^\W\d_]+").findall
 
@@ -304,19 +307,10 @@ def fit_scorer(docs: DataFrame, labels: DataFrame) -> Scorer:
 def _score(sent):
     def run(batches):
         scorer = sent.value
-        for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            scores, at = [], 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and size < 400_000:
-                    size += len(texts[to])
-                    to += 1
-                scores.append(scorer.score(texts[at:to]))
-                at = to
-            if scores:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                score = scorer.score([x or "" for x in batch.column("text").to_pylist()])
                 keep = [i for i, n in enumerate(batch.schema.names) if n not in ("score", "predicted")]
-                score = np.concatenate(scores)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32), pa.int32())], [*(batch.schema.names[i] for i in keep), "score", "predicted"])
 
     return run
@@ -326,7 +320,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, scorer: Scorer | None = N
     """docs with score and predicted for every row. The scorer, some MB, goes to the workers."""
     scorer = scorer or fit_scorer(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
-    from pyspark.sql import types as T
-
     kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
     return docs.mapInArrow(_score(sent), T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
