@@ -48,10 +48,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts are encoded; each row says whether decoding gives the text back."""
     import public_tokenizers
 
-    from pagewarden.llm.bpe import decode, encode
+    from pagewarden.llm.bpe import round_trip
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = decode(encode(docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)), path, pattern, drop=True), path, pattern)
+    out = round_trip(docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)), path, pattern, drop=True)
     same = F.sha2("decoded", 256) == F.col("digest")
     return out.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("decodes"))
 
