@@ -44,6 +44,7 @@ TRAIN_CONVERSATIONS = 1000
 PIECE_LINES = 4096
 #: In training every so many turns lose their marker.
 FORGOTTEN = 10
+MARKER_ELSEWHERE = 1e-6
 STATES = [(role, first) for role in ROLES for first in (True, False)]
 
 
@@ -91,7 +92,13 @@ class Model:
         s = np.array([start[i] + (smooth if STATES[i][1] else 1e-6) for i in range(n)])
         m = np.array([[move[i, j] + (smooth if STATES[j][1] or STATES[i][0] == STATES[j][0] else 1e-9) for j in range(n)] for i in range(n)])
         self.start, self.move = np.log(s / s.sum()), np.log(m / m.sum(axis=1, keepdims=True))
-        self.emit = {(w, k, v): np.log(np.array([(emit[w, i, k, v] + smooth) / (total[w, i, k] + smooth * len(values)) for i in range(n)])) for w in (True, False) for k, values in kinds.items() for v in values}
+
+        def share(w, i, k, v):
+            if k == "marker" and v is not None and STATES[i] != (v, True):
+                return MARKER_ELSEWHERE  # a marker names its role, and starts a turn, nearly beyond doubt
+            return (emit[w, i, k, v] + smooth) / (total[w, i, k] + smooth * len(kinds[k]))
+
+        self.emit = {(w, k, v): np.log(np.array([share(w, i, k, v) for i in range(n)])) for w in (True, False) for k, values in kinds.items() for v in values}
         self.known: dict = {}
 
     def emissions(self, line: str, place: int, shown: bool) -> np.ndarray:

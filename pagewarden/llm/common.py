@@ -9,7 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import fresh, scratch, stage, sweep  # noqa: F401  also used by the operators
+from .. import staging
+from ..staging import fresh  # noqa: F401  also for the operators
 
 #: A key is hot when it holds more than this part of all rows, so at most so many keys are hot.
 HOT_KEYS = 1000
@@ -20,6 +21,19 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df written to the shared folder and read back. rows: how many go to a Python worker at once, where rows are large."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    before = conf.get(key, None) if rows else None
+    try:
+        if rows:
+            conf.set(key, str(rows))
+        return staging.stage(df, name)
+    finally:
+        if rows:
+            conf.set(key, before) if before else conf.unset(key)
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = 500_000):
     """A batch in pieces of about `size` bytes of a text column, or items of a list column, and a row at least:
     what a worker holds at once then doesn't depend on how Spark cuts its batches."""

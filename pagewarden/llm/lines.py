@@ -16,8 +16,8 @@ deleted. Windows that overlap add up to the maximal repeated runs, because every
 least that size is the union of such windows.
 
 Cases: null text stays null and empty text empty; lines without words stay unless no line with words
-is left, then the text is empty; copies within a document count; of rows that repeat a doc_id the
-first in order of text is the first copy; a null doc_id takes no part and comes back as it was; very long texts
+is left, then the text is empty; copies within a document count; rows that are equal are one
+document and share its fate; rows that repeat a doc_id with other text are different documents; a null doc_id takes no part and comes back as it was; very long texts
 and lines are taken whole; an empty table gives an empty result; other columns pass through, columns
 named like the added ones are replaced."""
 
@@ -105,11 +105,11 @@ def suffix_ranks(lines: DataFrame, longest: int) -> tuple[DataFrame, list[int]]:
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, part, line: every line, by its place in the text, that a later copy of a repeated run covers."""
     order = Window.partitionBy("doc", "part").orderBy("line")
-    lines = stage(_lines(docs).withColumn("at", F.row_number().over(order)), "lines")
+    lines = stage(_lines(docs).withColumn("at", F.dense_rank().over(order)), "lines")
     # A line with words has one at least, so no window is longer than min_words lines.
     ranked, levels = suffix_ranks(lines, min_words)
     items = F.struct("at", "words", *[f"r{h}" for h in levels])
-    packed = ranked.groupBy("doc", "part").agg(F.collect_list(items).alias("items"))
+    packed = ranked.groupBy("doc", "part").agg(F.collect_set(items).alias("items"))
     windows = stage(packed.mapInArrow(_windows(min_words, levels), "doc bigint, part bigint, at bigint, m bigint, a bigint, b bigint"), "windows")
     firsts = windows.groupBy("m", "a", "b").agg(F.min(F.struct("doc", "part", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = attach(windows, stage(firsts, "firsts"), ["m", "a", "b"], "n", ["doc", "at"]).filter(F.struct("doc", "part", "at") != F.col("first"))

@@ -37,7 +37,9 @@ SKETCH_BITS = 1024
 #: How far below the threshold an estimate may be for the pair still to be verified.
 MARGIN = 0.16
 #: Members of a bucket, and shingles of a cluster's documents, that make a block and are compared at once with another.
-SKETCH_BLOCK, SET_BLOCK = 512, 500_000
+SKETCH_BLOCK, SET_BLOCK = 512, 200_000
+#: Rows that a Python worker gets at once: texts, pairs with sets, pairs of sketch blocks and of set blocks.
+TEXT_ROWS, PAIR_ROWS, BLOCK_ROWS, SET_BLOCK_ROWS = 2000, 400, 100, 8
 KEPT_WORDS = 150_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20240501).integers(1, 1 << 63, size=(2, SAMPLES), dtype=np.uint64) | np.uint64(1)
@@ -174,7 +176,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     """doc_id, n_shingles, component_id, kept for every row of docs: documents are linked when
     100 * common >= percent * union of their shingle sets, and components are those of the links."""
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = stage(source.mapInArrow(_sets(width), "doc_id bigint, n_shingles bigint, print binary, bands array<bigint>, sketch binary"), "signatures")
+    rows = stage(source.mapInArrow(_sets(width), "doc_id bigint, n_shingles bigint, print binary, bands array<bigint>, sketch binary"), "signatures", TEXT_ROWS)
     classes = stage(rows.filter("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first(F.struct("sketch", F.col("n_shingles").alias("size"), "bands")).alias("f")).select("print", "rep", "n", "f.*"), "classes")
     buckets = classes.select("rep", F.explode("bands").alias("key"))  # a band's number is in its hash
     shared = stage(buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1"), "buckets")
@@ -185,7 +187,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     pairs = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     near = _plausible(stage(pairs, "pairs"), sketches, most, percent)
     chosen = stage(near.groupBy("b").agg(F.min(F.struct("z", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "chosen")
-    links = stage(_verified(chosen, source, width, percent), "links").filter("linked").select("a", "b")
+    links = stage(_verified(chosen, source, width, percent), "links", PAIR_ROWS).filter("linked").select("a", "b")
     found = components(links)
     more = _links_between(members, near, found, sketches, source, most, width, percent)
     found = components(links.unionByName(more))
@@ -213,7 +215,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, most: int, percent: int) -
 def _full_sets(reps: DataFrame, source: DataFrame, width: int) -> DataFrame:
     """rep, set for the documents that reps names, made anew from their texts."""
     texts = source.join(reps.distinct(), source["doc_id"] == F.col("rep"), "left_semi")
-    return stage(texts.mapInArrow(_only_sets(width), "doc_id bigint, set binary").withColumnRenamed("doc_id", "rep"), "sets")
+    return stage(texts.mapInArrow(_only_sets(width), "doc_id bigint, set binary").withColumnRenamed("doc_id", "rep"), "sets", TEXT_ROWS)
 
 
 def _verified(pairs: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
@@ -241,12 +243,12 @@ def _links_between(members: DataFrame, near: DataFrame, found: DataFrame, sketch
     forest = _block_pairs(rest, ["key"], F.struct("rep", "component", "size", "sketch")).mapInArrow(_plausible_blocks(most, percent), "a bigint, b bigint").distinct()
     ends = [of.select(F.col("rep").alias(e), F.col("component").alias(f"c{e}")) for e in ("a", "b")]
     stars = near.select("a", "b").join(ends[0], "a").join(ends[1], "b").filter("ca <> cb").select("a", "b")
-    clusters = components(stage(forest.unionByName(stars), "plausible")).withColumnsRenamed({"node": "rep", "component": "cluster"})
+    clusters = components(stage(forest.unionByName(stars), "plausible", BLOCK_ROWS)).withColumnsRenamed({"node": "rep", "component": "cluster"})
     sized = stage(clusters.join(labels, "rep"), "clusters")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("size") / SET_BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
     rows = attach(sized, stage(blocks, "blocks"), ["cluster"], "n", ["rep"]).join(_full_sets(clusters.select("rep"), source, width), "rep")
     met = _block_pairs(rows, ["cluster"], F.struct("rep", "component", "size", "sketch", "set"))
-    return stage(met.mapInArrow(_link_blocks(most, percent), "a bigint, b bigint"), "links")
+    return stage(met.mapInArrow(_link_blocks(most, percent), "a bigint, b bigint"), "links", SET_BLOCK_ROWS)
 
 
 def _block_pairs(rows: DataFrame, keys: list[str], item) -> DataFrame:
