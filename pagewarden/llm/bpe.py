@@ -30,7 +30,7 @@ from .common import slices
 
 #: Longest piece that is encoded in a batch; pieces kept by a worker; ids decoded at once.
 BATCH_BYTES = 128
-KEPT_PIECES = 200_000
+KEPT_PIECES = 120_000
 CHUNK_IDS = 200_000
 NONE = np.int64(1) << 60
 

@@ -40,7 +40,7 @@ MARGIN = 0.16
 SKETCH_BLOCK, SET_BLOCK = 512, 200_000
 #: Rows that a Python worker gets at once: texts, pairs with sets, pairs of sketch blocks and of set blocks.
 TEXT_ROWS, PAIR_ROWS, BLOCK_ROWS, SET_BLOCK_ROWS = 2000, 400, 100, 8
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20240501).integers(1, 1 << 63, size=(2, SAMPLES), dtype=np.uint64) | np.uint64(1)
 

@@ -22,7 +22,6 @@ columns are ignored."""
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ EPOCHS, BATCH, RATE = 6, 64, 0.01
 SHRINK = 8.0
 THRESHOLD = 0.3
 SEED = 11
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 WINDOWS_AT_ONCE = 1024
 words_in = re.compile(r"[^\W\d_]+").findall
 
@@ -56,36 +55,84 @@ def grams(word: str) -> list[str]:
 
 
 class Inputs:
-    """Log-odds of words and n-grams, from the documents' counts. Tables by the label of a training
-    document that is left out of the counts, and None for any other text."""
-
-    def __init__(self, documents: list[tuple[set, bool]]):
-        self.toxic = sum(t for _, t in documents)
-        self.rest = len(documents) - self.toxic
-        words: tuple[Counter, Counter] = (Counter(), Counter())
-        parts: tuple[Counter, Counter] = (Counter(), Counter())
-        for found, toxic in documents:
-            words[toxic].update(found)
-            parts[toxic].update({g for w in found for g in grams(w)})
-        self.words = {own: self._table(words, own, 2) for own in (None, 0, 1)}
-        self.grams = {own: self._table(parts, own, 3) for own in (None, 0, 1)}
-
-    def _table(self, counts, own: int | None, least: int) -> dict[str, float]:
-        keys = [k for k in counts[0].keys() | counts[1].keys() if counts[0][k] + counts[1][k] >= least]
-        c, t = (np.array([counts[y][k] for k in keys], np.float64) for y in (0, 1))
-        c, t = np.maximum(0, c - (own == 0)), np.maximum(0, t - (own == 1))
-        share = self.toxic / (self.toxic + self.rest)
-        odds = np.log((t + SHRINK * share) / (c + SHRINK * (1 - share))) - np.log(share / (1 - share))
-        return dict(zip(keys, odds.tolist()))
-
-    def of(self, word: str, own: int | None = None) -> tuple[float, ...]:
-        get = self.grams[own].get
+    """Log-odds of words and n-grams for any text."""
+
+    def __init__(self, words: dict[str, float], grams: dict[str, float]):
+        self.words, self.grams = words, grams
+
+    def of(self, word: str) -> tuple[float, ...]:
+        get = self.grams.get
         odds = [o for g in grams(word) if (o := get(g)) is not None]
         first = second = 0.0
         for o in odds:
             if o > second:
                 first, second = (o, first) if o > first else (first, o)
-        return (self.words[own].get(word, 0.0), first, second, sum(odds) / len(odds) if odds else 0.0, get("<" + word[:3], 0.0), get("<" + word[:4], 0.0), min(len(word), 30) / 10)
+        return (self.words.get(word, 0.0), first, second, sum(odds) / len(odds) if odds else 0.0, get("<" + word[:3], 0.0), get("<" + word[:4], 0.0), min(len(word), 30) / 10)
+
+
+class Counts:
+    """Words and n-grams of the training documents by number, and in how many documents of either label they are."""
+
+    def __init__(self, texts: list[str], labels: list[int]):
+        index: dict[str, int] = {}
+        self.docs = [np.fromiter((index.setdefault(w, len(index)) for w in words_in(t.lower())), dtype=np.int32) for t in texts]
+        self.words = list(index)
+        parts: dict[str, int] = {}
+        flat, sizes = [], []
+        for w in self.words:
+            ids = [parts.setdefault(g, len(parts)) for g in grams(w)]
+            flat.append(np.array(ids, dtype=np.int32))
+            sizes.append(len(ids))
+        del index
+        self.parts = list(parts)
+        del parts
+        self.flat = np.concatenate(flat) if flat else np.empty(0, np.int32)
+        self.ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        self.word_docs, self.part_docs = (np.zeros((2, n), np.int32) for n in (len(self.words), len(self.parts)))
+        for ids, y in zip(self.docs, labels):
+            mine = np.unique(ids)
+            self.word_docs[y, mine] += 1
+            if len(mine):
+                self.part_docs[y, np.unique(np.concatenate([self.flat[self.ends[i] : self.ends[i + 1]] for i in mine]))] += 1
+        self.share = sum(labels) / max(1, len(labels))
+
+    def odds(self, counts: np.ndarray, own: int | None, least: int) -> np.ndarray:
+        """Log-odds, shrunk towards 0; what is in fewer than `least` documents has none. own: the label of a
+        document that is left out of the counts."""
+        c, t = np.maximum(0, counts[0] - (own == 0)), np.maximum(0, counts[1] - (own == 1))
+        out = np.log((t + SHRINK * self.share) / (c + SHRINK * (1 - self.share))) - np.log(self.share / (1 - self.share))
+        return np.where(counts.sum(axis=0) >= least, out, np.nan)
+
+    def inputs(self) -> Inputs:
+        table = lambda names, odds: {n: o for n, o in zip(names, odds.tolist()) if o == o}
+        return Inputs(table(self.words, self.odds(self.word_docs, None, 2)), table(self.parts, self.odds(self.part_docs, None, 3)))
+
+    def matrix(self, own: int) -> np.ndarray:
+        """Inputs.of() of every word, as for a training document of that label."""
+        n = len(self.words)
+        out = np.zeros((n, INPUTS), np.float32)
+        out[:, 0] = np.nan_to_num(self.odds(self.word_docs, own, 2))
+        values = self.odds(self.part_docs, own, 3)[self.flat]
+        has = np.diff(self.ends) > 0
+        starts, owner = self.ends[:-1][has], np.repeat(np.arange(n), np.diff(self.ends))
+        if len(starts):
+            known = ~np.isnan(values)
+            values = np.nan_to_num(values)
+            high = np.maximum(values, 0)
+            largest = np.zeros(n)
+            largest[has] = np.maximum.reduceat(high, starts)
+            out[:, 1] = largest
+            at = np.flatnonzero(high == largest[owner])
+            high[at[np.unique(owner[at], return_index=True)[1]]] = 0  # one of each word's largest
+            out[has, 2] = np.maximum.reduceat(high, starts)
+            out[has, 3] = np.add.reduceat(values, starts) / np.maximum(1, np.add.reduceat(known.astype(np.int64), starts))
+            length = np.array([len(w) for w in self.words])
+            four, five = length >= 3, length >= 4
+            out[four, 4] = values[self.ends[:-1][four]]
+            out[five, 5] = values[self.ends[:-1][five] + length[five] - 2]
+            out[length == 3, 5] = out[length == 3, 4]  # the whole word is the beginning
+        out[:, 6] = [min(len(w), 30) / 10 for w in self.words]
+        return out
 
 
 def windows(n: int) -> list[int]:
@@ -262,25 +309,25 @@ def train(rows: list[tuple[str, int]], share: float | None = None, seed: int = S
     share = min(0.99, max(0.01, (toxic + 1) / (len(rows) + 2) if share is None else share))
     if toxic == 0 or toxic == len(rows):
         return Scorer(None, Network(seed), float(np.log(share / (1 - share))))
-    found = [words_in(t.lower()) for t, _ in rows]
-    inputs = Inputs([(set(w), bool(y)) for w, (_, y) in zip(found, rows)])
+    counts = Counts([t for t, _ in rows], [y for _, y in rows])
+    inputs = counts.inputs()
     r = np.random.default_rng(seed)
     xs, masks, ys = [], [], []
-    known: list[dict[str, tuple]] = [{}, {}]
-    for words, (_, y) in zip(found, rows):
-        of = known[y]
-        for w in words:
-            if w not in of:
-                of[w] = inputs.of(w, own=y)
-        x = np.array([of[w] for w in words], np.float32).reshape(-1, INPUTS)
-        starts = windows(len(words))
-        suspicion = [float(np.sort(x[s : s + WINDOW, :3].max(axis=1, initial=0))[-4:].sum()) for s in starts]
-        chosen = {starts[int(np.argmax(suspicion))]} | ({starts[int(r.integers(len(starts)))]} if not y else set())
-        for s in sorted(chosen):
-            part = x[s : s + WINDOW]
-            xs.append(np.pad(part, ((0, WINDOW - len(part)), (0, 0))))
-            masks.append((np.arange(WINDOW) < len(part)).astype(np.float32))
-            ys.append(y)
+    for own in (0, 1):
+        matrix = counts.matrix(own)
+        for ids, (_, y) in zip(counts.docs, rows):
+            if y != own:
+                continue
+            x = matrix[ids]
+            starts = windows(len(ids))
+            suspicion = [float(np.sort(x[s : s + WINDOW, :3].max(axis=1, initial=0))[-4:].sum()) for s in starts]
+            chosen = {starts[int(np.argmax(suspicion))]} | ({starts[int(r.integers(len(starts)))]} if not y else set())
+            for s in sorted(chosen):
+                part = x[s : s + WINDOW]
+                xs.append(np.pad(part, ((0, WINDOW - len(part)), (0, 0))))
+                masks.append((np.arange(WINDOW) < len(part)).astype(np.float32))
+                ys.append(y)
+    del counts
     y = np.array(ys, np.float32)
     network = Network(seed)
     network.fit(np.stack(xs), np.stack(masks), y, seed=seed)
