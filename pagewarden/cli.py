@@ -44,6 +44,7 @@ def main(argv: list[str] | None = None) -> int:
     command("clean", ("--days", {"type": int, "default": None}))
     command("schema", ("file",))
     command("extract", ("pages",))
+    command("mcp")
     a = p.parse_args(argv)
     if a.command == "schema":
         from .sources.jsonld import validate
@@ -98,6 +99,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if store.delete(a.session) else 1
     elif a.command == "clean":
         print(store.clean(a.days))
+    elif a.command == "mcp":
+        from .mcp import Tools, serve
+
+        serve(Tools(spark, store))
     elif a.command == "extract":
         from .operators.site import page_documents, site_documents
 

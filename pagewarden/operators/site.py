@@ -213,7 +213,86 @@ def business_facts(blocks: list[str]) -> dict[str, list[str]]:
     return out
 
 
-PAGE_DOC = "site string, url string, kind string, title string, markdown string, word_count int, is_js_shell boolean, " + co.CONTACTS + ", facts map<string,array<string>>, colors array<struct<hex:string,count:int>>, fonts array<struct<family:string,roles:array<string>,weights:array<int>>>"
+# Words that make a logo one of many, and not the site's own.
+OTHER_LOGOS = set("partner partners client clients sponsor sponsors customer customers carousel slider slick swiper marquee brands affiliate affiliates trusted featured".split())
+
+
+def _own_logo(value: str) -> bool:
+    said = set(_words(value.replace("-", " ")))
+    return "logo" in said and not said & OTHER_LOGOS
+
+
+class _Head(HTMLParser):
+    """What a page says about itself: head fields, style sheets, icons, links and candidates for its logo."""
+
+    def __init__(self, url: str):
+        super().__init__()
+        self.url = self.base = url
+        self.open: list[tuple[str, str]] = []
+        self.fields: dict[str, str] = {}
+        self.sheets, self.icons, self.fonts, self.logos, self.anchors = [], [], [], [], []
+        self.label: list[str] | None = None
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: (v or "").strip() for k, v in attrs}
+        rel = a.get("rel", "").lower().split()
+        target = resolve_url(self.base, a["href"]) if a.get("href") and len(a["href"]) <= 4096 else None
+        if tag == "base" and target and self.base == self.url:
+            self.base = target
+        elif tag == "meta":
+            name = (a.get("name") or a.get("property", "")).lower()
+            key = {"description": "description", "og:description": "description", "og:site_name": "site_name", "theme-color": "theme_color", "og:image": "image"}.get(name)
+            if key and a.get("content"):
+                self.fields.setdefault(key, " ".join(a["content"].split()))
+        elif tag == "link" and target:
+            if "stylesheet" in rel:
+                (self.fonts if de.google_fonts(target) else self.sheets).append(target)
+            elif "icon" in rel or "apple-touch-icon" in rel:
+                self.icons.append(target)
+        elif tag == "a":
+            self.label = [a.get("aria-label") or a.get("title", "")]
+            self.anchors.append([target, self.label])
+        elif tag == "img" and (src := resolve_url(self.base, a.get("src") or a.get("data-src", ""))):
+            if self.label is not None and a.get("alt"):
+                self.label.append(a["alt"])
+            path = urlsplit(src).path
+            named = any(_own_logo(a.get(k, "")) for k in ("class", "id", "alt", "title", "aria-label")) or _own_logo(path.rpartition("/")[2]) and not set(_words(path)) & OTHER_LOGOS
+            if named or any(_own_logo(x) for _, x in self.open[-3:]):
+                home = any(t == "a" and x.startswith("home ") for t, x in self.open)
+                header = any(t in ("header", "nav") for t, _ in self.open)
+                self.logos.append((0 if header or home else 1, 0 if home else 1, len(self.logos), src))
+        if tag not in ("img", "meta", "link", "br", "input", "hr", "base", "source", "wbr", "area"):
+            is_home = tag == "a" and target and urlsplit(target).path == "/" and urlsplit(target).netloc == urlsplit(self.base).netloc
+            self.open.append((tag, ("home " if is_home else "") + " ".join(a.get(k, "") for k in ("class", "id", "aria-label", "title"))))
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.label = None
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                break
+
+    def handle_data(self, data):
+        if self.label is not None:
+            self.label.insert(0, data)
+
+
+def head_facts(html: str, url: str) -> dict:
+    """description, site_name, theme_color, image; stylesheets, font families, icons, logos (best first), anchors."""
+    p = _Head(url)
+    p.feed(html)
+    p.close()
+    seen: dict[str, str] = {}
+    for target, label in p.anchors:
+        if target:
+            seen.setdefault(target, " ".join(next((x for x in map(str.strip, label) if x), "").split()))
+    logos = list(dict.fromkeys(src for *_, src in sorted(p.logos)))[:12]
+    return {**{k: p.fields.get(k) for k in ("description", "site_name", "theme_color", "image")}, "stylesheets": list(dict.fromkeys(p.sheets)), "web_fonts": sorted({f for u in p.fonts for f in de.google_fonts(u)}), "icons": list(dict.fromkeys(p.icons)), "logos": logos, "anchors": [{"url": u, "text": t} for u, t in list(seen.items())[:400]]}
+
+
+HEAD = "description string, site_name string, theme_color string, image string, stylesheets array<string>, web_fonts array<string>, icons array<string>, logos array<string>, anchors array<struct<url:string,text:string>>"
+PAGE_DOC = "site string, url string, kind string, title string, markdown string, word_count int, is_js_shell boolean, " + co.CONTACTS + ", facts map<string,array<string>>, colors array<struct<hex:string,count:int>>, fonts array<struct<family:string,roles:array<string>,weights:array<int>>>, " + HEAD
 
 
 def page_documents(pages: DataFrame) -> DataFrame:
@@ -232,7 +311,7 @@ def page_documents(pages: DataFrame) -> DataFrame:
         empty_root = bool(re.search(r"(?is)<div[^>]+id=[\"']?(root|app|__next|__nuxt)[\"']?[^>]*>\s*</div>", html))
         asks = bool(re.search(r"(?is)<noscript[^>]*>[^<]*(enable javascript|requires javascript|javascript is)", html))
         shell = n == 0 and not row["links"] or empty_root and n < 200 or asks and n < 120 or scripts > 0 and n < 40
-        return {"site": site, "url": url, "kind": kind, "title": row["title"], "markdown": text, "word_count": n, "is_js_shell": bool(shell), **co.contacts_of(text + "\n" + hrefs), "facts": business_facts([s["raw_json"] for s in row["schemas"]]), **design}
+        return {"site": site, "url": url, "kind": kind, "title": row["title"], "markdown": text, "word_count": n, "is_js_shell": bool(shell), **co.contacts_of(text + "\n" + hrefs), "facts": business_facts([s["raw_json"] for s in row["schemas"]]), **design, **head_facts(html, url)}
 
     def run(frames):
         for f in frames:

@@ -41,7 +41,10 @@ def is_html(content_type: str = "content_type", body: str = "body") -> str:
 
 def prepared(fetches: DataFrame) -> DataFrame:
     """Responses that are pages, with header names in lower case and waf_detected."""
-    lowered = fetches.withColumn("headers", F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k)))
+    # Names that differ in case alone are one header; its first value counts.
+    entries = F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    once = F.transform(F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda k: F.filter(entries, lambda e: e["key"] == k)[0])
+    lowered = fetches.withColumn("headers", F.map_from_entries(once))
     return lowered.withColumn("waf_detected", F.expr(waf_provider())).filter(F.expr(is_html()))
 
 
