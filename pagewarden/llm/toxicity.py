@@ -11,7 +11,8 @@ its highest window's.
 
 Training takes labelled rows only where crc32(doc_id as text) mod 4 is not 2, at most TOXIC_ROWS
 toxic and CLEAN_ROWS others, those with the least hash of the id; shares are corrected to those of all
-labelled rows. Each gives its most suspicious window, clean ones a random window too. Labels, lang,
+labelled rows. Near copies among them count once. Each gives its most suspicious window, clean ones a random
+window too; the number of gradient steps is the same for any sample. Labels, lang,
 source and doc_id are not inputs.
 
 Cases: a text that is null or has no word gets the score of an empty window; texts are read whole; of several
@@ -22,6 +23,8 @@ columns are ignored."""
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +37,13 @@ from .common import slices
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2000
 WINDOW, STRIDE = 64, 48
 HIDDEN, ATTENTION, INPUTS = 8, 8, 7
-EPOCHS, BATCH, RATE = 6, 64, 0.01
+#: Steps of gradient descent, whatever the sample's size.
+STEPS, BATCH, RATE = 400, 64, 0.01
 SHRINK = 8.0
 THRESHOLD = 0.3
 SEED = 11
+#: Word hashes by which near copies among training rows are told.
+SKETCH, COMMON = 24, 50
 KEPT_WORDS = 100_000
 WINDOWS_AT_ONCE = 1024
 words_in = re.compile(r"[^\W\d_]+").findall
@@ -230,12 +236,12 @@ class Network:
         gates = np.stack((gates[:, 0], gates[::-1, 1]), axis=1)
         return self.forward(gates, mask, keep)
 
-    def fit(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> None:
+    def fit(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = SEED) -> None:
         """Adam over windows x [windows, steps, INPUTS]."""
         r = np.random.default_rng(seed)
         m1, m2, k = ({n: np.zeros_like(v) for n, v in self.p.items()} for _ in range(2)), None, 0
         first, second = m1
-        for _ in range(epochs):
+        while k < steps:
             order = r.permutation(len(y))
             for at in range(0, len(order), BATCH):
                 i = order[at : at + BATCH]
@@ -302,9 +308,26 @@ class Scorer:
         return _sigmoid(best + self.shift)
 
 
+def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """rows less near copies of earlier rows: those that share half of their SKETCH least word hashes.
+    Else the words of a text that was copied often would pass for marks of its label."""
+    owners: dict[int, list[int]] = {}
+    out = []
+    for i, (text, y) in enumerate(rows):
+        least = sorted({zlib.crc32(w.encode()) for w in words_in(text.lower())})[:SKETCH]
+        telling = [owners.get(h, ()) for h in least]
+        telling = [o for o in telling if len(o) <= COMMON]  # a common word's owners say nothing
+        met = Counter(o for some in telling for o in some)
+        if not met or max(met.values()) < max(2, len(telling) / 2):
+            out.append((text, y))
+            for h in least:
+                owners.setdefault(h, []).append(i)
+    return out
+
+
 def train(rows: list[tuple[str, int]], share: float | None = None, seed: int = SEED) -> Scorer:
     """A scorer from (text, label) rows. share: of toxic rows where the scorer will be used."""
-    rows = sorted({(t or "", int(y)) for t, y in rows})
+    rows = without_copies(sorted({(t or "", int(y)) for t, y in rows}))
     toxic = sum(y for _, y in rows)
     share = min(0.99, max(0.01, (toxic + 1) / (len(rows) + 2) if share is None else share))
     if toxic == 0 or toxic == len(rows):
