@@ -278,6 +278,6 @@ def test_site_document(spark):
     assert d["phones"] == ["+8801711223344"] and d["emails"] == ["hi@bakery.com"] and d["colors"][0]["hex"] == "#FF0000" and d["fonts"][0]["family"] == "Inter"
     links = spark.createDataFrame([("b.com", "https://b.com/", t, u, i) for i, (t, u) in enumerate([("Contact", "https://b.com/contact"), ("Contact 2", "https://b.com/contact-us"), ("Shop", "https://b.com/shop"), ("Cake", "https://b.com/products/cake"), ("Login", "https://b.com/login"), ("About", "https://x.com/about"), ("Our story", "https://b.com/our-story#x")])], "site string, home string, text string, url string, seq long")
     assert [(r["kind"], r["url"]) for r in site.select_pages(links).orderBy("place").collect()] == [("contact", "https://b.com/contact"), ("about", "https://b.com/our-story"), ("catalog", "https://b.com/shop")]
-    h = site.head_facts('<base href="/x/"><meta property="og:site_name" content="B"><link rel=stylesheet href="a.css"><link rel=stylesheet href="https://fonts.googleapis.com/css?family=Lato"><link rel=icon href=i.ico><div class="partner-logos"><img src="/p/logo.png" class="partner logo"></div><header><a href="/"><img src="/l.png" alt="Our logo"></a></header><a href="c">  <b>C</b></a>', "https://b.com/")
+    h = site.head_facts('<base href="/x/"><meta property="og:site_name" content="B"><link rel=stylesheet href="a.css"><link rel=stylesheet href="https://fonts.googleapis.com/css?family=Lato"><link rel=icon href=i.ico><div class="partner-logos"><img src="/p/x.png" class="partner logo"></div><header><a href="/"><img src="/l.png" alt="Our logo"></a></header><a href="c">  <b>C</b></a>', "https://b.com/")
     assert h["site_name"] == "B" and h["stylesheets"] == ["https://b.com/x/a.css"] and h["web_fonts"] == ["Lato"] and h["logos"] == ["https://b.com/l.png"] and {"url": "https://b.com/x/c", "text": "C"} in h["anchors"]
     assert site.to_markdown("<h2>Hi</h2><ul><li>a</li></ul><p hidden>no</p><script>x</script>", "https://b.com/") == "## Hi\n\n- a"
