@@ -44,7 +44,7 @@ THRESHOLD = 0.3
 SEED = 11
 #: Word hashes by which near copies among training rows are told.
 SKETCH, COMMON = 24, 50
-KEPT_WORDS = 100_000
+KEPT_WORDS = 200_000
 WINDOWS_AT_ONCE = 1024
 words_in = re.compile(r"[^\W\d_]+").findall
 
@@ -67,13 +67,15 @@ class Inputs:
         self.words, self.grams = words, grams
 
     def of(self, word: str) -> tuple[float, ...]:
-        get = self.grams.get
-        odds = [o for g in grams(word) if (o := get(g)) is not None]
+        get, marked = self.grams.get, "<" + word
+        n = len(marked)  # the n-grams of grams(), without the list of them
+        odds = [o for i in range(n - 3) if (o := get(marked[i : i + 4])) is not None]
+        odds += [o for i in range(n - 4) if (o := get(marked[i : i + 5])) is not None]
         first = second = 0.0
         for o in odds:
             if o > second:
                 first, second = (o, first) if o > first else (first, o)
-        return (self.words.get(word, 0.0), first, second, sum(odds) / len(odds) if odds else 0.0, get("<" + word[:3], 0.0), get("<" + word[:4], 0.0), min(len(word), 30) / 10)
+        return (self.words.get(word, 0.0), first, second, sum(odds) / len(odds) if odds else 0.0, get(marked[:4], 0.0), get(marked[:5], 0.0), min(len(word), 30) / 10)
 
 
 class Counts:
