@@ -12,7 +12,7 @@ from ..operators.page_rules import FEATURES
 # Anchors that say nothing, phrases of error pages, markers of script-built pages.
 GENERIC_ANCHORS = ["click here", "click this", "here", "read more", "learn more", "more", "link", "this link", "page", "website", "continue", "details"]
 SOFT_404 = "404 not found|page not found|page cannot be found|page was not found"
-SPA_MARKERS = '<div id="?(root|app|__next)"?>|id="root"|id="app"|you need to enable javascript|javascript is required'
+SPA_MARKERS = '<div id="(root|app|__next)">|id="root"|id="app"|<noscript>you need javascript|enable javascript to run this app'
 
 #: The driver's pages have no HTTP response. This made-up one varies by page_id, so that rules meet cases.
 ENVELOPE = {
