@@ -13,7 +13,9 @@ pages whose elements carry data-label="1" or "0" can take their place.
 
 Cases: null html is an empty page; a page without blocks or content has an empty text; broken markup
 is read as browsers do where that matters (open elements end with their parents, p and li end each
-other, a tag cut off at the end of the page is dropped); deep pages are walked without recursion;
+other, a tag cut off at the end of the page is dropped); an svg, object or select is skipped with what it holds
+only if its own end tag is there, else it is an empty block and the page goes on after it; the text of
+math belongs to its block, but for annotations; deep pages are walked without recursion;
 repeated rows fare alike; an empty table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
@@ -30,8 +32,16 @@ from pyspark.sql import functions as F
 
 # Fixed values of HTML: elements that are inline, that have no content, whose content is not text, and that end each other.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br picture source".split())
+MATH = set("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE |= MATH
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = {x: re.compile(rf"</{x}\b", re.I) for x in "script style noscript template textarea title iframe svg math object select xmp noembed noframes".split()}
+#: Parts of an svg; met outside of one that was skipped, they hold nothing.
+VOID |= set("circle clippath defs ellipse filter g line lineargradient mask path pattern polygon polyline radialgradient rect stop symbol tspan use".split())
+RAW = {x: re.compile(rf"</{x}\b", re.I) for x in "script style noscript template textarea title iframe xmp noembed noframes".split()}
+#: Skipped with their content, if they are closed; their start and end tags, and what may hide such tags.
+PAIRED = set("svg object select annotation annotation-xml".split())
+PAIRS = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)\b.*?(?:</\1\b|$)|<(/?)(svg|object|select|annotation-xml|annotation|foreignobject|p|div|h[1-6]|ul|ol|table|blockquote|pre)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+OPTIONS = {"option", "optgroup"}
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}, "body": {"head"},
@@ -44,6 +54,29 @@ ATTRIBUTE = re.compile(r"(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']
 PART = re.compile(r"[a-z]+")
 
 
+def _pairs(source: str) -> dict[int, int]:
+    """Where the skipped elements that are closed begin and end. An end tag closes the nearest start tag of its
+    name; as in browsers, a block of text in an svg ends it, unless it stands in a foreignobject."""
+    out: dict[int, int] = {}
+    begun: dict[str, list[int]] = {x: [] for x in (*PAIRED, "foreignobject")}
+    for m in PAIRS.finditer(source):
+        _, ends, name, attrs = m.groups()
+        if not name:
+            continue
+        name = name.lower()
+        starts = begun.get(name)
+        if starts is None:
+            if begun["svg"] and not (begun["foreignobject"] and begun["foreignobject"][-1] > begun["svg"][-1]):
+                begun["svg"].clear()
+                begun["foreignobject"].clear()
+        elif not ends:
+            if not (attrs.endswith("/") and name in ("svg", "foreignobject")):
+                starts.append(m.start())
+        elif starts:
+            out[starts.pop()] = m.end()
+    return out
+
+
 class Page:
     """The tree of a page: parallel lists, a parent before its children."""
 
@@ -86,7 +119,7 @@ class Page:
                 link -= name == "a"
             del stack[depth:]
 
-        size = len(source)
+        size, pairs = len(source), None
         while at < size:
             m = TAG.search(source, at)
             if not m:
@@ -110,18 +143,25 @@ class Page:
                     if name in INLINE and stack[depth][0] >= 0:
                         break  # an inline end tag doesn't end a block
                 continue
+            if name in PAIRED and pairs is None:
+                pairs = _pairs(source)
             if name in INLINE:
-                if name == "br":
+                if name in ("br", "mtr", "mtd"):
                     held.append(" ")
-                elif name not in VOID:
+                if name not in VOID and not (name in MATH and attrs.endswith("/")):
                     link += name == "a"
                     stack.append((-1, name))
                 continue
+            if name in ("annotation", "annotation-xml"):
+                at = pairs.get(m.start(), at)
+                continue
             close_block()
             reach = CLOSES.get(name)
             for depth in range(len(stack) - 1, 0, -1):
                 top = stack[depth][1]
-                if reach and top in reach or name in ENDS_P and top == "p":
+                if top in OPTIONS and name not in OPTIONS:  # left open by a select without end
+                    pop_to(depth)
+                elif reach and top in reach or name in ENDS_P and top == "p":
                     pop_to(depth)
                     if not reach:
                         break
@@ -134,6 +174,8 @@ class Page:
             if raw := RAW.get(name):
                 end = raw.search(source, at)
                 at = (source.find(">", end.end()) + 1 or size) if end else size
+            elif name in PAIRED:
+                at = pairs.get(m.start(), at)
             elif name not in VOID and not attrs.endswith("/"):
                 stack.append((i, name))
         close_block()
@@ -301,12 +343,27 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
                 body.append(boxes[pick(["advert", "side", "aside", "share", "subscribe", "notice", "form", "menu"])]())
         return "".join(body)
 
+    others = random.Random(seed + 1)  # of its own, so that all else stays as it is without these
+    pieces = (
+        '<svg class="icon" data-label="0"/>', '<svg class="icon" data-label="0"><path d="M0"/></svg>', '<svg class="icon" data-label="0">', '<object data-label="0" data="x">',
+        '<select data-label="0"><option data-label="0">{0}<option data-label="0">{1}', '<select data-label="0"><option>{0}</option></select>', "<p>{0} {1} <math><mi>{0}</mi><mo>=</mo><mn>1</mn></math> {1}.</p>",
+    )
+
+    def with_others(core: str) -> str:
+        at = [m.end() for m in re.finditer("</p>", core)]
+        if not at or others.random() < 0.7:
+            return core
+        k = others.choice(at)
+        piece = others.choice(pieces).format(*("".join(others.choice(parts) for _ in range(3)) for _ in "ab"))
+        return core[:k] + piece + core[k:]
+
     out = []
     for _ in range(n):
         names = pick("- - article post entry content post-content entry-content article-body story main-content text main body".split())
         tag = pick(["article", "article", "article", "main", "div", "section"])
         attr = "" if names == "-" and tag in ("article", "main") else pick([f'class="{names}"', f'id="{names}"']) if names != "-" else 'class="content"'
         core = f'<{tag} {attr} data-label="1">{article()}{maybe(0.15, lambda: boxes["comments"]())}{maybe(0.1, lambda: "<footer data-label=0>" + words(2, 8) + "</footer>")}</{tag}>'
+        core = with_others(core)
         if r.random() < 0.25:
             core = f'<div class="{pick(["container", "wrapper", "page", "row", "col", "layout", "site"])}">{core}{maybe(0.5, lambda: boxes["side"]())}</div>'
         before = [boxes[k]() for k in ("header", "heading", "menu", "notice", "advert", "form") if r.random() < 0.35]

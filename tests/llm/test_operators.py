@@ -497,3 +497,16 @@ def test_extraction_held_out():
             if i in page.text:
                 right, all_ = right + ((p[i] > 0.5) == given[i]), all_ + 1
     assert right / all_ > 0.95
+
+
+@pytest.mark.parametrize("piece", ["<svg class=i/>", "<svg class=i>", "<svg><g><path d=M0>", "<svg><svg></svg>", "<svg><path/></svg>", "<math/>", "<math>", "<object data=x>", "<object data=x>none<object>none</object></object>", "<select><option>A<option>B", "<select><option>A</select>"])
+def test_extraction_goes_on_after(piece):
+    parts = ["First is said here.", "Then more is said.", "Last is said here."]
+    page = "<article><p>{}</p>" + piece + "<p>{}</p><div><svg></svg><object></object><select></select></div><p>{}</p></article>"
+    assert extract.default_model().text(page.format(*parts)).split("\n") == parts
+
+
+def test_extraction_keeps_math():
+    text = extract.default_model().text
+    assert text("<article><p>It is said that <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>") == "It is said that x=1 holds."
+    assert text("<article><p>It is said <math><semantics><mi>x</mi><annotation encoding=tex>y</annotation></semantics></math> here.</p></article>") == "It is said x here."
