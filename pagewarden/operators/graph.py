@@ -71,7 +71,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, tolerance
     return ranks.select("node", (F.col("rank") / F.lit(whole)).alias("rank"))
 
 
-def pagerank_sql(nodes: str, edges: str, rounds: int) -> str:
+def pagerank_sql(nodes: str, edges: str, rounds: int, digits: int = 8) -> str:
     """The same for DuckDB over tables nodes(node) and edges(src, dst), a fixed number of rounds."""
     ctes = [
         f"n AS MATERIALIZED (SELECT DISTINCT node FROM {nodes})", "c AS (SELECT count(*)::DOUBLE AS c FROM n)",
@@ -84,7 +84,7 @@ def pagerank_sql(nodes: str, edges: str, rounds: int) -> str:
             f"r{i + 1} AS MATERIALIZED (SELECT r.node, r.gives, {1 - DAMPING} / c + {DAMPING} * (SELECT coalesce(sum(rank) FILTER (NOT gives), 0) FROM r{i}) / c + {DAMPING} * coalesce(g.got, 0) AS rank"
             f" FROM r{i} AS r CROSS JOIN c LEFT JOIN (SELECT dst, sum(rank * share) AS got FROM s JOIN r{i} ON src = node GROUP BY dst) AS g ON g.dst = r.node)"
         )
-    return "WITH " + ",\n".join(ctes) + f" SELECT node, round(rank / (SELECT sum(rank) FROM r{rounds}), 8) AS rank FROM r{rounds}"
+    return "WITH " + ",\n".join(ctes) + f" SELECT node, round(rank / (SELECT sum(rank) FROM r{rounds}), {digits}) AS rank FROM r{rounds}"
 
 
 def redirect_paths(edges: DataFrame, longest: int = 1000) -> DataFrame:
