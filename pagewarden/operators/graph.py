@@ -87,22 +87,22 @@ def pagerank_sql(nodes: str, edges: str, rounds: int, digits: int = 8) -> str:
     return "WITH " + ",\n".join(ctes) + f" SELECT node, round(rank / (SELECT sum(rank) FROM r{rounds}), {digits}) AS rank FROM r{rounds}"
 
 
-def redirect_paths(edges: DataFrame, longest: int = 1000) -> DataFrame:
+def redirect_paths(edges: DataFrame) -> DataFrame:
     """start, path, is_loop: from every source of a redirect, the nodes along first redirects until one
-    repeats or has none. The first redirect of a node is the one to the least target."""
-    step = stage(edges.filter("edge_type = 'redirect' AND src <> dst").groupBy("src").agg(F.min("dst").alias("dst")), "redirects")
-    going = step.select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
-    done = None
-    for _ in range(longest):
-        going = stage(going, "paths")
-        if not going.limit(1).count():
-            break
-        next_ = going.join(step, F.col("at") == F.col("src"), "left").select("start", "path", F.col("dst").alias("at"))
-        loop = F.coalesce(F.array_contains("path", F.col("at")), F.lit(False))
-        ended = stage(next_.filter(F.col("at").isNull() | loop).select("start", F.when(loop, F.array_append("path", F.col("at"))).otherwise(F.col("path")).alias("path"), loop.alias("is_loop")), "ended")
-        done = ended if done is None else done.unionByName(ended)
-        going = next_.filter(F.col("at").isNotNull() & ~loop).select("start", "at", F.array_append("path", F.col("at")).alias("path"))
-    return done if done is not None else going.select("start", "path", F.lit(False).alias("is_loop"))
+    repeats or has none. The first redirect of a node is the one to the least target.
+
+    A round puts behind a path the one that starts where it ends, so that paths double."""
+    step = edges.filter("edge_type = 'redirect' AND src <> dst").groupBy("src").agg(F.min("dst").alias("dst"))
+    paths = stage(step.select(F.col("src").alias("start"), F.array("src", "dst").alias("path"), F.lit(False).alias("is_loop"), F.lit(False).alias("ended")), "paths")
+    while paths.filter("NOT ended").limit(1).count():
+        behind = paths.select(F.col("start").alias("at"), F.col("path").alias("more"), F.col("ended").alias("last"))
+        met = paths.filter("NOT ended").withColumn("at", F.element_at("path", -1)).join(behind, "at", "left")
+        met = met.withColumn("path", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.expr("concat(path, slice(more, 2, size(more)))")))
+        # Nodes after the first that repeats have all been seen: the distinct ones come before it.
+        met = met.withColumn("n", F.size(F.array_distinct("path"))).withColumn("is_loop", F.col("n") < F.size("path"))
+        new = met.select("start", F.expr("slice(path, 1, n + 1)").alias("path"), "is_loop", (F.col("is_loop") | F.col("more").isNull() | F.coalesce("last", F.lit(False))).alias("ended"))
+        paths = stage(paths.filter("ended").unionByName(new), "paths")
+    return paths.drop("ended")
 
 
 def redirect_loops(paths: DataFrame) -> DataFrame:

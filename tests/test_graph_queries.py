@@ -34,3 +34,12 @@ def test_a_node_for_every_key(spark):
     kinds["custkey"] |= kinds["suppkey"]  # every supplier leads to the customer of its number
     nodes = sum(map(len, kinds.values()))
     assert registry.QUERIES["graph_degrees_whole"](spark, SF).count() == nodes > 997
+
+
+def test_redirects_longer_than_a_thousand(spark):
+    chain, loop = [(i, i + 1) for i in range(1100)], [(5000 + i, 5000 + (i + 1) % 1050) for i in range(1050)] + [(9000, 5000)]
+    edges = spark.createDataFrame([(a, b, "redirect") for a, b in chain + loop], "src long, dst long, edge_type string")
+    got = {r["start"]: (r["path"], r["is_loop"]) for r in g.redirect_paths(edges).collect()}
+    assert len(got) == len(chain) + len(loop)
+    assert all(got[i] == (list(range(i, 1101)), False) for i in range(1100))
+    assert got[5001] == ([*range(5001, 6050), 5000, 5001], True) and got[9000] == ([9000, *range(5000, 6050), 5000], True)
