@@ -510,3 +510,18 @@ def test_extraction_keeps_math():
     text = extract.default_model().text
     assert text("<article><p>It is said that <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>") == "It is said that x=1 holds."
     assert text("<article><p>It is said <math><semantics><mi>x</mi><annotation encoding=tex>y</annotation></semantics></math> here.</p></article>") == "It is said x here."
+
+
+def test_sketches_lose_less_than_bands():
+    import math
+
+    cells = np.arange(neardup.SKETCH_BITS // 2)
+    most = int(cells[neardup.estimate(cells) >= 0.8 - neardup.MARGIN].max())
+    odd, lost = np.eye(1, 2 * neardup.SAMPLES + 2)[0], 0.0  # the chance of so many odd cells, two more throws for each sample that differs
+    k = np.arange(len(odd))
+    for d in range(neardup.SAMPLES + 1):
+        lost += math.comb(neardup.SAMPLES, d) * 0.2**d * 0.8 ** (neardup.SAMPLES - d) * odd[most + 1 :].sum()
+        for _ in range(2):
+            up, down = odd * (1 - k / neardup.SKETCH_BITS), odd * k / neardup.SKETCH_BITS
+            odd = np.concatenate([[0], up[:-1]]) + np.concatenate([down[1:], [0]])
+    assert 0 < lost < (1 - 0.8**neardup.ROWS) ** neardup.BANDS
