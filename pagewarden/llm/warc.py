@@ -217,4 +217,10 @@ def roundtrip(pages: DataFrame, least: int = LEAST_BYTES, folder: str | None = N
         none = spark.range(0)
         return none.selectExpr("id page_id", "cast(null as string) url", "'' record_type", "id payload_bytes", "'' payload_digest", "id refers_to", "cast(null as binary) payload", "true whole")
     normalise(f"{folder}/monolithic", f"{folder}/records", spark)
-    return read_archives(f"{folder}/records", spark)
+    return verified(read_archives(f"{folder}/records", spark))
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """records; fails on a response whose payload, as read, hasn't the length and digest of its header."""
+    broken = F.raise_error(F.concat(F.lit("payload of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(" was altered")))
+    return records.withColumn("payload_digest", F.when(F.col("whole"), F.col("payload_digest")).otherwise(broken.cast("string")))

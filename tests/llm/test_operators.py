@@ -525,3 +525,10 @@ def test_sketches_lose_less_than_bands():
             up, down = odd * (1 - k / neardup.SKETCH_BITS), odd * k / neardup.SKETCH_BITS
             odd = np.concatenate([[0], up[:-1]]) + np.concatenate([down[1:], [0]])
     assert 0 < lost < (1 - 0.8**neardup.ROWS) ** neardup.BANDS
+
+
+def test_altered_payload_fails(spark):
+    read = spark.createDataFrame([(1, "a", True), (2, "b", False)], "page_id long, payload_digest string, whole boolean")
+    assert rows(warc.verified(read.filter("whole")).select("page_id", "payload_digest"), "page_id", "payload_digest") == [(1, "a")]
+    with pytest.raises(Exception, match="page 2 was altered"):
+        warc.verified(read).select("page_id", "payload_digest").collect()
