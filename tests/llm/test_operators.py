@@ -81,7 +81,7 @@ def test_top_k_odd_rows(spark):
     bad = [(1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (None, [1.0, 1.0]), (6, []), (50, [1.0, 1.0]), (7, [1.0]), (8, [1.0, 1.0])]
     df = spark.createDataFrame(bad, "vec_id long, embedding array<float>")
     got = topk.top_k(df, F.col("vec_id") % 50 == 0)
-    assert rows(got, "query_id", "rank", "vec_id", "score") == [(50, 1, 8, 131072), (50, 2, 7, 65536)]
+    assert rows(got, "query_id", "rank", "vec_id", "score") == [(50, 1, 8, 131072), (50, 2, 7, 65536), (50, 3, 6, 0)]
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
@@ -90,16 +90,33 @@ def test_threshold_search_stops_early():
     matrix = np.zeros((1000, 2))
     matrix[:, 0] = r.permutation(1000)
     orders = np.argsort(matrix, axis=0, kind="stable").T
-    seen = []
+    queries, own = np.array([[3.0, 0.0], [-1.0, 0.0]]), np.array([-1, -2])
+    best = topk.Best(2, 3)
+    work = topk.threshold_search(queries, own, np.arange(2), np.arange(1000), matrix, orders, best)
+    assert best.exact.tolist() == [[2997, 2994, 2991], [0, -1, -2]] and work < 200
+    # a block that can't beat the kth score isn't read at all
+    assert topk.threshold_search(queries, own, np.arange(2), np.arange(1000), matrix - [[500.0, 0.0]], orders, topk.Best(2, 3, np.array([1500.0, 501.0]))) == 0
 
-    class Watched(np.ndarray):
-        def __getitem__(self, at):
-            if isinstance(at, np.ndarray) and at.ndim == 1:
-                seen.append(len(at))
-            return super().__getitem__(at)
 
-    best = topk.threshold_search(np.array([3.0, 0.0]), -1, np.arange(1000), matrix.view(Watched), orders, [], 3)
-    assert [-s for s, _ in best] == [2997, 2994, 2991] and sum(seen) < 50
+def test_top_k_scores_few_of_alike_vectors(spark, monkeypatch):
+    """Like vectors share blocks, and the bound from a query's own block rules the others out."""
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    r = np.random.default_rng(4)
+    centres = np.eye(8) * 10
+    vectors = [(i, (centres[i % 8] + r.normal(size=8) * 0.01).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    packed = topk.index(df.select("vec_id", topk.quantised().alias("q"))).collect()
+    q = {i: np.floor(np.array(v) * 256) for i, v in vectors}
+    own = np.arange(0, 4000, 500)
+    queries, best = np.stack([q[i] for i in own]), topk.Best(len(own), 5)
+    blocks = [(np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["rows"], "<i8").reshape(-1, b["dims"]).astype(float), np.frombuffer(b["orders"], "<i4").reshape(b["dims"], -1)) for b in packed]
+    for block in blocks:
+        topk.threshold_search(queries, own, np.arange(len(own)), *block, best)
+    again = topk.Best(len(own), 5, best.kth(np.arange(len(own))))
+    assert sum(topk.threshold_search(queries, own, np.arange(len(own)), *block, again) for block in blocks) < 0.2 * len(own) * 4000
+    assert (again.ids == best.ids).all()
+    for i, (ids, scores) in zip(own, zip(best.ids, best.exact)):
+        assert list(zip((-scores).tolist(), ids.tolist())) == sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:5]
 
 
 # 2 BPE
