@@ -65,37 +65,42 @@ def _cell(q: str) -> Column:
     return F.when(F.size(q) > 0, 2 * at + (F.get(q, (at - 1).cast("int")) < 0).cast("long")).otherwise(F.lit(-1)).cast("long")
 
 
-def _pack(batches):
-    """Blocks of rows: cells from and to, ids, matrix, and the order of the rows in each dimension."""
-    held = []
-
-    def block(cells, ids, rows):
-        order = np.argsort(rows, axis=0, kind="stable").astype("<i4")
-        bounds = {"low": pa.array([int(cells.min())], pa.int64()), "high": pa.array([int(cells.max())], pa.int64())}
-        return pa.RecordBatch.from_pydict({"dims": pa.array([rows.shape[1]], pa.int32()), **bounds, "ids": [ids.astype("<i8").tobytes()], "rows": [rows.astype("<i8").tobytes()], "orders": [np.ascontiguousarray(order.T).tobytes()]})
-
-    def joined():
-        width = max(r.shape[1] for *_, r in held)
-        return *(np.concatenate([h[i] for h in held]) for i in range(2)), np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for *_, r in held])
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append((batch.column("cell").to_numpy(), batch.column("vec_id").to_numpy(), _matrix(batch.column("q"))))
-            if sum(len(i) for _, i, _ in held) >= BLOCK:
-                parts = joined()
-                whole = len(parts[0]) // BLOCK * BLOCK
-                for at in range(0, whole, BLOCK):
-                    yield block(*(x[at : at + BLOCK] for x in parts))
-                held = [tuple(x[whole:] for x in parts)] if whole < len(parts[0]) else []
-    if held:
-        yield block(*joined())
+def _block(cells: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(rows, axis=0, kind="stable").astype("<i4")
+    bounds = {"low": pa.array([int(cells.min())], pa.int64()), "high": pa.array([int(cells.max())], pa.int64())}
+    return pa.RecordBatch.from_pydict({"dims": pa.array([rows.shape[1]], pa.int32()), **bounds, "ids": [ids.astype("<i8").tobytes()], "rows": [rows.astype("<i8").tobytes()], "orders": [np.ascontiguousarray(order.T).tobytes()]})
+
+
+def _joined(held: list[tuple]) -> tuple:
+    width = max(r.shape[1] for *_, r in held)
+    return *(np.concatenate([h[i] for h in held]) for i in range(2)), np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for *_, r in held])
+
+
+def _pack(size: int):
+    """Blocks of `size` rows: cells from and to, ids, matrix, and the order of the rows in each dimension."""
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column("cell").to_numpy(), batch.column("vec_id").to_numpy(), _matrix(batch.column("q"))))
+                if sum(len(i) for _, i, _ in held) >= size:
+                    parts = _joined(held)
+                    whole = len(parts[0]) // size * size
+                    for at in range(0, whole, size):
+                        yield _block(*(x[at : at + size] for x in parts))
+                    held = [tuple(x[whole:] for x in parts)] if whole < len(parts[0]) else []
+        if held:
+            yield _block(*_joined(held))
+
+    return run
 
 
 def index(vectors: DataFrame) -> DataFrame:
     """The staged blocks of vectors(vec_id, q of long)."""
     sized = vectors.select("vec_id", "q", _cell("q").alias("cell"))
     ordered = sized.orderBy("cell", F.array_max(F.transform("q", lambda x: F.abs(x))), "vec_id")
-    return stage(ordered.mapInArrow(_pack, "dims int, low bigint, high bigint, ids binary, rows binary, orders binary"), "blocks")
+    return stage(ordered.mapInArrow(_pack(BLOCK), "dims int, low bigint, high bigint, ids binary, rows binary, orders binary"), "blocks")
 
 
 class Best:
