@@ -40,7 +40,6 @@ VOID |= set("circle clippath defs ellipse filter g line lineargradient mask path
 RAW = {x: re.compile(rf"</{x}\b", re.I) for x in "script style noscript template textarea title iframe xmp noembed noframes".split()}
 #: Skipped with their content, if they are closed; their start and end tags, and what may hide such tags.
 PAIRED = set("svg object select annotation annotation-xml".split())
-PAIRS = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)\b.*?(?:</\1\b|$)|<(/?)(svg|object|select|annotation-xml|annotation|foreignobject|p|div|h[1-6]|ul|ol|table|blockquote|pre)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 OPTIONS = {"option", "optgroup"}
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -49,34 +48,138 @@ CLOSES = {
 ENDS_P = set("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: What an implied end tag doesn't reach through.
 STOPS = set("ul ol table div article section main aside nav header footer form body td th dl blockquote".split())
-TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(>|$))", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: What matters within a tag: its end, or a quote that begins a value.
+WITHIN = re.compile(r">|=\s*([\"'])")
+#: Blocks of text, before which an svg ends.
+ENDS_SVG = set("p div h1 h2 h3 h4 h5 h6 ul ol table blockquote pre".split())
 ATTRIBUTE = re.compile(r"(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 
 
+class Tags:
+    """The tags of a source, read forward only: after(at) gives the next one's begin and end, whether it is an
+    end tag, its name and its attributes. A comment, a declaration or a tag cut off by the end of the
+    page has no name. A quote that is never closed doesn't hide the rest: its tag ends at the next ">"."""
+
+    __slots__ = ("source", "last")
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {quote: source.rfind(quote) for quote in "\"'"}
+
+    def after(self, at: int):
+        source = self.source
+        while (begin := source.find("<", at)) >= 0:
+            if source.startswith("<!--", begin):
+                end = source.find("-->", begin + 4)
+                return begin, end + 3 if end >= 0 else len(source), False, None, ""
+            if source[begin + 1 : begin + 2] in ("!", "?"):
+                end = source.find(">", begin)
+                return begin, end + 1 if end >= 0 else len(source), False, None, ""
+            if named := NAME.match(source, begin + 1):
+                end = self._end(named.end())
+                if end < 0:
+                    return begin, len(source), False, None, ""
+                return begin, end, bool(named.group(1)), named.group(2).lower(), source[named.end() : end - 1]
+            at = begin + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """Behind the ">" that ends the tag, or -1."""
+        while m := WITHIN.search(self.source, at):
+            quote = m.group(1)
+            if quote is None:
+                return m.end()
+            # beyond the last quote of its kind there is none to close this one
+            at = self.source.find(quote, m.end()) + 1 if m.end() <= self.last[quote] else m.end()
+        return -1
+
+    def past_raw(self, at: int, name: str) -> int:
+        """Behind the end tag of an element whose content isn't markup, or the end of the page."""
+        end = RAW[name].search(self.source, at)
+        return (self.source.find(">", end.end()) + 1 or len(self.source)) if end else len(self.source)
+
+
 def _pairs(source: str) -> dict[int, int]:
     """Where the skipped elements that are closed begin and end. An end tag closes the nearest start tag of its
     name; as in browsers, a block of text in an svg ends it, unless it stands in a foreignobject."""
     out: dict[int, int] = {}
     begun: dict[str, list[int]] = {x: [] for x in (*PAIRED, "foreignobject")}
-    for m in PAIRS.finditer(source):
-        _, ends, name, attrs = m.groups()
-        if not name:
+    tags, at = Tags(source), 0
+    while tag := tags.after(at):
+        begin, at, ends, name, attrs = tag
+        if name is None:
             continue
-        name = name.lower()
         starts = begun.get(name)
         if starts is None:
-            if begun["svg"] and not (begun["foreignobject"] and begun["foreignobject"][-1] > begun["svg"][-1]):
+            if name in ENDS_SVG and begun["svg"] and not (begun["foreignobject"] and begun["foreignobject"][-1] > begun["svg"][-1]):
                 begun["svg"].clear()
                 begun["foreignobject"].clear()
+            elif name in RAW and not ends:
+                at = tags.past_raw(at, name)
         elif not ends:
             if not (attrs.endswith("/") and name in ("svg", "foreignobject")):
-                starts.append(m.start())
+                starts.append(begin)
         elif starts:
-            out[starts.pop()] = m.end()
+            out[starts.pop()] = at
     return out
 
 
+class Open:
+    """The open elements, and where among them each name, each block and each element that stops an implied
+    end tag stands, so that no question walks the whole stack."""
+
+    def __init__(self):
+        self.stack: list[tuple[int, str]] = [(0, "#root")]
+        self.where: dict[str, list[int]] = {}
+        self.blocks, self.stops = [0], []
+
+    def push(self, node: int, name: str) -> None:
+        depth = len(self.stack)
+        self.stack.append((node, name))
+        self.where.setdefault(name, []).append(depth)
+        if node >= 0:
+            self.blocks.append(depth)
+        if name in STOPS:
+            self.stops.append(depth)
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            node, name = self.stack.pop()
+            self.where[name].pop()
+            if node >= 0:
+                self.blocks.pop()
+            if name in STOPS:
+                self.stops.pop()
+
+    def nearest(self, name: str) -> int:
+        """The depth of the innermost element of that name, or 0."""
+        at = self.where.get(name)
+        return at[-1] if at else 0
+
+    def owner(self) -> int:
+        """The node of the innermost block."""
+        return self.stack[self.blocks[-1]][0]
+
+    def make_room(self, name: str) -> None:
+        """Ends what the start tag of a block ends: an open p, parts of a list or table of its kind, options."""
+        reach = CLOSES.get(name, ())
+        floor = next((d for d in reversed(self.stops) if self.stack[d][1] not in reach), 0)
+        ended = [x for x in reach] + ([] if name in OPTIONS else list(OPTIONS))
+        depths = [d for x in ended for d in self._above(x, floor)]
+        if name in ENDS_P and (d := self.nearest("p")) > floor:
+            depths.append(d)
+        if depths:
+            self.pop_to(min(depths))
+
+    def _above(self, name: str, floor: int):
+        for d in reversed(self.where.get(name, ())):
+            if d <= floor:
+                return
+            yield d
+
+
 class Page:
     """The tree of a page: parallel lists, a parent before its children."""
 
@@ -86,7 +189,7 @@ class Page:
         self.parent, self.tag, self.attrs = [-1], ["#root"], [""]
         self.text: dict[int, str] = {}
         self.links: dict[int, float] = {}
-        stack, at, link = [(0, "#root")], 0, 0
+        opened, tags, at = Open(), Tags(source), 0
         held: list[str] = []
         linked = 0
 
@@ -96,8 +199,7 @@ class Page:
                 text = " ".join("".join(held).split())
                 if text:
                     i = len(self.parent)
-                    owner = next(n for n, _ in reversed(stack) if n >= 0)
-                    self.parent.append(owner)
+                    self.parent.append(opened.owner())
                     self.tag.append("#text")
                     self.attrs.append("")
                     self.text[i] = text
@@ -110,38 +212,21 @@ class Page:
             if piece:
                 piece = entities.unescape(piece) if "&" in piece else piece
                 held.append(piece)
-                if link:
+                if opened.where.get("a"):
                     linked += len(piece)
 
-        def pop_to(depth: int):
-            nonlocal link
-            for _, name in stack[depth:]:
-                link -= name == "a"
-            del stack[depth:]
-
-        size, pairs = len(source), None
-        while at < size:
-            m = TAG.search(source, at)
-            if not m:
-                rest = source[at:]
-                cut = rest.rfind("<")
-                say(rest[:cut] if cut >= 0 and re.match(r"<[a-zA-Z/!?]", rest[cut:]) else rest)
-                break
-            say(source[at : m.start()])
-            at = m.end()
-            ends, name, attrs, shut = m.groups()
-            if name is None or not shut:
+        pairs = None
+        while tag := tags.after(at):
+            say(source[at : tag[0]])
+            begin, at, ends, name, attrs = tag
+            if name is None:
                 continue
-            name = name.lower()
             if ends:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][1] == name:
-                        if name not in INLINE or any(n >= 0 for n, _ in stack[depth:]):
-                            close_block()
-                        pop_to(depth)
-                        break
-                    if name in INLINE and stack[depth][0] >= 0:
-                        break  # an inline end tag doesn't end a block
+                depth = opened.nearest(name)
+                if depth and not (name in INLINE and depth < opened.blocks[-1]):  # an inline end tag doesn't end a block
+                    if name not in INLINE:
+                        close_block()
+                    opened.pop_to(depth)
                 continue
             if name in PAIRED and pairs is None:
                 pairs = _pairs(source)
@@ -149,35 +234,24 @@ class Page:
                 if name in ("br", "mtr", "mtd"):
                     held.append(" ")
                 if name not in VOID and not (name in MATH and attrs.endswith("/")):
-                    link += name == "a"
-                    stack.append((-1, name))
+                    opened.push(-1, name)
                 continue
             if name in ("annotation", "annotation-xml"):
-                at = pairs.get(m.start(), at)
+                at = pairs.get(begin, at)
                 continue
             close_block()
-            reach = CLOSES.get(name)
-            for depth in range(len(stack) - 1, 0, -1):
-                top = stack[depth][1]
-                if top in OPTIONS and name not in OPTIONS:  # left open by a select without end
-                    pop_to(depth)
-                elif reach and top in reach or name in ENDS_P and top == "p":
-                    pop_to(depth)
-                    if not reach:
-                        break
-                elif top in STOPS:
-                    break
+            opened.make_room(name)
             i = len(self.parent)
-            self.parent.append(next(n for n, _ in reversed(stack) if n >= 0))
+            self.parent.append(opened.owner())
             self.tag.append(name)
             self.attrs.append(attrs)
-            if raw := RAW.get(name):
-                end = raw.search(source, at)
-                at = (source.find(">", end.end()) + 1 or size) if end else size
+            if name in RAW:
+                at = tags.past_raw(at, name)
             elif name in PAIRED:
-                at = pairs.get(m.start(), at)
+                at = pairs.get(begin, at)
             elif name not in VOID and not attrs.endswith("/"):
-                stack.append((i, name))
+                opened.push(i, name)
+        say(source[at:])
         close_block()
 
 

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -549,3 +550,16 @@ def test_altered_payload_fails(spark):
     assert rows(warc.verified(read.filter("whole")).select("page_id", "payload_digest"), "page_id", "payload_digest") == [(1, "a")]
     with pytest.raises(Exception, match="page 2 was altered"):
         warc.verified(read).select("page_id", "payload_digest").collect()
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000 + '"', '<a b="c" ' * 100_000 + '"', "<div>" * 100_000 + "</x>" * 100_000, "<b>" * 200_000 + "<p>x" * 50_000, "<svg>" * 100_000 + '<object "' * 50_000, "<" * 1_000_000])
+def test_broken_megabytes_take_linear_time(page):
+    model = extract.default_model()
+    begun = time.process_time()
+    model.text(page)
+    assert time.process_time() - begun < 20
+
+
+def test_unclosed_quote_hides_no_text():
+    page = '<body><article><p>' + "One sentence of the article, long enough to count. " * 3 + '</p><p class="x>' + "Another sentence of the article, just as long. " * 3 + "</p></article></body>"
+    assert "Another sentence" in extract.default_model().text(page)
