@@ -3,12 +3,12 @@
 A monolithic archive is one gzip member around all its records: to reach the last record, all before
 it must be inflated. The normaliser inflates such a stream once, in chunks, rewrites every record as
 a gzip member of its own and writes a sidecar index with each member's offset and length, so that a
-reader can seek to one record. Archives are cut at ARCHIVE_BYTES of payload, so a task's memory does
+reader can seek to one record. Archives are cut at ARCHIVE_BYTES of records, so a task's memory does
 not depend on the input.
 
-Files go to the folder given, through the file system of its URI. They are written under a
-temporary name and renamed, and names depend on the partition alone, so a task that runs again
-replaces its own files.
+Files go to the folder given, through the file system of its URI. Every attempt of a task writes under
+names of its own, and what is read later are only the names in the staged table of archives, which holds
+those of the attempts that Spark committed: what a lost or doubled attempt leaves is never read.
 
 Cases: null html is an empty payload; a null page_id or url is written as an empty header and read
 back as null; rows that repeat a page_id get a record each; an empty table gives no archive and an
@@ -20,7 +20,6 @@ import base64
 import gzip
 import hashlib
 import json
-import posixpath
 import uuid
 import zlib
 
@@ -33,7 +32,7 @@ from .common import attach, fresh, stage
 
 #: Payloads under this length are never revisits.
 LEAST_BYTES = 1000
-#: An archive is closed when its payloads exceed this.
+#: An archive is closed when its records exceed this.
 ARCHIVE_BYTES = 16 << 20
 CHUNK = 1 << 18
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -49,10 +48,8 @@ def place(uri: str):
 def _put(uri: str, name: str, data: bytes) -> None:
     system, folder = place(uri)
     system.create_dir(folder, recursive=True)
-    part = f"{folder}/.{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(part, compression=None) as out:
+    with system.open_output_stream(f"{folder}/{name}", compression=None) as out:
         out.write(data)
-    system.move(part, f"{folder}/{name}")
 
 
 def compose(record: dict) -> bytes:
@@ -108,19 +105,19 @@ def records_of(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
 def _writer(folder: str):
     def run(batches):
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        attempt, number, held, size = uuid.uuid4().hex[:16], 0, [], 0
 
         def close():
-            name = f"part-{part:06d}-{number:04d}.warc.gz"
+            name = f"part-{TaskContext.get().partitionId():06d}-{attempt}-{number:04d}.warc.gz"
             _put(folder, name, gzip.compress(b"".join(held), 6, mtime=0))
             return pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([len(held)], pa.int64())})
 
+        empty = lambda x: "" if x is None else x
         for batch in batches:
             for page, url, payload, sha1, length, kind, refers in zip(*(c.to_pylist() for c in batch.columns)):
-                empty = lambda x: "" if x is None else x
                 clean = empty(url).replace("\r", "%0D").replace("\n", "%0A")
                 held.append(compose({"id": empty(page), "url": clean, "payload": payload, "sha1": sha1, "length": length, "type": kind, "refers_to": empty(refers)}))
-                size += length
+                size += len(held[-1])
                 if size > ARCHIVE_BYTES:
                     yield close()
                     number, held, size = number + 1, [], 0
@@ -135,41 +132,70 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     return stage(records.mapInArrow(_writer(folder), "archive string, records bigint"), "archives")
 
 
-def split_stream(data: bytes):
-    """The records of a gzip stream, inflated once and in chunks."""
-    inflate, held, at = zlib.decompressobj(31), bytearray(), 0
-    need = None
-    while True:
-        if need is None and (end := held.find(b"\r\n\r\n")) >= 0:
-            head = bytes(held[:end])
-            need = end + 8 + int(head.rpartition(b"Content-Length: ")[2].split(b"\r\n")[0])
-        if need is not None and len(held) >= need:
+def archives_in(folder: str, spark) -> DataFrame:
+    """The names of all archives that lie in a folder, for archives from elsewhere."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("archive"))
+
+
+def _dealt(archives: DataFrame) -> DataFrame:
+    """The names, few to a task: a name is small, but what it names isn't."""
+    spark = archives.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return archives.select("archive").repartition(max(1, min(archives.count(), tasks)), "archive")
+
+
+def split_stream(chunks):
+    """The records of a gzip stream given in chunks, inflated once and a chunk at a time."""
+    inflate, held, need, scanned = zlib.decompressobj(31), bytearray(), None, 0
+
+    def pieces():
+        nonlocal inflate
+        for data in chunks:
+            while data:
+                yield inflate.decompress(data, CHUNK)
+                if inflate.eof:  # members one after another are one stream as well
+                    data, inflate = inflate.unused_data, zlib.decompressobj(31)
+                else:
+                    data = inflate.unconsumed_tail
+        yield inflate.flush()
+
+    for piece in pieces():
+        held += piece
+        while True:
+            if need is None:
+                end = held.find(b"\r\n\r\n", max(0, scanned - 3))
+                if end < 0:
+                    scanned = len(held)
+                    break
+                need = end + 8 + int(bytes(held[:end]).rpartition(b"Content-Length: ")[2].split(b"\r\n")[0])
+            if len(held) < need:
+                break
             yield bytes(held[:need])
             del held[:need]
-            need = None
-        elif inflate.eof and inflate.unused_data:  # members one after another are one stream as well
-            rest, inflate = inflate.unused_data, zlib.decompressobj(31)
-            held += inflate.decompress(rest)
-        elif at < len(data):
-            held += inflate.decompress(data[at : at + CHUNK])
-            at += CHUNK
-        else:
-            if held.strip():
-                raise ValueError("the archive ends within a record")
-            return
-
-
-def _normaliser(folder: str):
+            need, scanned = None, 0
+    if held.strip():
+        raise ValueError("the archive ends within a record")
+
+
+def _chunks(system, path: str):
+    with system.open_input_stream(path, compression=None) as f:
+        while data := f.read(CHUNK):
+            yield data
+
+
+def _normaliser(source: str, folder: str):
     def run(batches):
+        system, at = place(source)
         for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            for archive in batch.column("archive").to_pylist():
                 out, index = bytearray(), []
-                for record in split_stream(data):
+                for record in split_stream(_chunks(system, f"{at}/{archive}")):
                     member = gzip.compress(record, 6, mtime=0)
                     fields = parse(record)
                     index.append({"offset": len(out), "length": len(member), "page_id": fields["page_id"], "digest": fields["payload_digest"], "type": fields["record_type"]})
                     out += member
-                name = posixpath.basename(path)
+                name = f"{archive.removesuffix('.warc.gz')}-{uuid.uuid4().hex[:16]}.warc.gz"
                 _put(folder, name, bytes(out))
                 _put(folder, name.removesuffix(".warc.gz") + ".idx", "".join(json.dumps(x) + "\n" for x in index).encode())
                 yield pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([len(index)], pa.int64()), "bytes": pa.array([len(out)], pa.int64())})
@@ -177,35 +203,32 @@ def _normaliser(folder: str):
     return run
 
 
-def normalise(source: str, folder: str, spark) -> DataFrame:
-    """Rewrites the archives in source, one member a record, with sidecar indexes; a row for each archive."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(source).select("path", "content")
-    return stage(files.mapInArrow(_normaliser(folder), "archive string, records bigint, bytes bigint"), "normalised")
+def normalise(archives: DataFrame, source: str, folder: str) -> DataFrame:
+    """Rewrites the named archives of the folder source, one member a record, with sidecar indexes; a row for each new archive."""
+    return stage(_dealt(archives).mapInArrow(_normaliser(source, folder), "archive string, records bigint, bytes bigint"), "normalised")
+
+
+KINDS = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.binary(), "whole": pa.bool_()}
 
 
 def _reader(folder: str):
     def run(batches):
         system, at = place(folder)
         for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                with system.open_input_stream(f"{at}/{posixpath.basename(path).removesuffix('.warc.gz')}.idx", compression=None) as f:
-                    yield from _members(data, f.read())
+            for archive in batch.column("archive").to_pylist():
+                with system.open_input_stream(f"{at}/{archive.removesuffix('.warc.gz')}.idx", compression=None) as f:
+                    entries = [json.loads(x) for x in f.read().decode().splitlines()]
+                with system.open_input_file(f"{at}/{archive}") as f:
+                    for i in range(0, len(entries), 200):
+                        rows = [parse(gzip.decompress(f.read_at(x["length"], x["offset"]))) for x in entries[i : i + 200]]
+                        yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in KINDS.items()})
 
     return run
 
 
-def _members(data: bytes, index: bytes):
-    kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.binary(), "whole": pa.bool_()}
-    entries = [json.loads(x) for x in index.decode().splitlines()]
-    for at in range(0, len(entries), 200):
-        rows = [parse(gzip.decompress(data[x["offset"] : x["offset"] + x["length"]])) for x in entries[at : at + 200]]
-        yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
-
-
-def read_archives(folder: str, spark) -> DataFrame:
-    """The records of normalised archives, each inflated on its own at the offset that the index gives."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
-    return files.mapInArrow(_reader(folder), "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary, whole boolean")
+def read_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """The records of the named normalised archives, each inflated on its own at the offset that the index gives."""
+    return _dealt(archives).mapInArrow(_reader(folder), "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary, whole boolean")
 
 
 def roundtrip(pages: DataFrame, least: int = LEAST_BYTES, folder: str | None = None) -> DataFrame:
@@ -213,11 +236,7 @@ def roundtrip(pages: DataFrame, least: int = LEAST_BYTES, folder: str | None = N
     spark = pages.sparkSession
     folder = folder or fresh(spark, "warc")
     archives = write_archives(records_of(pages, least), f"{folder}/monolithic")
-    if archives.limit(1).count() == 0:
-        none = spark.range(0)
-        return none.selectExpr("id page_id", "cast(null as string) url", "'' record_type", "id payload_bytes", "'' payload_digest", "id refers_to", "cast(null as binary) payload", "true whole")
-    normalise(f"{folder}/monolithic", f"{folder}/records", spark)
-    return verified(read_archives(f"{folder}/records", spark))
+    return verified(read_archives(normalise(archives, f"{folder}/monolithic", f"{folder}/records"), f"{folder}/records"))
 
 
 def verified(records: DataFrame) -> DataFrame:

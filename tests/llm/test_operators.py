@@ -458,11 +458,39 @@ def test_warc(spark, tmp_path, monkeypatch):
 def test_warc_streams():
     records = [warc.compose({"id": i, "url": "u", "payload": bytes(i * 997), "sha1": hashlib.sha1(bytes(i * 997)).digest(), "length": i * 997, "type": "response", "refers_to": ""}) for i in range(40)]
     one = gzip.compress(b"".join(records))
-    assert list(warc.split_stream(one)) == records
-    assert list(warc.split_stream(b"".join(map(gzip.compress, records)))) == records
-    assert list(warc.split_stream(gzip.compress(b""))) == []
+    cut = lambda data, n: [data[i : i + n] for i in range(0, len(data), n)]
+    for n in (7, 1000, 1 << 20):
+        assert list(warc.split_stream(cut(one, n))) == records
+        assert list(warc.split_stream(cut(b"".join(map(gzip.compress, records)), n))) == records
+    assert list(warc.split_stream([gzip.compress(b"")])) == []
     with pytest.raises(ValueError):
-        list(warc.split_stream(gzip.compress(b"".join(records)[:-50])))
+        list(warc.split_stream([gzip.compress(b"".join(records)[:-50])]))
+
+
+def test_warc_reads_committed_archives_only(spark, tmp_path):
+    """What a lost or doubled attempt leaves in the folders isn't read, but archives from elsewhere can be."""
+    folder = f"file://{tmp_path}/w"
+    df = spark.createDataFrame([(i, f"u{i}", "x" * i) for i in range(50)], "page_id long, url string, html string")
+    archives = warc.write_archives(warc.records_of(df), f"{folder}/monolithic")
+    stale = warc.compose({"id": 999, "url": "u", "payload": b"old", "sha1": hashlib.sha1(b"old").digest(), "length": 3, "type": "response", "refers_to": ""})
+    warc._put(f"{folder}/monolithic", "part-000000-0000.warc.gz", gzip.compress(stale))
+    ready = warc.normalise(archives, f"{folder}/monolithic", f"{folder}/records")
+    warc._put(f"{folder}/records", "part-000000-0001.warc.gz", gzip.compress(stale))
+    assert rows(warc.read_archives(ready, f"{folder}/records"), "page_id") == sorted(((i,) for i in range(50)), key=str)
+    every = warc.normalise(warc.archives_in(f"{folder}/monolithic", spark), f"{folder}/monolithic", f"{folder}/all")
+    assert warc.read_archives(every, f"{folder}/all").count() == 51
+
+
+def test_warc_closes_archives_of_empty_payloads(spark, tmp_path, monkeypatch):
+    """Archives are cut by the bytes of their records, so pages without payload close them too."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
+    run = warc._writer(f"file://{tmp_path}/w")
+    monkeypatch.setattr(warc.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})()))
+    import pyarrow as pa
+
+    columns = {"page_id": list(range(100)), "url": ["u"] * 100, "payload": [b""] * 100, "sha1": [hashlib.sha1(b"").digest()] * 100, "length": [0] * 100, "type": ["response"] * 100, "refers_to": [None] * 100}
+    done = [b.to_pylist()[0]["records"] for b in run([pa.RecordBatch.from_pydict(columns)])]
+    assert len(done) > 3 and sum(done) == 100
 
 
 # 10 HTML extraction
