@@ -6,6 +6,11 @@ an equal, so it goes straight to the result; just the possibly repeated rows shu
 by the full SHA-256 settles which of them are. False positives cost a shuffle of 40 bytes, never a
 wrong result.
 
+The filter grows with the rows, BITS_A_ROW for each. Beyond 2**MAX_BITS it is cut into parts by bits of
+the digest: digests are written under a folder for each part, without a shuffle, and each part has its
+own two passes over its own folder. So all digests are read as often as with one part, a broadcast
+holds 32 MB whatever the input, and the rate of false positives stays as it is.
+
 Cases: null text counts as empty; all empty texts are equal; rows that repeat a doc_id are all
 returned, each as a member of its group; a null doc_id is kept and never chosen unless its group
 has no other; an empty table gives an empty result; other columns are ignored."""
@@ -17,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, attach, stage
+from .common import SPACE, attach, fresh, stage
 
-#: Bits of the filter for each row, and the most bits: 2**28 buckets, 32 MB, however many rows there are.
+#: Bits of the filter for each row, and the most bits of one part: 2**28 buckets, 32 MB.
 BITS_A_ROW = 16
 MAX_BITS = 28
 SEGMENT = 16
@@ -92,20 +97,44 @@ def _test(bits: int, filter_bytes):
     return run
 
 
-def exact_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    spark = docs.sparkSession
-    digests = stage(docs.select(F.col(id).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest")), "digests")
-    n = digests.count()
-    bits = min(MAX_BITS, max(SEGMENT, int(np.ceil(np.log2(max(1, n) * BITS_A_ROW)))))
+def _marks(digests: DataFrame, bits: int) -> bytes:
+    """The filter of one part: a bit for each bucket hit more than once. The driver gets two bytes for each such
+    bucket, segment by segment, and a part has at most 2**bits / BITS_A_ROW rows."""
     hits = digests.select("digest").mapInArrow(_count_hits(bits), "segment int, many boolean, at binary")
     again = hits.groupBy("segment").applyInPandas(_merge, "segment int, at binary")
     marks = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for row in again.toLocalIterator():  # MAX_BITS / 8 bytes at most, whatever the input
+    for row in again.toLocalIterator():
         at = (row["segment"] << SEGMENT) + np.frombuffer(row["at"], dtype="<u2").astype(np.int64)
         np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    sent = spark.sparkContext.broadcast(marks.tobytes())
-    tested = digests.mapInArrow(_test(bits, sent), "doc_id bigint, digest binary, maybe boolean")
+    return marks.tobytes()
+
+
+def possibly_repeated(digests: DataFrame, rows: int, max_bits: int | None = None) -> DataFrame:
+    """digests(doc_id, digest) with `maybe`: false only where no other row can have the digest."""
+    spark, most = digests.sparkSession, MAX_BITS if max_bits is None else max_bits
+    need = max(SEGMENT, int(np.ceil(np.log2(max(1, rows) * BITS_A_ROW))))
+    bits, parts = min(most, need), 1 << max(0, need - most)
+    if parts > 1:
+        # bytes that the buckets don't use
+        part = F.pmod(F.conv(F.hex(F.substring("digest", 17, 4)), 16, 10).cast("long"), F.lit(parts)).cast("int")
+        digests.withColumn("part", part).write.partitionBy("part").parquet(path := fresh(spark, "parts"))
+        digests = spark.read.schema("doc_id bigint, digest binary, part int").parquet(path)
+    out = None
+    for number in range(parts):
+        mine = digests.filter(F.col("part") == number).drop("part") if parts > 1 else digests
+        sent = spark.sparkContext.broadcast(_marks(mine, bits))
+        tested = mine.mapInArrow(_test(bits, sent), "doc_id bigint, digest binary, maybe boolean")
+        if parts > 1:  # one table, so that the plan doesn't grow with the parts
+            tested.write.mode("append").parquet(done := path + "-tested")
+        else:
+            out = tested
+    return out if parts == 1 else spark.read.schema("doc_id bigint, digest binary, maybe boolean").parquet(done)
+
+
+def exact_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", max_bits: int | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
+    digests = stage(docs.select(F.col(id).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest")), "digests")
+    tested = possibly_repeated(digests, digests.count(), max_bits)
     alone = tested.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
     maybe = stage(tested.filter("maybe").drop("maybe"), "maybe")
     groups = stage(maybe.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")

@@ -420,16 +420,21 @@ def test_exact(spark):
     assert exact.exact_duplicates(df.limit(0)).count() == 0
 
 
-def test_exact_with_a_full_filter(spark, monkeypatch):
-    monkeypatch.setattr(exact, "MAX_BITS", 16)
-    monkeypatch.setattr(exact, "FLUSH", 100)
+def test_exact_in_parts(spark):
+    """A filter cut into parts finds the same groups, and still lets nearly all other rows pass."""
     r = random.Random(1)
-    texts = [f"t{r.randrange(3000)}" for _ in range(4000)]
-    got = exact.exact_duplicates(docs(spark, texts))
+    texts = [f"t{r.randrange(3000)}" for _ in range(4000)] + [f"single{i}" for i in range(9000)] + ["hot"] * 5000
+    df = docs(spark, texts).repartition(3)
     first = {}
     for i, t in enumerate(texts, 1):
         first.setdefault(t, []).append(i)
-    assert rows(got, "doc_id", "keep_id", "group_size") == sorted(((i, first[t][0], len(first[t])) for i, t in enumerate(texts, 1)), key=str)
+    want = sorted(((i, first[t][0], len(first[t])) for i, t in enumerate(texts, 1)), key=str)
+    assert rows(exact.exact_duplicates(df, max_bits=16), "doc_id", "keep_id", "group_size") == want
+    digests = stage(df.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")), "d")
+    for most in (16, 28):
+        tested = exact.possibly_repeated(digests, len(texts), most).filter("maybe").join(df, "doc_id").select("text").collect()
+        assert sum(x["text"].startswith("single") for x in tested) < 9000 * 0.06
+        assert len([x for x in tested if len(first[x["text"]]) > 1]) == sum(len(v) for v in first.values() if len(v) > 1)
 
 
 # 9 WARC
