@@ -213,7 +213,29 @@ def brute_lines(data, least):
     return gone
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.fixture(params=[True, False])
+def ranges(spark, request):
+    """With and without coalesced ranges: small tables else sort into a single one."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, str(request.param).lower())
+    yield
+    spark.conf.unset(key)
+
+
+def test_suffix_ranks_equal_a_sort(spark, ranges):
+    r = random.Random(2)
+    data = [(i, "\n".join(r.choice("abc") for _ in range(r.randrange(1, 60)))) for i in range(30)] + [(40, "a\n" * 70), (41, "a\n" * 70)]
+    found = lines.suffix_ranks(stage(lines._lines(spark.createDataFrame(data, "doc_id long, text string")), "l"))
+    suffixes, ids = {}, {}
+    for row in found.collect():
+        for k, (at, rank) in enumerate(zip(row["at"], row["rank"])):
+            suffixes[row["doc"], at], ids[row["doc"], at] = rank, tuple(row["id"][k:])
+    order = sorted(ids.values())
+    assert len(ids) == sum(len(t.split()) for _, t in data)
+    assert all(suffixes[k] == order.index(ids[k]) for k in ids)
+
+
+def test_line_dedup_equals_brute_force(spark, ranges):
     r = random.Random(7)
     pool = ["a b c", "d e", "f", "g h i j k", "", "l m n o p q r s t u v", "x y z"]
     data = [(i, "\n".join(r.choice(pool) if r.random() < 0.8 else f"u{i} {r.random()}" for _ in range(r.randrange(12)))) for i in range(80)]
@@ -227,6 +249,14 @@ def test_line_dedup_equals_brute_force(spark):
         assert (row["text_kept"], row["lines_deleted"]) == (want, len(gone[i])), i
 
 
+def test_line_dedup_of_very_long_texts(spark):
+    """30,000 lines of which nearly all go: the work grows with the lines, not with their square."""
+    text = "\n".join(f"line {i % 5} of the very same log says the same thing {i % 7} again" for i in range(30_000))
+    begun = time.time()
+    got = lines.line_dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).select("lines_deleted", F.length("text_kept").alias("n")).collect()
+    assert [tuple(x) for x in got] == [(29_965, len("\n".join(text.split("\n")[:35]))), (30_000, 0)] and time.time() - begun < 100
+
+
 def test_line_dedup_odd_rows(spark):
     line = "one two three four five six seven eight nine ten eleven"
     texts = [line + "\nown", None, "", "\n\n", "mine\n" + line + "\nalso mine", line]
