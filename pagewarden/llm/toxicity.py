@@ -1,11 +1,13 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A text is its words (runs of letters, lower-cased), read in overlapping windows of WINDOW words every
-STRIDE words; the last window ends with the text. Each word enters by word and character inputs: the
+STRIDE words; the last window ends with the text. Each word enters by word and character inputs: a trained
+vector of the word, the mean of the trained vectors of its character n-grams, and seven numbers: the
 log-odds of the word, the largest, second largest and mean log-odds of its character n-grams, those of
 its beginnings, and its length. The log-odds are of toxic training documents against others, shrunk
 towards 0; for a training document they leave out that document itself, so that the network doesn't
-learn to trust words it has only seen there. Two gated recurrent layers read a window in either
+learn to trust words it has only seen there. Vectors are trained with the network; in training each is left
+out now and then, for the same reason. Words in one training document only, and n-grams in two, have none. Two gated recurrent layers read a window in either
 direction, attention weighs their states, and a logistic unit scores the sum. A document's score is
 its highest window's.
 
@@ -36,7 +38,12 @@ from .common import slices
 
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2000
 WINDOW, STRIDE = 64, 48
-HIDDEN, ATTENTION, INPUTS = 8, 8, 7
+HIDDEN, ATTENTION = 8, 8
+#: Numbers a word, width of a word's and of an n-gram's vector, and inputs in all.
+NUMBERS, VECTOR = 7, 8
+INPUTS = NUMBERS + 2 * VECTOR
+#: Share of vectors left out in a step of training, and the rate at which the others move.
+LEFT_OUT, VECTOR_RATE = 0.5, 0.005
 #: Steps of gradient descent, whatever the sample's size.
 STEPS, BATCH, RATE = 400, 64, 0.01
 SHRINK = 8.0
@@ -60,22 +67,93 @@ def grams(word: str) -> list[str]:
     return [marked[i : i + 4] for i in range(n - 3)] + [marked[i : i + 5] for i in range(n - 4)]
 
 
-class Inputs:
-    """Log-odds of words and n-grams for any text."""
+def segment_max(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.maximum.reduceat(values, starts) if len(starts) else np.zeros(0)
+
+
+def summed(rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each owner."""
+    return np.stack([np.bincount(owner, weights=rows[:, j], minlength=n) for j in range(rows.shape[1])], axis=1)
 
-    def __init__(self, words: dict[str, float], grams: dict[str, float]):
-        self.words, self.grams = words, grams
 
-    def of(self, word: str) -> tuple[float, ...]:
-        get, marked = self.grams.get, "<" + word
-        n = len(marked)  # the n-grams of grams(), without the list of them
-        odds = [o for i in range(n - 3) if (o := get(marked[i : i + 4])) is not None]
-        odds += [o for i in range(n - 4) if (o := get(marked[i : i + 5])) is not None]
-        first = second = 0.0
-        for o in odds:
-            if o > second:
-                first, second = (o, first) if o > first else (first, o)
-        return (self.words.get(word, 0.0), first, second, sum(odds) / len(odds) if odds else 0.0, get(marked[:4], 0.0), get(marked[:5], 0.0), min(len(word), 30) / 10)
+class Vectors:
+    """Trained vectors of words and of n-grams, by number; number -1 has the last row, of zeros."""
+
+    def __init__(self, words: int, grams: int, seed: int = SEED):
+        r = np.random.default_rng(seed + 1)
+        self.words, self.grams = ((0.1 * r.standard_normal((n + 1, VECTOR))).astype(np.float32) for n in (words, grams))
+        self.words[-1] = self.grams[-1] = 0
+        self.moved = [np.full(len(x), 1e-6) for x in (self.words, self.grams)]
+
+    def of(self, word: np.ndarray, flat: np.ndarray, owner: np.ndarray, keep: tuple | None = None) -> np.ndarray:
+        """Both vectors of each word. flat: n-grams of all words, owner: whose they are."""
+        n = len(word)
+        count = np.maximum(1, np.bincount(owner[flat >= 0], minlength=n))
+        out = np.concatenate((self.words[word], summed(self.grams[flat], owner, n) / count[:, None]), axis=1).astype(np.float32)
+        if keep is not None:
+            out *= np.repeat(np.stack(keep, axis=1), VECTOR, axis=1)
+        return out
+
+    def learn(self, word: np.ndarray, flat: np.ndarray, owner: np.ndarray, d: np.ndarray) -> None:
+        """A step against the gradients d of what of() gave; each row by the size of its gradients so far."""
+        known = flat >= 0
+        count = np.maximum(1, np.bincount(owner[known], minlength=len(word)))
+        for k, (table, at, g) in enumerate(((self.words, word, d[:, :VECTOR]), (self.grams, flat[known], (d[:, VECTOR:] / count[:, None])[owner[known]]))):
+            rows, back = np.unique(at, return_inverse=True)
+            g = summed(g, back, len(rows))
+            self.moved[k][rows] += (g**2).sum(axis=1)
+            table[rows] -= (VECTOR_RATE * g / np.sqrt(self.moved[k][rows])[:, None]).astype(np.float32)
+            table[-1] = 0
+
+
+class Inputs:
+    """The inputs of any word: log-odds and vectors of words and n-grams, looked up by name."""
+
+    def __init__(self, words: dict[str, int], grams: dict[str, int], odds: tuple[np.ndarray, np.ndarray], vectors: Vectors):
+        self.words, self.grams, self.odds = words, grams, odds
+        self.tables = (vectors.words, vectors.grams)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        get, n = self.grams.get, len(words)
+        flat, owner = [], []
+        begin = np.full((n, 2), -1)
+        for i, word in enumerate(words):
+            found = [get(g) for g in grams(word)]
+            if found:
+                begin[i, 0] = -1 if found[0] is None else found[0]
+                at = len(word) - 2  # the first of five letters follows those of four
+                five = found[at] if at < len(found) else found[0] if len(word) == 3 else None
+                begin[i, 1] = -1 if five is None else five
+            found = [g for g in found if g is not None]
+            flat += found
+            owner += [i] * len(found)
+        flat, owner = np.array(flat, dtype=np.int64), np.array(owner, dtype=np.int64)
+        word = np.fromiter((self.words.get(w, -1) for w in words), dtype=np.int64, count=n)
+        vectors = Vectors.__new__(Vectors)
+        vectors.words, vectors.grams = self.tables
+        numbers = numbers_of(word, flat, owner, begin, np.array([len(w) for w in words]), *self.odds)
+        return np.concatenate((numbers, vectors.of(word, flat, owner)), axis=1)
+
+
+def numbers_of(word: np.ndarray, flat: np.ndarray, owner: np.ndarray, begin: np.ndarray, length: np.ndarray, word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
+    """The NUMBERS of each word. word, flat, begin: numbers of words and n-grams, -1 if unknown; odds end with a 0 for those."""
+    n = len(word)
+    out = np.zeros((n, NUMBERS), np.float32)
+    out[:, 0] = word_odds[word]
+    known = flat >= 0
+    values, who = gram_odds[flat[known]], owner[known]
+    if len(values):
+        starts = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+        some = who[starts]
+        high = np.maximum(values, 0)
+        out[some, 1] = largest = segment_max(high, starts)
+        at = np.flatnonzero(high == np.repeat(largest, np.diff(np.append(starts, len(who)))))
+        high[at[np.unique(who[at], return_index=True)[1]]] = 0  # one of each word's largest
+        out[some, 2] = segment_max(high, starts)
+        out[some, 3] = np.add.reduceat(values, starts) / np.diff(np.append(starts, len(who)))
+    out[:, 4:6] = gram_odds[begin]
+    out[:, 6] = np.minimum(length, 30) / 10
+    return out
 
 
 class Counts:
@@ -111,36 +189,33 @@ class Counts:
         out = np.log((t + SHRINK * self.share) / (c + SHRINK * (1 - self.share))) - np.log(self.share / (1 - self.share))
         return np.where(counts.sum(axis=0) >= least, out, np.nan)
 
-    def inputs(self) -> Inputs:
-        table = lambda names, odds: {n: o for n, o in zip(names, odds.tolist()) if o == o}
-        return Inputs(table(self.words, self.odds(self.word_docs, None, 2)), table(self.parts, self.odds(self.part_docs, None, 3)))
+    def known(self) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers that words and n-grams have among those with log-odds, -1 for others."""
+        out = []
+        for counts, least in ((self.word_docs, 2), (self.part_docs, 3)):
+            good = counts.sum(axis=0) >= least
+            out.append(np.where(good, np.cumsum(good) - 1, -1))
+        return out[0], out[1]
+
+    def tables(self, own: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds by those numbers, then a 0. own: for training documents of that label."""
+        return tuple(np.append(o[~np.isnan(o)], 0.0) for o in (self.odds(self.word_docs, own, 2), self.odds(self.part_docs, own, 3)))
+
+    def inputs(self, vectors: Vectors) -> Inputs:
+        names = [{n: int(k) for n, k in zip(x, at.tolist()) if k >= 0} for x, at in zip((self.words, self.parts), self.known())]
+        return Inputs(*names, self.tables(None), vectors)
 
     def matrix(self, own: int) -> np.ndarray:
-        """Inputs.of() of every word, as for a training document of that label."""
+        """The numbers of every word, as for a training document of that label."""
         n = len(self.words)
-        out = np.zeros((n, INPUTS), np.float32)
-        out[:, 0] = np.nan_to_num(self.odds(self.word_docs, own, 2))
-        values = self.odds(self.part_docs, own, 3)[self.flat]
-        has = np.diff(self.ends) > 0
-        starts, owner = self.ends[:-1][has], np.repeat(np.arange(n), np.diff(self.ends))
-        if len(starts):
-            known = ~np.isnan(values)
-            values = np.nan_to_num(values)
-            high = np.maximum(values, 0)
-            largest = np.zeros(n)
-            largest[has] = np.maximum.reduceat(high, starts)
-            out[:, 1] = largest
-            at = np.flatnonzero(high == largest[owner])
-            high[at[np.unique(owner[at], return_index=True)[1]]] = 0  # one of each word's largest
-            out[has, 2] = np.maximum.reduceat(high, starts)
-            out[has, 3] = np.add.reduceat(values, starts) / np.maximum(1, np.add.reduceat(known.astype(np.int64), starts))
-            length = np.array([len(w) for w in self.words])
-            four, five = length >= 3, length >= 4
-            out[four, 4] = values[self.ends[:-1][four]]
-            out[five, 5] = values[self.ends[:-1][five] + length[five] - 2]
-            out[length == 3, 5] = out[length == 3, 4]  # the whole word is the beginning
-        out[:, 6] = [min(len(w), 30) / 10 for w in self.words]
-        return out
+        word, gram = self.known()
+        length = np.array([len(w) for w in self.words])
+        begin = np.full((n, 2), -1)
+        four, five, three = length >= 3, length >= 4, length == 3
+        begin[four, 0] = gram[self.flat[self.ends[:-1][four]]]
+        begin[five, 1] = gram[self.flat[self.ends[:-1][five] + length[five] - 2]]
+        begin[three, 1] = begin[three, 0]  # the whole word is the beginning
+        return numbers_of(word, gram[self.flat], np.repeat(np.arange(n), np.diff(self.ends)), begin, length, *self.tables(own))
 
 
 def windows(n: int) -> list[int]:
@@ -199,7 +274,7 @@ class Network:
         return (logit, (gates, memory, seq, hidden, weight, pooled)) if keep else logit
 
     def backward(self, kept, x: np.ndarray, dlogit: np.ndarray) -> dict:
-        """Gradients of every parameter. x: inputs [steps, windows, INPUTS]."""
+        """Gradients of every parameter and, as "x", of the inputs x [steps, windows, INPUTS]."""
         gates, memory, seq, hidden, weight, pooled = kept
         steps, h, p = len(gates), HIDDEN, self.p
         g = {"o": pooled.T @ dlogit, "c": dlogit.sum()}
@@ -213,7 +288,7 @@ class Network:
         dseq += dhid @ p["A"].T
         dstates = np.stack((dseq[..., :h], dseq[::-1, :, h:]), axis=1)
         dU, dbn, dW, db = (np.zeros_like(p[k]) for k in ("U", "bn", "W", "b"))
-        dstate = np.zeros_like(dstates[0])
+        dstate, dx = np.zeros_like(dstates[0]), np.zeros(x.shape, dtype=x.dtype)
         for t in range(steps - 1, -1, -1):
             state, z, r, inner, new, m = memory[t]
             d = dstates[t] + dstate
@@ -229,7 +304,9 @@ class Network:
             two = np.stack((x[t], x[steps - 1 - t]))
             dW += np.matmul(two.transpose(0, 2, 1), dgate)
             db += dgate.sum(axis=1)
-        return g | {"U": dU, "bn": dbn, "W": dW, "b": db}
+            dx[t] += dgate[0] @ p["W"][0].T
+            dx[steps - 1 - t] += dgate[1] @ p["W"][1].T
+        return g | {"U": dU, "bn": dbn, "W": dW, "b": db, "x": dx}
 
     def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         """x: [steps, windows, INPUTS]."""
@@ -238,18 +315,19 @@ class Network:
         gates = np.stack((gates[:, 0], gates[::-1, 1]), axis=1)
         return self.forward(gates, mask, keep)
 
-    def fit(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = SEED) -> None:
-        """Adam over windows x [windows, steps, INPUTS]."""
+    def fit(self, sample: "Sample", y: np.ndarray, steps: int = STEPS, seed: int = SEED) -> None:
+        """Adam for the network, and a step of the vectors with each of its steps."""
         r = np.random.default_rng(seed)
-        m1, m2, k = ({n: np.zeros_like(v) for n, v in self.p.items()} for _ in range(2)), None, 0
-        first, second = m1
+        first, second = ({n: np.zeros_like(v) for n, v in self.p.items()} for _ in range(2))
+        k = 0
         while k < steps:
             order = r.permutation(len(y))
             for at in range(0, len(order), BATCH):
                 i = order[at : at + BATCH]
-                xs, ms = np.ascontiguousarray(x[i].transpose(1, 0, 2)), mask[i].T
+                xs, ms, learn = sample.inputs(i, r)
                 logit, kept = self.run(xs, ms, keep=True)
                 grads = self.backward(kept, xs, ((_sigmoid(logit) - y[i]) / len(i)).astype(np.float32))
+                learn(grads.pop("x")[..., NUMBERS:])
                 norm = np.sqrt(sum(float((v**2).sum()) for v in grads.values()))
                 k += 1
                 for n, d in grads.items():
@@ -260,6 +338,34 @@ class Network:
                     self.p[n] = (self.p[n] - step).astype(np.float32)
 
 
+class Sample:
+    """Training windows as word numbers, with what their words need for inputs."""
+
+    def __init__(self, counts: Counts, numbers: np.ndarray, windows: np.ndarray, own: np.ndarray, vectors: Vectors):
+        self.numbers, self.windows, self.own, self.vectors = numbers, windows, own, vectors
+        self.word, gram = counts.known()
+        self.flat, self.ends = gram[counts.flat], counts.ends
+
+    def inputs(self, which: np.ndarray, r) -> tuple:
+        """Inputs [steps, windows, INPUTS] and mask of some windows, and what to do with the gradients of their vectors."""
+        ids = self.windows[which].T
+        mask = (ids >= 0).astype(np.float32)
+        words, back = np.unique(ids, return_inverse=True)
+        back = back.reshape(ids.shape)
+        sizes = np.diff(self.ends)[words]
+        owner = np.repeat(np.arange(len(words)), sizes)
+        flat = self.flat[np.repeat(self.ends[:-1][words] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(owner))]
+        keep = tuple((r.random(len(words)) >= LEFT_OUT) / (1 - LEFT_OUT) for _ in "wg")
+        vectors = self.vectors.of(self.word[words], flat, owner, keep)
+        x = np.concatenate((self.numbers[self.own[which][None, :], ids], vectors[back]), axis=2) * mask[..., None]
+
+        def learn(d: np.ndarray) -> None:
+            d = summed((d * mask[..., None]).reshape(-1, 2 * VECTOR), back.ravel(), len(words))
+            self.vectors.learn(self.word[words], flat, owner, d * np.repeat(np.stack(keep, axis=1), VECTOR, axis=1))
+
+        return x.astype(np.float32), mask, learn
+
+
 class Scorer:
     """Inputs and network together; keeps the gates of the latest words."""
 
@@ -281,7 +387,7 @@ class Scorer:
             self.gates[0] = pad[0]
         if new:
             new = list(new)
-            x = np.array([self.inputs.of(w) for w in new], np.float32)
+            x = self.inputs.of(new)
             at = len(self.known) + 1
             self.gates[at : at + len(new)] = self.network.project(x)
             self.known.update(zip(new, range(at, at + len(new))))
@@ -335,29 +441,26 @@ def train(rows: list[tuple[str, int]], share: float | None = None, seed: int = S
     if toxic == 0 or toxic == len(rows):
         return Scorer(None, Network(seed), float(np.log(share / (1 - share))))
     counts = Counts([t for t, _ in rows], [y for _, y in rows])
-    inputs = counts.inputs()
+    vectors = Vectors(*(int(x.max(initial=-1)) + 1 for x in counts.known()), seed)
     r = np.random.default_rng(seed)
-    xs, masks, ys = [], [], []
+    ids, ys = [], []
+    numbers = np.stack([counts.matrix(own) for own in (0, 1)])
     for own in (0, 1):
-        matrix = counts.matrix(own)
-        for ids, (_, y) in zip(counts.docs, rows):
+        for words, (_, y) in zip(counts.docs, rows):
             if y != own:
                 continue
-            x = matrix[ids]
-            starts = windows(len(ids))
-            suspicion = [float(np.sort(x[s : s + WINDOW, :3].max(axis=1, initial=0))[-4:].sum()) for s in starts]
+            starts = windows(len(words))
+            suspicion = [float(np.sort(numbers[own][words[s : s + WINDOW], :3].max(axis=1, initial=0))[-4:].sum()) for s in starts]
             chosen = {starts[int(np.argmax(suspicion))]} | ({starts[int(r.integers(len(starts)))]} if not y else set())
             for s in sorted(chosen):
-                part = x[s : s + WINDOW]
-                xs.append(np.pad(part, ((0, WINDOW - len(part)), (0, 0))))
-                masks.append((np.arange(WINDOW) < len(part)).astype(np.float32))
+                part = words[s : s + WINDOW].astype(np.int64)
+                ids.append(np.pad(part, (0, WINDOW - len(part)), constant_values=-1))
                 ys.append(y)
-    del counts
-    y = np.array(ys, np.float32)
+    y = np.array(ys)
     network = Network(seed)
-    network.fit(np.stack(xs), np.stack(masks), y, seed=seed)
+    network.fit(Sample(counts, numbers, np.stack(ids), y, vectors), y.astype(np.float32), seed=seed)
     seen = y.mean()
-    return Scorer(inputs, network, float(np.log(share / (1 - share)) - np.log(seen / (1 - seen))))
+    return Scorer(counts.inputs(vectors), network, float(np.log(share / (1 - share)) - np.log(seen / (1 - seen))))
 
 
 def fit_scorer(docs: DataFrame, labels: DataFrame) -> Scorer:

@@ -413,6 +413,56 @@ def test_gradients():
         down = loss()
         v[at] = old
         assert abs((up - down) / 2e-3 - float(grads[name][at])) < 1e-4, name
+    for at in ((0, 0, 0), (2, 3, toxicity.NUMBERS + 3), (4, 2, toxicity.INPUTS - 1)):  # of the inputs, from which vectors learn
+        x[at] += 1e-3
+        up = loss()
+        x[at] -= 2e-3
+        down = loss()
+        x[at] += 1e-3
+        assert abs((up - down) / 2e-3 - float(grads["x"][at])) < 1e-4, at
+
+
+def test_vectors_learn():
+    """A step against the gradient moves words and n-grams as their mean asks, and leaves the row of unknown ones at 0."""
+    v = toxicity.Vectors(3, 4)
+    word, flat, owner = np.array([0, 2, -1]), np.array([0, 1, 1, -1, 3]), np.array([0, 0, 1, 1, 2])
+    got = v.of(word, flat, owner)
+    mean = lambda *g: v.grams[list(g)].mean(axis=0)
+    assert np.allclose(got, np.concatenate((v.words[word], np.stack([mean(0, 1), mean(1), mean(3)])), axis=1)) and not got[2, : toxicity.VECTOR].any()
+    v.learn(word, flat, owner, got.astype(float))  # the gradient of half the squares
+    assert (v.of(word, flat, owner) ** 2).sum() < (got**2).sum() and not v.words[-1].any() and not v.grams[-1].any()
+    assert not np.allclose(v.words[0], got[0, : toxicity.VECTOR]) and np.allclose(v.grams[2], toxicity.Vectors(3, 4).grams[2])
+
+
+def plain_score(scorer, text):
+    """The score of a text by loops over windows, words and units."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    words, p, h, out = toxicity.words_in(text.lower()), scorer.network.p, toxicity.HIDDEN, []
+    for start in toxicity.windows(len(words)):
+        part = words[start : start + toxicity.WINDOW]
+        x = scorer.inputs.of(part) if part else np.zeros((0, toxicity.INPUTS))
+        states = np.zeros((len(part), 2 * h))
+        for d, order in enumerate((range(len(part)), range(len(part) - 1, -1, -1))):
+            state = np.zeros(h)
+            for t in order:
+                g, rec = x[t] @ p["W"][d] + p["b"][d], state @ p["U"][d]
+                z, r = sig(g[:h] + rec[:h]), sig(g[h : 2 * h] + rec[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(g[2 * h :] + r * (rec[2 * h :] + p["bn"][d][0]))
+                states[t, d * h : (d + 1) * h] = state
+        e = np.exp([np.tanh(s @ p["A"] + p["a"]) @ p["v"] for s in states])
+        pooled = (e / e.sum()) @ states if len(part) else np.zeros(2 * h)
+        out.append(pooled @ p["o"] + p["c"])
+    return sig(max(out) + scorer.shift)
+
+
+def test_toxicity_equals_plain_loops(spark):
+    data = labelled()
+    scorer = toxicity.train([(t, y) for _, t, y in data[:120]])
+    r = random.Random(4)
+    words = " ".join(t for _, t, _ in data).split()
+    texts = ["", "one"] + [" ".join(r.choice(words) for _ in range(n)) for n in (3, 63, 64, 65, 150, 500)]
+    got = toxicity.score_toxicity(docs(spark, texts), None, scorer).orderBy("doc_id").collect()
+    assert all(abs(x["score"] - plain_score(scorer, t)) < 1e-4 for x, t in zip(got, texts))
 
 
 def test_toxicity_held_out(spark):
