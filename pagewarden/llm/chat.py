@@ -8,15 +8,17 @@ upper case and its place in the transcript. Viterbi finds the likeliest states,
 begin and who speaks. Adjacent lines of one turn are joined, markers are stripped and the turns
 are rendered as "<|role|>\\ntext<|end|>" with one line feed between them.
 
-Emissions and transitions are counts with smoothing over the turns of at most TRAIN_CONVERSATIONS conversations with known
-roles, those with the least hash of their id, once with most turns marked and once with none. A transcript
-that shows any marker is read by the first counts, others by form and order alone.
-
-A conversation is read in pieces of at most PIECE_LINES lines, and pieces carry the state in which
-the last one ended, so memory doesn't depend on a conversation's length.
+Emissions and transitions are counts with smoothing over the turns of conversations with known roles, once
+with most turns marked and once with none. A transcript that shows any marker is read by the first
+counts, others by form and order alone. The sample of labelled rows is bounded: at most
+TRAIN_CONVERSATIONS conversations, those with the least hash of their id, of each the turns numbered
+under TRAIN_TURNS, and only turns of at most TRAIN_CHARS characters; conversations with
+crc32(conv_id as text) mod 4 = 2 are held out. Decoding has no bound: a transcript's lines are decoded
+whole, with six bytes of back pointers a line.
 
 Cases: null or blank text is a transcript without turns, rendered as empty; markers of unknown
-speakers are text; a marker inside a line is text; very long transcripts are read whole; repeated rows fare alike; an
+speakers are text; turns of roles other than system, user and assistant take no part in training, and are found as
+turns of these three or as text of the turn before; turns with equal numbers are read in the order of their lines; rows without conv_id are one conversation; a marker inside a line is text; very long transcripts are read whole; repeated rows fare alike; an
 empty table gives an empty result; other columns pass through, columns named like the added ones are
 replaced."""
 
@@ -27,7 +29,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +42,8 @@ NAMES = {
 }
 ROLE_OF = {name: role for role, names in NAMES.items() for name in names.split()}
 MARKER = re.compile(r"^\s*(?:[#>*\-\[<|]+\s*)*(%s)\s*(?:\d+\s*)?(?:[\]>|*]+\s*:?|:|\s-\s|(?<=\w)$)\s*" % "|".join(sorted(ROLE_OF, key=len, reverse=True)), re.I)
-TRAIN_CONVERSATIONS = 1000
-PIECE_LINES = 4096
+#: Bounds of the training sample: conversations, turns of each by number, characters of a turn.
+TRAIN_CONVERSATIONS, TRAIN_TURNS, TRAIN_CHARS = 1000, 64, 20_000
 #: In training every so many turns lose their marker.
 FORGOTTEN = 10
 MARKER_ELSEWHERE = 1e-6
@@ -112,23 +114,19 @@ class Model:
 
     def viterbi(self, lines: list[str]) -> list[tuple[str, bool]]:
         """Role, and whether a turn starts, of each line."""
-        out: list[tuple[str, bool]] = []
-        carry, shown = None, any(marker(x)[0] for x in lines)
-        for at in range(0, len(lines), PIECE_LINES):
-            piece = lines[at : at + PIECE_LINES]
-            score = (self.start if carry is None else self.move[carry]) + self.emissions(piece[0], at, shown)
-            back = []
-            for i, line in enumerate(piece[1:], 1):
-                steps = score[:, None] + self.move
-                best = steps.argmax(axis=0)
-                back.append(best)
-                score = steps[best, np.arange(len(STATES))] + self.emissions(line, at + i, shown)
-            path = [int(score.argmax())]
-            for best in reversed(back):
-                path.append(int(best[path[-1]]))
-            out += [STATES[s] for s in reversed(path)]
-            carry = path[0]
-        return out
+        shown, n = any(marker(x)[0] for x in lines), len(STATES)
+        back = np.empty((len(lines), n), dtype=np.uint8)
+        score = self.start + self.emissions(lines[0], 0, shown)
+        for i, line in enumerate(lines[1:], 1):
+            steps = score[:, None] + self.move
+            back[i] = best = steps.argmax(axis=0)
+            score = steps[best, np.arange(n)] + self.emissions(line, i, shown)
+        state = int(score.argmax())
+        out = [STATES[state]]
+        for i in range(len(lines) - 1, 0, -1):
+            state = int(back[i, state])
+            out.append(STATES[state])
+        return out[::-1]
 
     def turns(self, text: str | None) -> list[tuple[str, str]]:
         """Role and text of the turns of a transcript."""
@@ -147,12 +145,15 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "\n".join(f"<|{role}|>\n{text}<|end|>" for role, text in turns)
 
 
+def held_out(id: str = "conv_id") -> Column:
+    return F.coalesce(F.crc32(F.col(id).cast("string")) % 4 == 2, F.lit(False))
+
+
 def train(conversations: DataFrame) -> Model:
-    """From conversations(conv_id, turn, role, text)."""
-    ids = conversations.select("conv_id").filter("conv_id IS NOT NULL").distinct().orderBy(F.xxhash64("conv_id")).limit(TRAIN_CONVERSATIONS)
+    """From conversations(conv_id, turn, role, text), of those that aren't held out."""
+    ids = conversations.select("conv_id").filter(F.col("conv_id").isNotNull() & ~held_out()).distinct().orderBy(F.xxhash64("conv_id")).limit(TRAIN_CONVERSATIONS)
     rows = conversations.join(F.broadcast(ids), "conv_id").select("conv_id", "turn", "role", "text")
-    # A conversation that is larger than most would crowd out the others: its first turns do.
-    rows = rows.filter(F.col("turn") < 64).orderBy("conv_id", "turn").collect()
+    rows = rows.filter((F.col("turn") < TRAIN_TURNS) & (F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)).orderBy("conv_id", "turn").collect()
     by: dict = {}
     for r in rows:
         by.setdefault(r["conv_id"], []).append((r["role"], r["text"]))

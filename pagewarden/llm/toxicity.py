@@ -12,7 +12,7 @@ direction, attention weighs their states, and a logistic unit scores the sum. A
 its highest window's.
 
 Training takes labelled rows only where crc32(doc_id as text) mod 4 is not 2, at most TOXIC_ROWS
-toxic and CLEAN_ROWS others, those with the least hash of the id; shares are corrected to those of all
+toxic and CLEAN_ROWS others of at most TRAIN_CHARS characters, those with the least hash of the id; shares are corrected to those of all
 labelled rows. Near copies among them count once. Each gives its most suspicious window, clean ones a random
 window too; the number of gradient steps is the same for any sample. Labels, lang,
 source and doc_id are not inputs.
@@ -36,7 +36,8 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-TOXIC_ROWS, CLEAN_ROWS = 1500, 2000
+#: Bounds of the training sample: rows of either label, characters of a row.
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1500, 2000, 200_000
 WINDOW, STRIDE = 64, 48
 HIDDEN, ATTENTION = 8, 8
 #: Numbers a word, width of a word's and of an n-gram's vector, and inputs in all.
@@ -474,7 +475,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame) -> Scorer:
     for y, most in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)):
         some = known.filter(F.col("toxic") == y).orderBy("_h").limit(most)
         sample = some if sample is None else sample.unionByName(some)
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min(F.struct("text", "toxic")).alias("r"))
+    rows = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min(F.struct("text", "toxic")).alias("r"))
     rows = [(x["r"]["text"], x["r"]["toxic"]) for x in rows.collect()]  # at most TOXIC_ROWS + CLEAN_ROWS
     return train(rows, counts.get(1, 0) / sum(counts.values()))
 

@@ -366,6 +366,38 @@ def test_chat_recovers_roles(spark):
     assert first["rendered"].startswith(f"<|{first['roles'][0]}|>\n") and first["rendered"].count("<|end|>") == len(first["roles"])
 
 
+def test_viterbi_equals_enumeration():
+    """The path found is the likeliest of all paths, for marked and unmarked lines."""
+    import itertools
+
+    model = chat.Model([talk(i) for i in range(40)])
+    n = len(chat.STATES)
+    r = random.Random(8)
+    pool = [t for i in range(50, 60) for _, t in talk(i)] + ["User: hello there", "Assistant: yes.", "ok", "why?"]
+    for size in (1, 2, 3, 4, 5, 5, 5, 5):
+        some = [r.choice(pool).split("\n")[0] or "x" for _ in range(size)]
+        shown = any(chat.marker(x)[0] for x in some)
+        emit = [model.emissions(x, i, shown) for i, x in enumerate(some)]
+
+        def weight(path):
+            return model.start[path[0]] + sum(emit[i][s] for i, s in enumerate(path)) + sum(model.move[a, b] for a, b in zip(path, path[1:]))
+
+        found = tuple(chat.STATES.index(x) for x in model.viterbi(some))
+        assert abs(weight(found) - max(map(weight, itertools.product(range(n), repeat=size)))) < 1e-9
+
+
+def test_chat_odd_conversations(spark):
+    """Repeated rows, null ids, ties of turns, other roles, and columns named like the added ones."""
+    rows_ = [(1, 0, "user", "Hi there, how are you?"), (1, 1, "assistant", "Fine, thanks."), (1, 1, "assistant", "Fine, thanks."), (2, 0, "tool", "42"), (2, 0, "user", "What is it?"), (None, 0, "user", "lost"), (3, None, None, None)]
+    conversations = spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string")
+    model = chat.train(conversations)
+    got = chat.format_chats(chat.transcripts_of(conversations).withColumn("rendered", F.lit("clash")).withColumn("texts", F.lit(1)), model)
+    found = {r["conv_id"]: r for r in got.collect()}
+    assert got.columns.count("rendered") == 1 and set(found) == {1, 2, 3, None}
+    assert found[1]["roles"] == ["user", "assistant", "assistant"] and found[None]["roles"] == ["user"]
+    assert chat.format_chats(chat.transcripts_of(conversations.limit(0)), chat.train(conversations.limit(0))).count() == 0
+
+
 def test_chat_odd_rows(spark):
     model = chat.Model([talk(i) for i in range(20)])
     df = spark.createDataFrame([(1, None, "x"), (2, " \n ", "x"), (3, "### Human: hi\n### Assistant: yo\nmore", "x"), (4, "<|user|>\nhi\n<|assistant|>\nyo", "x")], "id long, text string, roles string")
