@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch(spark: SparkSession) -> str:
     """This session's folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (tests, one machine) a folder of our own is made."""
+    Only where that setting is missing and the master is this machine, as in tests, a folder of our own is made:
+    on a cluster each executor would write to a disk of its own."""
     sc = spark.sparkContext
     known = getattr(sc, "_pagewarden_scratch", None)
     if known is None:
         base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="pagewarden-")
             sc.setCheckpointDir(base)
         known = sc._pagewarden_scratch = f"{base.rstrip('/')}/pagewarden-{uuid.uuid4().hex}"
