@@ -22,7 +22,7 @@ def build_graph(pages: DataFrame, links: DataFrame, sitemap: DataFrame | None =
         .unionByName(edge(pages.filter("canonical_url <> url"), "url", "canonical_url", "canonical"))
         .unionByName(edge(links.filter("is_internal"), "source_url", "target_url", "hyperlink", F.col("is_nofollow")))
     )
-    named = lambda df, status, flag, depth, seq: df.select("url", status.cast("int").alias("status_code"), flag.alias("is_sitemap"), depth.cast("int").alias("depth"), seq.cast("long").alias("seq"))
+    named = lambda df, status, flag, depth, seq: df.select("url", status.cast("int").alias("status_code"), flag.alias("is_sitemap"), depth.cast("int").alias("depth"), seq.cast(pages.schema["seq"].dataType).alias("seq"))
     none = F.lit(None)
     parts = [named(pages, F.col("status_code"), F.lit(False), F.col("crawl_depth"), F.col("seq"))]
     parts += [named(edges.select(F.col(e).alias("url")), F.lit(0), F.lit(False), none, none) for e in ("src", "dst")]
@@ -31,7 +31,7 @@ def build_graph(pages: DataFrame, links: DataFrame, sitemap: DataFrame | None =
     nodes = parts[0]
     for p in parts[1:]:
         nodes = nodes.unionByName(p)
-    last = F.max_by("status_code", F.when(F.col("status_code") != 0, F.coalesce("seq", F.lit(-1))))
+    last = F.max_by("status_code", F.when(F.col("status_code") != 0, F.struct("seq")))
     return nodes.groupBy("url").agg(F.coalesce(last, F.lit(0)).alias("status_code"), F.max("is_sitemap").alias("is_sitemap"), F.min("depth").alias("depth")), edges
 
 

@@ -125,25 +125,73 @@ def page_rules(d=SPARK) -> list[tuple[str, str]]:
     ]
 
 
+#: What a finding's message says of the page, as SQL over the feature columns; codes that aren't here have their title alone.
+DETAILS = {
+    **dict.fromkeys(("ERR_HTTP_4XX_CLIENT_ERROR", "ERR_HTTP_5XX_SERVER_ERROR", "INFO_HTTP_301_PERMANENT_REDIRECT", "INFO_HTTP_302_TEMPORARY_REDIRECT", "INFO_HTTP_307_308_REDIRECT"), "concat('status ', status_code)"),
+    "ALERT_WAF_BOT_CHALLENGE": "concat('challenge of ', waf_detected)",
+    "WARN_SLOW_TTFB": "concat(ttfb_ms, ' ms, over 1800')",
+    "ALERT_FACETED_SPIDER_TRAP": "concat(n_content_facets, ' facets in the address, over 2')",
+    "ERR_HTTP_SOFT_404": "concat('status 200 with ', word_count, ' words that say not found')",
+    "ERR_PERF_EXCESSIVE_HTML_PAYLOAD": "CASE WHEN is_truncated THEN 'the body was cut off' ELSE concat(size_bytes, ' bytes, over 3000000') END",
+    "WARN_PERF_LARGE_HTML_PAYLOAD": "concat(size_bytes, ' bytes, over 1500000')",
+    "WARN_TITLE_TOO_SHORT": "concat(length(title), ' characters, under 30')",
+    "WARN_TITLE_TOO_LONG": "concat(length(title), ' characters, over 60')",
+    "ERR_TITLE_MULTIPLE": "concat(title_count, ' titles')",
+    "WARN_META_KEYWORDS_PRESENT": "meta_keywords",
+    "WARN_META_DESC_TOO_SHORT": "concat(length(meta_description), ' characters, under 70')",
+    "WARN_META_DESC_TOO_LONG": "concat(length(meta_description), ' characters, over 160')",
+    "ERR_META_DESC_MULTIPLE": "concat(description_count, ' descriptions')",
+    "WARN_H1_MULTIPLE": "concat(h1_count, ' h1 headings')",
+    "WARN_H1_TOO_LONG": "concat(length(h1_primary), ' characters, over 70')",
+    "WARN_HEADING_HIERARCHY_SKIPPED": "concat(h3_count, ' h3 without h2')",
+    "WARN_EXCESSIVE_DOM_DEPTH": "concat(dom_element_count, ' elements, over 1500')",
+    **dict.fromkeys(("ERR_CANONICAL_RELATIVE", "ALERT_CANONICAL_MISMATCH", "WARN_CANONICAL_TO_UNVERIFIED_HTTP"), "concat('canonical is ', canonical_url)"),
+    "ERR_CANONICAL_MULTIPLE": "concat(canonical_count, ' canonicals')",
+    "ALERT_CANONICAL_CROSS_DOMAIN": "concat('canonical on ', canonical_host)",
+    "WARN_SECURITY_TARGET_BLANK_NO_OPENER": "concat(n_blank_unsafe, ' links')",
+    **dict.fromkeys(("WARN_IMAGE_MISSING_ALT",), "concat(n_images_no_alt, ' images')"),
+    "WARN_IMAGE_MISSING_DIMENSIONS": "concat(n_images_no_dimensions, ' images')",
+    "WARN_IMAGE_DATA_URI": "concat(n_images_data_uri, ' images')",
+    "WARN_IMG_ALT_TOO_LONG": "concat(n_images_long_alt, ' images')",
+    "WARN_MOBILE_VIEWPORT_NON_SCALABLE": "viewport",
+    "WARN_LINKS_TOO_MANY_ON_PAGE": "concat(n_links, ' links, over 250')",
+    "WARN_LINK_EMPTY_ANCHOR": "concat(n_empty_anchor, ' links')",
+    "WARN_LINK_SUSPICIOUS_ANCHOR": "concat(n_generic_anchor, ' links')",
+    "WARN_SCHEMA_MULTIPLE_PRODUCT_ENTITIES": "concat(n_products, ' products')",
+    "WARN_CONTENT_THIN": "concat(word_count, ' words, under 200')",
+    "ERR_HREFLANG_MISSING_SELF_REFERENCE": "concat(n_hreflang, ' alternates')",
+    "WARN_HREFLANG_MISSING_X_DEFAULT": "concat(n_hreflang, ' alternates')",
+}
 _MORE: list[tuple[str, str]] = []
 
 
-def register_rule(code: str, fires: str) -> None:
-    """Adds a rule: an SQL count over the feature columns. Its code should be in the table of rules too."""
+def register_rule(code: str, fires: str, detail: str | None = None) -> None:
+    """Adds a rule: an SQL count over the feature columns, and what its message says. Its code should be in the table of rules too."""
     _MORE.append((code, fires))
+    if detail:
+        DETAILS[code] = detail
 
 
 def findings(features: DataFrame, *keep: str) -> DataFrame:
-    """keep columns and code, one row for each finding: one projection and one explode for all rules."""
-    fired = F.array(*[F.struct(F.lit(code).alias("code"), F.expr(fires).cast("int").alias("times")) for code, fires in [*page_rules(), *_MORE]])
+    """keep columns, code and detail, one row for each finding: one projection and one explode for all rules."""
+    detail = lambda code: F.expr(DETAILS[code]) if code in DETAILS else F.lit(None).cast("string")
+    fired = F.array(*[F.struct(F.lit(code).alias("code"), F.expr(fires).cast("int").alias("times"), F.when(F.expr(fires) > 0, detail(code)).alias("detail")) for code, fires in [*page_rules(), *_MORE]])
     hits = F.filter(fired, lambda x: x["times"] > 0)
-    each = F.flatten(F.transform(hits, lambda x: F.array_repeat(x["code"], x["times"])))
-    return features.select(*keep, F.explode(each).alias("code"))
+    each = F.flatten(F.transform(hits, lambda x: F.array_repeat(x, x["times"])))
+    return features.select(*keep, F.explode(each).alias("x")).select(*keep, "x.code", "x.detail")
+
+
+def described(found: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """found(code, detail, ...) with category, severity, title and message. The rules are broadcast: a hundred rows."""
+    met = found.join(F.broadcast(rules or rules_table(found.sparkSession)), "code")
+    return met.withColumn("message", F.concat_ws(": ", "title", "detail")).drop("detail")
 
 
 def issues(features: DataFrame, *keep: str, rules: DataFrame | None = None) -> DataFrame:
-    """findings with category, severity and title. The rules are broadcast: a hundred rows."""
-    return findings(features, *keep).join(F.broadcast(rules or rules_table(features.sparkSession)), "code")
+    """findings with category, severity, title, message and source_page_url, the page where it was found."""
+    names = list(dict.fromkeys([*keep, "url"]))
+    found = described(findings(features, *names).withColumn("source_page_url", F.col("url")), rules)
+    return found if "url" in keep else found.drop("url")
 
 
 def findings_sql(d, features: str, keep: str) -> str:

@@ -37,17 +37,17 @@ def audit(fetches: DataFrame, sitemap: DataFrame, robots_files: DataFrame | None
     spark = fetches.sparkSession
     known = sitemap.select("url", F.lit(True).alias("in_sitemap")).distinct()
     parsed = html.parse_pages(fe.prepared(fetches)).join(known, "url", "left").withColumn("is_sitemap_url", F.coalesce("in_sitemap", F.lit(False))).drop("in_sitemap")
-    # The order of rows is the order of urls: where "first" matters it must not depend on timing.
-    parsed = stage(parsed.withColumn("seq", F.xxhash64("url")), "parsed")
+    # Where "first" matters it must not depend on timing: the first page is the one whose url sorts first.
+    parsed = stage(parsed.withColumn("seq", F.col("url")), "parsed")
     kids = html.children(parsed)
     features = html.features_of(parsed)
-    page_issues = pr.findings(features, "url").select("url", "code", F.lit(None).cast("string").alias("related"), F.lit("page").alias("phase"))
+    page_issues = pr.findings(features, "url").select("url", "code", F.lit(None).cast("string").alias("related"), F.lit("page").alias("phase"), "detail", F.col("url").alias("source_page_url"))
     pages = parsed.withColumn("final_url", F.coalesce("final_url", "url"))
-    found = page_issues.unionByName(gr.graph_rules(pages, kids["links"], kids["hreflangs"], sitemap, exhaustive).withColumn("phase", F.lit("graph")))
+    found = page_issues.unionByName(gr.graph_rules(pages, kids["links"], kids["hreflangs"], sitemap, exhaustive).withColumns({"phase": F.lit("graph"), "detail": F.col("related"), "source_page_url": F.col("url")}))
     if robots_files is not None and site_files is not None:
         site = rb.site_findings(rb.robots_rules(robots_files), site_files)
-        found = found.unionByName(site.select(F.col("host").alias("url"), "code", F.lit(None).cast("string").alias("related"), F.lit("site").alias("phase")))
-    issues = stage(found.join(F.broadcast(rules_table(spark)), "code"), "issues")
+        found = found.unionByName(site.select(F.col("host").alias("url"), "code", F.lit(None).cast("string").alias("related"), F.lit("site").alias("phase"), F.concat(F.lit("host "), "host").alias("detail"), F.col("host").alias("source_page_url")))
+    issues = stage(pr.described(found, rules_table(spark)), "issues")
     return Audit(parsed, kids["links"], kids["images"], kids["schemas"], kids["hreflangs"], issues, score.health_score(issues, parsed.agg(F.count("*").alias("n"))))
 
 

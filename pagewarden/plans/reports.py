@@ -36,7 +36,7 @@ def csv_suite(a: Audit, folder: str) -> None:
     redirect = F.when(F.col("status_code").between(300, 399), "HTTP Redirect").when(F.size("redirect_chain") > 0, "Followed Redirect").otherwise("")
     files = {
         "internal_all": internal_all(a),
-        "issues_all": a.issues.select("url", "code", "category", F.element_at(F.create_map(*[F.lit(x) for k, v in SEVERITIES.items() for x in (k, v)]), F.col("severity")).alias("severity"), "title", "related", "phase"),
+        "issues_all": a.issues.select("url", "code", "category", F.element_at(F.create_map(*[F.lit(x) for k, v in SEVERITIES.items() for x in (k, v)]), F.col("severity")).alias("severity"), "title", "message", "source_page_url", "related", "phase"),
         "response_codes": a.pages.select("url", "final_url", "status_code", F.expr(s).alias("status"), redirect.alias("redirect_type"), "ttfb_ms"),
         "external_all": a.links.filter("NOT is_internal").select("source_url", "target_url", "anchor_text", "is_nofollow", "is_target_blank"),
     }
