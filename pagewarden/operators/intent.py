@@ -1,4 +1,6 @@
-"""What a page is for: weighted signals over six archetypes, and a soft-max over their sums."""
+"""What a page is for: a table of weighted signals over six archetypes, and a soft-max over their sums.
+
+facts() makes one flat row of a page; each signal is a test of that row; classify() adds up what holds."""
 
 from __future__ import annotations
 
@@ -6,7 +8,6 @@ import math
 import re
 
 ARCHETYPES = ("standard", "product", "article", "category", "contact", "homepage")
-_S, _P, _A, _C, _K, _H = range(6)
 
 # Patterns of prices, calls to action and other marks of a page's kind.
 _MONEY = r"[\$€£৳₹¥₩₽₪₫฿₴₸₺元円]|CHF|USD|EUR|GBP|BDT|CAD|AUD|JPY|CNY|INR|RUB|SAR|AED|EGP|TRY|BRL|PLN"
@@ -51,114 +52,130 @@ def long_runs(html: str, least: int = 120) -> int:
     return sum(len("".join(re.sub(r"^[^<]*>", "", x).split())) >= least for x in re.split("<", re.sub(r"<[^>]*>", "<", html)))
 
 
-def _near(a: list[int], b: list[int]) -> bool:
-    return any(abs(x - y) <= NEAR for x in a for y in b)
+#: What a text that a pattern matches holds for certain, in lower case: looked for first, as that is far quicker.
+HINTS = {
+    PRICE: [*"$€£৳₹¥₩₽₪₫฿₴₸₺元円", *"chf usd eur gbp bdt cad aud jpy cny inr rub sar aed egp try brl pln".split()],
+    CALL: "add buy order purchase warenkorb einkaufswagen kaufen panier acheter cesta carrito comprar carrello acquista winkelwagen bestel корзину купить কার্টে এখনই カート 購入 购物车 购买 السلة اشتري".split(),
+    STOCK: "stock lager épuisé disponible agotado disponibile voorraad наличии স্টকে 在庫 有现货 متوفر".split(),
+    DATED: "published updated posted veröffentlicht publié publicado опубликовано প্রকাশিত".split(),
+    PAGES: "rel= pagination page-numbers page-link page= p=".split(), QUANTITY: ["<input"],
+}
+
+
+def facts(page: dict, html: str, url: str, browser: dict | None = None) -> dict:
+    """What the signals look at: one flat row of numbers and flags."""
+    path = re.sub(r"^[a-z]+://[^/?#]*|[?#].*$", "", url, flags=re.I).lower()
+    segment = set(re.findall(r"/([^/]+)(?=/)", path))
+    shown = SCRIPTS.sub("", html)
+    low, size = html.lower(), max(1, len(shown.encode()))
+    may = lambda pattern: any(hint in low for hint in HINTS[pattern])
+    starts = lambda pattern: [m.start() for m in pattern.finditer(shown)] if may(pattern) else []
+    price, call, quantity = starts(PRICE), starts(CALL), starts(QUANTITY)
+    together = lambda xs, ys: any(abs(x - y) <= NEAR for x in xs for y in ys)
+    rows = (r for r in re.findall(r"(?is)<tr\b[^>]*>(.*?)</tr>", shown)) if "<tr" in low else ()
+    pairs = sum(len(re.findall(r"(?i)</(?:td|th)>", row)) == 2 for row in rows)
+    target = [x["target_url"].lower() for x in page["links"]]
+    gap = price[1] - price[0] if len(price) > 1 else 0
+    slug, overlap = slug_overlap(url, page["h1_primary"])
+    seen = browser or {}
+    return {
+        "path": path, "root": path in ("", "/", "/index.html", "/index.php"),
+        "product_path": bool(segment & PRODUCT_SEGMENTS), "category_path": bool(segment & CATEGORY_SEGMENTS), "article_path": bool(segment & ARTICLE_SEGMENTS),
+        "contact_path": any(x in path for x in CONTACT_PATHS), "legal_path": path.startswith(DOCS_PATHS) or any(x in path for x in LEGAL_PATHS),
+        "prices": len(price), "calls": len(call), "quantities": len(quantity), "cluster": together(price, call) and (not quantity or together(price, quantity)),
+        "hero": gap > 0 and (price[0] / size <= 0.45 or price[0] <= 30_000) and (gap >= 3000 or gap / size >= 0.2),
+        "matrix": pairs >= 5 or "<dt" in low and len(re.findall(r"(?i)<dt\b[^>]*>", shown)) >= 5, "stock": may(STOCK) and bool(STOCK.search(shown)),
+        "whatsapp": any(mark in t for t in target for mark in ("wa.me/", "api.whatsapp.com/", "whatsapp://")),
+        "asks": any(t.startswith("tel:") or "#contact" in t or "#quote" in t or "#inquir" in t and ("#inquiry" in t or "#inquire" in t) for t in target),
+        "reachable": any(t.startswith(("tel:", "mailto:")) for t in target), "form": "<form" in low and bool(CONTACT_FORM.search(html)),
+        "kind": next((x["value"].lower() for x in page["open_graph"] if x["key"] == "og:type"), ""),
+        "byline": bool(BYLINE.search(html)), "dated": "<time" in html or "datetime=" in html or may(DATED) and bool(DATED.search(html)),
+        "article_tag": "<article" in html or 'role="article"' in html, "runs": long_runs(html), "words": page["word_count"],
+        "slug": slug >= 3 and overlap >= 0.5, "links": len(target), "dense": page["word_count"] > 0 and len(target) / page["word_count"] > 0.28, "paged": may(PAGES) and bool(PAGES.search(html)),
+        **{k: bool(seen.get(k)) for k in ("platform_pdp", "platform_plp", "hero_price_above_fold")}, "cards": seen.get("uniform_card_count", 0),
+    }
+
+
+# Path segments and parts that speak for a kind of page.
+PRODUCT_SEGMENTS = set("product products item items p dp goods".split())
+CATEGORY_SEGMENTS = set("category categories collection collections shop catalog store browse".split())
+ARTICLE_SEGMENTS = set("blog news post posts article articles press".split())
+CONTACT_PATHS = ("/contact", "/contact-us", "/contactus", "/reach-us", "/get-in-touch")
+DOCS_PATHS = ("/docs", "/documentation")
+LEGAL_PATHS = ("/privacy", "/terms", "/legal", "/changelog", "/license", "/faq")
+
+
+def _narrative(f: dict) -> bool:
+    return f["runs"] >= 3 and f["words"] > 300 or f["runs"] >= 1 and f["words"] > 250
+
+
+def _told(f: dict) -> bool:
+    """Whether something marks a narrative as an article."""
+    return f["byline"] or f["dated"] or f["article_tag"] or f["article_path"] or "article" in f["kind"]
+
+
+def _goods(f: dict) -> bool:
+    return f["product_path"] or f["prices"] > 0 or f["matrix"]
+
+
+#: (signal, when it holds, what it adds to Standard, Product, Article, Category, Kontakt and Home, and by C? what only
+#: pages that aren't at a contact path get). Signals without a name add, but aren't reported. Weights are fixed values.
+SIGNALS = [
+    # address
+    ("root_path", lambda f: f["root"], {"H": 14, "S": -8, "P": -8, "A": -10, "C": -6, "K": -8}),
+    (None, lambda f: not f["root"], {"H": -8}),
+    ("docs_or_legal_path", lambda f: f["legal_path"], {"S": 8, "A": -20, "P": -15, "C": -10, "K": -8}),
+    ("url_product_token", lambda f: f["product_path"], {"P": 3.5, "C": -1}),
+    ("url_category_token", lambda f: f["category_path"] and not f["product_path"], {"C": 6, "P": -6, "S": -2}),
+    ("url_article_token", lambda f: f["article_path"], {"A": 4}),
+    ("url_contact_token", lambda f: f["contact_path"], {"K": 6, "A": -6, "P": -6, "C": -8, "S": -3}),
+    # declared type
+    ("og_type_product", lambda f: "product" in f["kind"], {"P": 5.5, "A": -4, "S": -3}),
+    ("og_type_article", lambda f: "article" in f["kind"] and "product" not in f["kind"], {"A": 5.5, "P": -4, "S": -3}),
+    # commerce
+    ("transactional_micro_cluster", lambda f: f["cluster"], {"P": 6, "A": -5, "C": -3, "S": -4}),
+    ("quantity_input", lambda f: f["quantities"] > 0, {"P": 3.5, "A": -3}),
+    ("action_button_with_price", lambda f: f["calls"] > 0 and f["prices"] > 0, {"P": 3.5, "A": -2}),
+    ("hero_price_with_recommendations", lambda f: f["hero"], {"P": 4, "C": -2}),
+    ("single_hero_price", lambda f: f["prices"] == 1, {"P": 2.5, "C": -1}),
+    ("price_pattern", lambda f: f["prices"] > 1 and not f["hero"], {"P": 2, "C": 1}),
+    ("dense_spec_matrix", lambda f: f["matrix"], {"P": 4.5, "C": -3.5, "A": -3}),
+    ("availability_status", lambda f: f["stock"], {"P": 3.5, "A": -2}),
+    ("protocol_whatsapp_inquiry", lambda f: f["whatsapp"], {"P": 4, "A": -2}),
+    ("protocol_tel_quote_inquiry", lambda f: f["asks"] and not f["whatsapp"] and _goods(f), {"P": 4, "A": -2}),
+    # prose
+    ("byline_author", lambda f: f["byline"], {"A": 3.5}),
+    ("publication_date", lambda f: f["dated"], {"A": 3.5}),
+    ("continuous_narrative_runs", lambda f: _narrative(f) and _told(f), {"A": 5.5, "P": -3, "C": -3.5, "S": -2}),
+    (None, lambda f: _narrative(f) and not _told(f), {"S": 2.5, "A": 1}),
+    ("encyclopedic_longform_text", lambda f: f["words"] > 1000 and f["runs"] >= 4 and f["prices"] <= 1, {"A": 6.5, "C": -6, "P": -5, "S": -3}),
+    ("slug_h1_high_overlap", lambda f: f["slug"] and _goods(f), {"P": 4, "C": -4}),
+    ("slug_h1_high_overlap", lambda f: f["slug"] and not _goods(f) and (f["article_path"] or f["byline"] or f["dated"]), {"A": 4, "C": -4}),
+    # lists
+    ("multi_price_catalog_grid", lambda f: f["prices"] >= 4 and f["links"] >= 8 and not f["hero"], {"A": -6, "C?": 6, "P": -6, "S": -3}),
+    ("listing_link_density", lambda f: f["dense"] and f["links"] >= 6, {"C?": 3.5, "A": -3, "S": -2}),
+    ("pagination_controls", lambda f: f["paged"] and f["links"] >= 6, {"C?": 4, "P": -3, "S": -2}),
+    # contact
+    ("tel_or_mailto", lambda f: f["reachable"], {"K": 3.5}),
+    ("contact_form", lambda f: f["form"], {"K": 5.5, "P": -3, "A": -4, "S": -3}),
+    # a browser
+    ("cdp_runtime_platform_pdp", lambda f: f["platform_pdp"], {"P": 8, "A": -6, "C": -5, "S": -4}),
+    ("cdp_runtime_platform_plp", lambda f: f["platform_plp"], {"C": 8, "P": -6, "A": -6, "S": -4}),
+    ("cdp_visual_hero_price_above_fold", lambda f: f["hero_price_above_fold"], {"P": 4.5, "A": -3}),
+    ("cdp_visual_grid_uniformity", lambda f: f["cards"] >= 4, {"C": 5, "P": -4, "A": -4}),
+]
+START = {"S": 1.5}
 
 
 def classify(page: dict, html: str, url: str, browser: dict | None = None) -> dict:
     """archetype, confidence and signals of a parsed page; browser: signals of a rendered one."""
-    score = [1.5, 0.0, 0.0, 0.0, 0.0, 0.0]
-    signals: list[str] = []
-
-    def add(name: str | None, **deltas: float) -> None:
-        if name:
-            signals.append(name)
-        for k, v in deltas.items():
-            score["SPACKH".index(k)] += v
-
-    b = browser or {}
-    if b.get("platform_pdp"):
-        add("cdp_runtime_platform_pdp", P=8, A=-6, C=-5, S=-4)
-    if b.get("platform_plp"):
-        add("cdp_runtime_platform_plp", C=8, P=-6, A=-6, S=-4)
-    if b.get("hero_price_above_fold"):
-        add("cdp_visual_hero_price_above_fold", P=4.5, A=-3)
-    if b.get("uniform_card_count", 0) >= 4:
-        add("cdp_visual_grid_uniformity", C=5, P=-4, A=-4)
-    path = re.sub(r"^[a-z]+://[^/?#]*|[?#].*$", "", url, flags=re.I).lower()
-    within = lambda words: any(f"/{w}/" in path for w in words.split())
-    if path in ("", "/", "/index.html", "/index.php"):
-        add("root_path", H=14, S=-8, P=-8, A=-10, C=-6, K=-8)
-    else:
-        add(None, H=-8)
-    if path.startswith(("/docs", "/documentation")) or any(w in path for w in ("/privacy", "/terms", "/legal", "/changelog", "/license", "/faq")):
-        add("docs_or_legal_path", S=8, A=-20, P=-15, C=-10, K=-8)
-    is_product = within("product products item items p dp goods")
-    is_article = within("blog news post posts article articles press")
-    is_contact = any(w in path for w in ("/contact", "/contact-us", "/contactus", "/reach-us", "/get-in-touch"))
-    if is_product:
-        add("url_product_token", P=3.5, C=-1)
-    if within("category categories collection collections shop catalog store browse") and not is_product:
-        add("url_category_token", C=6, P=-6, S=-2)
-    if is_article:
-        add("url_article_token", A=4)
-    if is_contact:
-        add("url_contact_token", K=6, A=-6, P=-6, C=-8, S=-3)
-    clean = SCRIPTS.sub("", html)
-    size = max(1, len(clean.encode()))
-    prices = [m.start() for m in PRICE.finditer(clean)]
-    calls = [m.start() for m in CALL.finditer(clean)]
-    quantities = [m.start() for m in QUANTITY.finditer(clean)]
-    if _near(prices, calls) and (not quantities or _near(prices, quantities)):
-        add("transactional_micro_cluster", P=6, A=-5, C=-3, S=-4)
-    if quantities:
-        add("quantity_input", P=3.5, A=-3)
-    if calls and prices:
-        add("action_button_with_price", P=3.5, A=-2)
-    hero = len(prices) >= 2 and (prices[0] / size <= 0.45 or prices[0] <= 30_000) and (prices[1] - prices[0] >= 3000 or (prices[1] - prices[0]) / size >= 0.2)
-    if hero:
-        add("hero_price_with_recommendations", P=4, C=-2)
-    elif len(prices) == 1:
-        add("single_hero_price", P=2.5, C=-1)
-    elif prices:
-        add("price_pattern", P=2, C=1)
-    two_cells = sum(len(re.findall(r"(?i)</(?:td|th)>", row)) == 2 for row in re.findall(r"(?is)<tr\b[^>]*>(.*?)</tr>", clean))
-    matrix = len(re.findall(r"(?i)<dt\b[^>]*>", clean)) >= 5 or two_cells >= 5
-    if matrix:
-        add("dense_spec_matrix", P=4.5, C=-3.5, A=-3)
-    targets = [x["target_url"].lower() for x in page["links"]]
-    whatsapp = any("wa.me/" in t or "api.whatsapp.com/" in t or "whatsapp://" in t for t in targets)
-    asks = any(t.startswith("tel:") or any(x in t for x in ("#contact", "#quote", "#inquiry", "#inquire")) for t in targets)
-    if whatsapp or asks and (prices or matrix or is_product):
-        add("protocol_whatsapp_inquiry" if whatsapp else "protocol_tel_quote_inquiry", P=4, A=-2)
-    if STOCK.search(clean):
-        add("availability_status", P=3.5, A=-2)
-    kind = next((x["value"].lower() for x in page["open_graph"] if x["key"] == "og:type"), "")
-    if "product" in kind:
-        add("og_type_product", P=5.5, A=-4, S=-3)
-    elif "article" in kind:
-        add("og_type_article", A=5.5, P=-4, S=-3)
-    byline, dated = bool(BYLINE.search(html)), bool(DATED.search(html)) or "<time" in html or "datetime=" in html
-    if byline:
-        add("byline_author", A=3.5)
-    if dated:
-        add("publication_date", A=3.5)
-    runs, words = long_runs(html), page["word_count"]
-    if runs >= 3 and words > 300 or runs >= 1 and words > 250:
-        if byline or dated or "<article" in html or 'role="article"' in html or is_article or "article" in kind:
-            add("continuous_narrative_runs", A=5.5, P=-3, C=-3.5, S=-2)
-        else:
-            add(None, S=2.5, A=1)
-    if words > 1000 and runs >= 4 and len(prices) <= 1:
-        add("encyclopedic_longform_text", A=6.5, C=-6, P=-5, S=-3)
-    tokens, overlap = slug_overlap(url, page["h1_primary"])
-    if tokens >= 3 and overlap >= 0.5:
-        if is_product or prices or matrix:
-            add("slug_h1_high_overlap", P=4, C=-4)
-        elif is_article or byline or dated:
-            add("slug_h1_high_overlap", A=4, C=-4)
-    n, listing = len(targets), 0 if is_contact else 1
-    if len(prices) >= 4 and n >= 8 and not hero:
-        add("multi_price_catalog_grid", A=-6, C=6 * listing, P=-6, S=-3)
-    if words and n / words > 0.28 and n >= 6:
-        add("listing_link_density", C=3.5 * listing, A=-3, S=-2)
-    if PAGES.search(html) and n >= 6:
-        add("pagination_controls", C=4 * listing, P=-3, S=-2)
-    if any(t.startswith(("tel:", "mailto:")) for t in targets):
-        add("tel_or_mailto", K=3.5)
-    if CONTACT_FORM.search(html):
-        add("contact_form", K=5.5, P=-3, A=-4, S=-3)
-    top = max(score)
-    weights = [math.exp(s - top) for s in score]
-    best = score.index(top)  # of equals the first archetype
-    return {"archetype": ARCHETYPES[best], "confidence": weights[best] / sum(weights), "signals": signals}
+    f = facts(page, html, url, browser)
+    held = [(name, weights) for name, test, weights in SIGNALS if test(f)]
+    score = dict.fromkeys("SPACKH", 0.0) | START
+    for _, weights in held:
+        for kind, weight in weights.items():
+            if len(kind) == 1 or not f["contact_path"]:
+                score[kind[0]] += weight
+    best = max(score, key=score.get)  # of equals the first archetype
+    share = 1 / sum(math.exp(x - score[best]) for x in score.values())
+    return {"archetype": ARCHETYPES["SPACKH".index(best)], "confidence": share, "signals": [name for name, _ in held if name]}

@@ -215,6 +215,15 @@ def parse_html(html: str, url: str) -> dict:
     return out
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a plain scan that has fewer splits than there are cores, dealt over all of them; a scan with enough
+    splits stays as it is, without an exchange."""
+    cores, plan = rows.sparkSession.sparkContext.defaultParallelism, rows._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString() or plan.execute().getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(2 * cores)
+
+
 def parse_pages(fetches: DataFrame, html: str = "body", url: str = "url") -> DataFrame:
     """fetches with the columns of PARSED. A null body is an empty page."""
     names = [c.split()[0] for c in re.split(r",\s*(?=\w+ (?:string|int|bigint|boolean|array|struct))", PARSED.replace("\n", " "))]
@@ -224,7 +233,7 @@ def parse_pages(fetches: DataFrame, html: str = "body", url: str = "url") -> Dat
             rows = [parse_html(h or "", u or "") for h, u in zip(frame[html], frame[url])]
             yield pd.concat([frame.reset_index(drop=True), pd.DataFrame({n: [r[n] for r in rows] for n in names})], axis=1)
 
-    kept = fetches.drop(*names)
+    kept = spread(fetches.drop(*names))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.mapInPandas(run, f"{schema}, {PARSED}")
 
