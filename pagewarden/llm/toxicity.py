@@ -53,7 +53,7 @@ SEED = 11
 #: Word hashes by which near copies among training rows are told.
 SKETCH, COMMON = 24, 50
 KEPT_WORDS = 200_000
-WINDOWS_AT_ONCE = 1024
+WINDOWS_AT_ONCE, WORDS_AT_ONCE = 1024, 20_000
 words_in = re.compile(r"[^\W\d_]+").findall
 
 
@@ -195,7 +195,7 @@ class Counts:
         out = []
         for counts, least in ((self.word_docs, 2), (self.part_docs, 3)):
             good = counts.sum(axis=0) >= least
-            out.append(np.where(good, np.cumsum(good) - 1, -1))
+            out.append(np.where(good, np.cumsum(good) - 1, -1).astype(np.int32))
         return out[0], out[1]
 
     def tables(self, own: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -210,13 +210,18 @@ class Counts:
         """The numbers of every word, as for a training document of that label."""
         n = len(self.words)
         word, gram = self.known()
-        length = np.array([len(w) for w in self.words])
-        begin = np.full((n, 2), -1)
-        four, five, three = length >= 3, length >= 4, length == 3
-        begin[four, 0] = gram[self.flat[self.ends[:-1][four]]]
-        begin[five, 1] = gram[self.flat[self.ends[:-1][five] + length[five] - 2]]
-        begin[three, 1] = begin[three, 0]  # the whole word is the beginning
-        return numbers_of(word, gram[self.flat], np.repeat(np.arange(n), np.diff(self.ends)), begin, length, *self.tables(own))
+        tables, length = self.tables(own), np.array([len(w) for w in self.words])
+        out = np.empty((n, NUMBERS), np.float32)
+        for at in range(0, n, WORDS_AT_ONCE):
+            some = slice(at, min(n, at + WORDS_AT_ONCE))
+            size, start, ends = length[some], self.ends[some], self.ends[at : some.stop + 1]
+            begin = np.full((len(size), 2), -1)
+            four, five, three = size >= 3, size >= 4, size == 3
+            begin[four, 0] = gram[self.flat[start[four]]]
+            begin[five, 1] = gram[self.flat[start[five] + size[five] - 2]]
+            begin[three, 1] = begin[three, 0]  # the whole word is the beginning
+            out[some] = numbers_of(word[some], gram[self.flat[ends[0] : ends[-1]]], np.repeat(np.arange(len(size)), np.diff(ends)), begin, size, *tables)
+        return out
 
 
 def windows(n: int) -> list[int]:
@@ -458,10 +463,12 @@ def train(rows: list[tuple[str, int]], share: float | None = None, seed: int = S
                 ids.append(np.pad(part, (0, WINDOW - len(part)), constant_values=-1))
                 ys.append(y)
     y = np.array(ys)
+    inputs, sample = counts.inputs(vectors), Sample(counts, numbers, np.stack(ids), y, vectors)
+    del counts  # the names of all n-grams, which nothing needs from here on
     network = Network(seed)
-    network.fit(Sample(counts, numbers, np.stack(ids), y, vectors), y.astype(np.float32), seed=seed)
+    network.fit(sample, y.astype(np.float32), seed=seed)
     seen = y.mean()
-    return Scorer(counts.inputs(vectors), network, float(np.log(share / (1 - share)) - np.log(seen / (1 - seen))))
+    return Scorer(inputs, network, float(np.log(share / (1 - share)) - np.log(seen / (1 - seen))))
 
 
 def fit_scorer(docs: DataFrame, labels: DataFrame) -> Scorer:
