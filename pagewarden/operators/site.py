@@ -256,8 +256,11 @@ class _Head(HTMLParser):
             if self.label is not None and a.get("alt"):
                 self.label.append(a["alt"])
             path = urlsplit(src).path
-            named = any(_own_logo(a.get(k, "")) for k in ("class", "id", "alt", "title", "aria-label")) or _own_logo(path.rpartition("/")[2]) and not set(_words(path)) & OTHER_LOGOS
-            if named or any(_own_logo(x) for _, x in self.open[-3:]):
+            said = " ".join(a.get(k, "") for k in ("class", "id", "alt", "title", "aria-label"))
+            around = [x for _, x in self.open[-3:]]
+            # Whatever calls it another's logo, in the image, its path or around it, outweighs a file that is named logo.
+            others = any(set(_words(x)) & OTHER_LOGOS for x in (said, path, *around))
+            if not others and any(_own_logo(x) for x in (said, path.rpartition("/")[2], *around)):
                 home = any(t == "a" and x.startswith("home ") for t, x in self.open)
                 header = any(t in ("header", "nav") for t, _ in self.open)
                 self.logos.append((0 if header or home else 1, 0 if home else 1, len(self.logos), src))

@@ -56,7 +56,7 @@ def test_addresses():
 
 
 def test_words_and_robots_bits():
-    assert [len(html.words(x)) for x in ("Hello world! This is Python.", "--- ... ---", "Site-check version 1.0")] == [5, 0, 3]
+    assert [len(html.words(x)) for x in ("two  words", "", "-- * 7 (x)", "l\u00e4ngs der Stra\u00dfe 12-14", "\u65e5\u672c \u00a0 ok")] == [2, 0, 2, 4, 2]
     assert html.robots_bits("NoIndex, nofollow") == 3 and html.robots_bits("none,noarchive") == 19
     assert html.decoded("a &amp;lt; b") == "a < b"
 
