@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def query(name: str, sql: str | None = None):
@@ -102,14 +103,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
-@query("op5_near_dedup")
+_NEAR_SQL = rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, md5(array_to_string(unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w] ELSE list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]) END), ' ')) AS g FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+    t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a)
+    SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id, doc_id = min(r.b) AS kept FROM r JOIN documents ON doc_id = r.a LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+
+@query("op5_near_dedup", _NEAR_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
-@query("op4_line_dedup")
+_LINES_SQL = rf"""
+    WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+    l AS (SELECT doc_id, i, ls[i] AS line, len(regexp_extract_all(ls[i], '{_WORDS}')) AS words FROM d, unnest(range(1, len(ls) + 1)) AS t(i)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM l WHERE words > 0),
+    q AS (SELECT doc_id, list(line ORDER BY pos) AS s, list(words ORDER BY pos) AS n FROM k GROUP BY doc_id),
+    w AS (SELECT doc_id, pos, m, md5(array_to_string(s[pos:pos + m - 1], chr(10))) AS run FROM q, unnest(range(1, len(s) + 1)) AS a(pos), unnest(range(1, 11)) AS b(m)
+          WHERE pos + m - 1 <= len(s) AND list_sum(n[pos:pos + m - 1]) >= 10),
+    f AS (SELECT run, min({{'d': doc_id, 'a': pos}}) AS first FROM w GROUP BY run HAVING count(*) > 1),
+    c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + m)) AS pos FROM w JOIN f USING (run) WHERE {{'d': doc_id, 'a': pos}} <> first),
+    g AS (SELECT DISTINCT doc_id, i FROM c JOIN k USING (doc_id, pos)),
+    x AS (SELECT doc_id, count(*) AS gone, count(*) FILTER (p IS NULL OR p <> i - 1) AS runs FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM g) AS o GROUP BY doc_id),
+    b AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS body, max(words) AS most FROM l ANTI JOIN g USING (doc_id, i) GROUP BY doc_id),
+    z AS (SELECT docs.doc_id, gone, runs, CASE WHEN gone IS NULL THEN docs.text WHEN coalesce(most, 0) > 0 THEN body ELSE '' END AS t FROM documents AS docs LEFT JOIN x USING (doc_id) LEFT JOIN b USING (doc_id))
+    SELECT doc_id, coalesce(gone, 0)::BIGINT AS lines_deleted, coalesce(runs, 0)::BIGINT AS runs, length(t)::BIGINT AS n_chars_kept, sha256(t) AS text_sha256 FROM z"""
+
+
+@query("op4_line_dedup", _LINES_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import line_dedup
 
