@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contacts as co
 from ..functions import url as ux
-from ..functions.dialect import SPARK
+from ..functions.dialect import DUCK, SPARK
 from ..operators import frontier as fr
 from ..operators import page_rules as pr
 from ..operators import site
@@ -53,30 +53,56 @@ def site_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("site", F.size("pages").alias("n_pages"), "needs_rendering", "phones", "emails", "colors")
 
 
-@query("page_selection_topk")
+#: Links of a made-up home page, and which of them are chosen: kind and place.
+HOME_LINKS = [("Login", "login", None), ("Our story", "our-story", ("about", 2)), ("Contact", "contact", ("contact", 1)), ("Contact 2", "contact-us", None), ("Shop", "shop", ("catalog", 3)), ("Cake", "products/cake", None)]
+
+
+@query("page_selection_topk", lambda: "SELECT concat('s', page_id, '.example') AS site, kind, place, concat('https://s', page_id, '.example/', path) AS url FROM pages CROSS JOIN (VALUES " + ", ".join(f"('{path}', '{won[0]}', {won[1]})" for _, path, won in HOME_LINKS if won) + ") AS e(path, kind, place)")
 def page_selection_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best pages to read of every host, from the links of its pages."""
-    load(spark, sf_dir, "pages").createOrReplaceTempView("pages")
-    links = spark.sql(markup.links_sql(SPARK)).select(ux.column(ux.host, "source_url").alias("site"), F.col("source_url").alias("home"), F.col("anchor").alias("text"), F.col("target_url").alias("url"), F.xxhash64("target_url", "anchor").alias("seq"))
-    return site.select_pages(links)
+    """The best pages to read of each site: every page_id is one, with the same links on its home page."""
+    made = spark.createDataFrame([(i, text, path) for i, (text, path, _) in enumerate(HOME_LINKS)], "seq long, text string, path string")
+    site_name = F.concat(F.lit("s"), "page_id", F.lit(".example"))
+    links = load(spark, sf_dir, "pages").select("page_id").crossJoin(F.broadcast(made))  # six rows
+    links = links.select(site_name.alias("site"), F.concat(F.lit("https://"), site_name, F.lit("/")).alias("home"), "text", F.concat(F.lit("https://"), site_name, F.lit("/"), "path").alias("url"), "seq")
+    return site.select_pages(links).select("site", "kind", F.col("place").cast("int").alias("place"), "url")
+
 
+def _paths(d) -> str:
+    q = ux.query(d, "url")
+    return f"SELECT DISTINCT {ux.host(d, 'url')} AS host, concat({ux.path(d, 'url')}, CASE WHEN {q} <> '' THEN concat('?', {q}) ELSE '' END) AS path FROM pages"
 
-@query("robots_verdict")
+
+def _verdict_oracle() -> str:
+    # of /fr/1, /fr/ and /*.html$ the longest that matches wins
+    own = "NOT path LIKE '/%.html' AND (path LIKE '/fr/1%' OR NOT path LIKE '/fr/%')"
+    return f"SELECT host, path, agent, CASE agent WHEN 'GPTBot' THEN FALSE WHEN 'Googlebot' THEN TRUE ELSE {own} END AS allowed FROM ({_paths(DUCK)}) AS p CROSS JOIN (VALUES ('MyBot'), ('GPTBot'), ('Googlebot')) AS a(agent)"
+
+
+@query("robots_verdict", _verdict_oracle)
 def robots_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts for every page's path and three agents, under one robots file for all hosts."""
     body = "User-agent: *\nDisallow: /fr/\nAllow: /fr/1\nDisallow: /*.html$\n\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n\nUser-agent: Googlebot\nDisallow:\n"
-    urls = load(spark, sf_dir, "pages").select(ux.column(ux.host, "url").alias("host"), F.concat(ux.column(ux.path, "url"), F.when(ux.column(ux.query, "url") != "", F.concat(F.lit("?"), ux.column(ux.query, "url"))).otherwise("")).alias("path")).distinct()
+    load(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    urls = spark.sql(_paths(SPARK))
     files = urls.select("host").distinct().withColumn("body", F.lit(body))
     agents = spark.createDataFrame([("MyBot",), ("GPTBot",), ("Googlebot",)], "agent string")
     return rb.verdicts(rb.robots_rules(files), urls, agents)
 
 
-@query("ai_bot_readiness")
+@query(
+    "ai_bot_readiness",
+    lambda: f"""SELECT host, CASE WHEN length(host) % 2 = 0 THEN 'PerplexityBot' ELSE '' END AS retrieval_blocked, CASE WHEN length(host) % 5 = 0 THEN 'CCBot,GPTBot' ELSE '' END AS training_blocked,
+        length(host) % 3 = 0 AS has_llms_txt, CASE WHEN length(host) % 2 = 0 THEN 'HIGH' WHEN length(host) % 3 = 0 THEN 'LOW' ELSE 'MEDIUM' END AS risk
+        FROM (SELECT DISTINCT {ux.host(DUCK, 'url')} AS host FROM pages) AS h""",
+)
 def ai_bot_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which bots of AI each host turns away. Robots files depend on the length of the host's name."""
     hosts = load(spark, sf_dir, "pages").select(ux.column(ux.host, "url").alias("host")).distinct()
-    body = F.when(F.length("host") % 2 == 0, "User-agent: PerplexityBot\nDisallow: /\n").otherwise("User-agent: *\nAllow: /\n")
-    rules = rb.robots_rules(hosts.withColumn("body", body))
-    return rb.ai_readiness(rules, hosts.withColumn("has_llms_txt", F.length("host") % 3 == 0))
+    parts = [F.when(F.length("host") % n == 0, text).otherwise("") for n, text in ((2, "User-agent: PerplexityBot\nDisallow: /\n\n"), (5, "User-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n\n"))]
+    rules = rb.robots_rules(hosts.withColumn("body", F.concat(*parts, F.lit("User-agent: *\nAllow: /\n"))))
+    blocked = lambda c: F.array_join(F.array_sort(F.map_keys(F.map_filter(c, lambda k, v: v == "BLOCKED"))), ",")
+    out = rb.ai_readiness(rules, hosts.withColumn("has_llms_txt", F.length("host") % 3 == 0))
+    return out.select("host", blocked("retrieval").alias("retrieval_blocked"), blocked("training").alias("training_blocked"), "has_llms_txt", "risk")
 
 
 @query("aimd_control")

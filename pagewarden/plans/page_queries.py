@@ -176,9 +176,12 @@ def csv_internal_all(d):
         h1_primary, CAST(length(h1_primary) AS INT) AS h1_chars, CAST(word_count AS INT) AS word_count, size_bytes, crawl_depth, ttfb_ms, CAST(n_links AS INT) AS n_links FROM ({markup.features_sql(d)}) AS f"""
 
 
-@sql_query("csv_external_all", "pages")
-def csv_external_all(d):
-    return f"SELECT source_url, target_url, anchor, is_nofollow FROM ({markup.links_sql(d)}) AS l WHERE NOT is_internal"
+@query("csv_external_all", lambda: f"""SELECT {ux.normalize(DUCK, 'url')} AS source_url, concat('https://out.example/x?id=', page_id) AS target_url, 'Far away' AS anchor, page_id % 2 = 0 AS is_nofollow FROM pages""")
+def csv_external_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to other hosts. The driver's pages have none, so each gets one at its end."""
+    views(spark, sf_dir, "pages")
+    more = """concat(html, '<a href="https://out.example/x?id=', page_id, '"', CASE WHEN page_id % 2 = 0 THEN ' rel="nofollow"' ELSE '' END, '>Far <b>away</b></a>')"""
+    return spark.sql(f"SELECT source_url, target_url, anchor, is_nofollow FROM ({markup.links_sql(SPARK, f'(SELECT page_id, url, {more} AS html FROM pages)')}) AS l WHERE NOT is_internal")
 
 
 @sql_query("csv_response_codes", "pages")
