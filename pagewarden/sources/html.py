@@ -217,7 +217,9 @@ def parse_html(html: str, url: str) -> dict:
 
 def spread(rows: DataFrame) -> DataFrame:
     """rows of a plain scan that has fewer splits than there are cores, dealt over all of them; a scan with enough
-    splits stays as it is, without an exchange."""
+    splits stays as it is, without an exchange, and so does a stream."""
+    if rows.isStreaming:
+        return rows
     cores, plan = rows.sparkSession.sparkContext.defaultParallelism, rows._jdf.queryExecution().executedPlan()
     if "Exchange" in plan.toString() or plan.execute().getNumPartitions() >= cores:
         return rows
