@@ -708,3 +708,12 @@ def test_broken_megabytes_take_linear_time(page):
 def test_unclosed_quote_hides_no_text():
     page = '<body><article><p>' + "One sentence of the article, long enough to count. " * 3 + '</p><p class="x>' + "Another sentence of the article, just as long. " * 3 + "</p></article></body>"
     assert "Another sentence" in extract.default_model().text(page)
+
+
+def test_training_apart_gives_the_same_scorer():
+    rows = [(f"{'idiot fool' if i % 3 == 0 else 'garden river'} number {chr(97 + i % 26) * 4} {chr(97 + i % 7) * 5}", int(i % 3 == 0)) for i in range(90)] + [("", 0)]
+    here, apart = toxicity.train(rows, 0.2), toxicity.trained_apart(rows, 0.2)
+    texts = ["an idiot fool", "a garden by the river", ""]
+    assert np.allclose(here.score(texts), apart.score(texts))
+    with pytest.raises(RuntimeError, match="training failed"):
+        toxicity.trained_apart([("a", "no label")])
