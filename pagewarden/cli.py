@@ -35,15 +35,15 @@ def main(argv: list[str] | None = None) -> int:
 
     optional = {"default": None}
     command("audit", ("fetches",), ("--sitemap", optional), ("--target", {"default": ""}), ("--fail-on", {"choices": ["critical", "alert"], "default": None}), ("--csv", optional), ("--json", optional), ("--markdown", optional), ("--html", optional))
-    command("inspect", ("fetches",), ("url",))
+    command("inspect", ("fetches",), ("url",), ("--text", {"action": "store_true"}))
     command("list", ("--limit", {"type": int, "default": 20}))
     command("issues", ("session",), ("--severity", {"type": int, "default": None}), ("--category", optional), ("--code", optional), ("--url", optional), ("--limit", {"type": int, "default": 50}), ("--offset", {"type": int, "default": 0}))
-    command("report", ("session",), ("--format", {"choices": ["markdown", "html", "llm", "json"], "default": "markdown"}))
+    command("report", ("session",), ("--format", {"choices": ["markdown", "html", "llm", "json", "scorecard"], "default": "markdown"}))
     command("check-ai", ("robots",), ("--llms", {"action": "store_true"}))
     command("delete", ("session",))
     command("clean", ("--days", {"type": int, "default": None}))
     command("schema", ("file",))
-    command("extract", ("pages",))
+    command("extract", ("pages",), ("--schema", {"action": "store_true"}))
     command("mcp")
     a = p.parse_args(argv)
     if a.command == "schema":
@@ -74,8 +74,10 @@ def main(argv: list[str] | None = None) -> int:
         return int(bool(limit and found.issues.filter(F.col("severity") <= limit).limit(1).count()))
     if a.command == "inspect":
         from .plans.audit import inspect
+        from .plans.reports import inspection
 
-        _show(inspect(spark.read.parquet(a.fetches), a.url))
+        fetches = spark.read.parquet(a.fetches)
+        print(inspection(fetches, a.url)) if a.text else _show(inspect(fetches, a.url))
     elif a.command == "list":
         _show(store.crawls(a.limit))
     elif a.command == "issues":
@@ -89,7 +91,7 @@ def main(argv: list[str] | None = None) -> int:
         from .operators.score import health_score
 
         whole = Audit(**t, score=health_score(t["issues"], t["pages"].agg(F.count("*").alias("n"))))
-        print({"markdown": reports.markdown_report, "html": reports.html_report, "llm": reports.llm_report, "json": reports.json_text}[a.format](whole))
+        print({"markdown": reports.markdown_report, "html": reports.html_report, "llm": reports.llm_report, "json": reports.json_text, "scorecard": reports.scorecard}[a.format](whole))
     elif a.command == "check-ai":
         from .sources.robots import ai_readiness, robots_rules
 
@@ -106,7 +108,13 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "extract":
         from .operators.site import page_documents, site_documents
 
-        _show(site_documents(page_documents(spark.read.parquet(a.pages))))
+        found = site_documents(page_documents(spark.read.parquet(a.pages)))
+        if a.schema:
+            from .plans.reports import json_schema
+
+            print(json.dumps(json_schema(found.schema), indent=2))
+        else:
+            _show(found)
     return 0
 
 

@@ -314,7 +314,7 @@ def page_documents(pages: DataFrame) -> DataFrame:
         empty_root = bool(re.search(r"(?is)<div[^>]+id=[\"']?(root|app|__next|__nuxt)[\"']?[^>]*>\s*</div>", html))
         asks = bool(re.search(r"(?is)<noscript[^>]*>[^<]*(enable javascript|requires javascript|javascript is)", html))
         shell = n == 0 and not row["links"] or empty_root and n < 200 or asks and n < 120 or scripts > 0 and n < 40
-        return {"site": site, "url": url, "kind": kind, "title": row["title"], "markdown": text, "word_count": n, "is_js_shell": bool(shell), **co.contacts_of(text + "\n" + hrefs), "facts": business_facts([s["raw_json"] for s in row["schemas"]]), **design, **head_facts(html, url)}
+        return {"site": site, "url": url, "kind": kind, "title": row["title"], "markdown": text, "word_count": n, "is_js_shell": bool(shell), **co.contacts_of("\n".join((text, hrefs, co.protected_emails(html)))), "facts": business_facts([s["raw_json"] for s in row["schemas"]]), **design, **head_facts(html, url)}
 
     def run(frames):
         for f in frames:

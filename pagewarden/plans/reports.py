@@ -7,11 +7,15 @@ import json
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dialect import SPARK
+from ..operators import page_rules as pr
 from ..operators import score
 from ..operators.catalog import SEVERITIES
 from ..operators.graph import degrees, pagerank
+from ..sources import fetches as fe
+from ..sources import html as pages_of
 from .audit import Audit
 
 
@@ -97,13 +101,73 @@ def llm_report(a: Audit, groups: int = 10) -> str:
     return "\n".join([f"score {s['score']}, pages {s['pages']}", "", "Issues:", *lines, "", "Quick wins:", *[f"- {r['title']}: {r['n']}" for r in wins]]) + "\n"
 
 
-def html_report(a: Audit) -> str:
-    """One page without scripts: score, histograms, rules with samples."""
+def html_report(a: Audit, listed: int = 500) -> str:
+    """One page without scripts: score, findings by severity, statuses, depths, TTFB, rules with samples, top pages, and
+    the `listed` pages with most findings."""
     s, e = summary(a), lambda x: entities.escape(str(x))
     table = lambda rows, cols: "<table><tr>" + "".join(f"<th>{c}</th>" for c in cols) + "</tr>" + "".join("<tr>" + "".join(f"<td>{e(r[c])}</td>" for c in cols) + "</tr>" for r in rows) + "</table>"
     rules = "".join(f"<details><summary>{e(SEVERITIES[r['severity']])}: {e(r['title'])} ({r['n']})</summary><ul>{''.join(f'<li>{e(u)}</li>' for u in s['samples'].get(r['code'], []))}</ul></details>" for r in s["rules"])
-    return f"<!DOCTYPE html><meta charset=utf-8><title>Site audit</title><h1>Health score {s['score']}</h1>{table(s['statuses'], ['status_code', 'count', 'share'])}{table(s['depths'], ['crawl_depth', 'count'])}{rules}{table(s['hubs'], ['node', 'rank'])}"
+    levels = [{"severity": name, "findings": sum(r["n"] for r in s["rules"] if r["severity"] == k)} for k, name in SEVERITIES.items()]
+    most = max(1, *(x["findings"] for x in levels))
+    bars = "".join(f"<p>{e(x['severity'])} <meter max={most} value={x['findings']}></meter> {x['findings']}</p>" for x in levels)
+    counts = a.issues.groupBy("url").agg(F.count("*").alias("findings"))
+    pages = a.pages.select("url", "status_code", "title", "word_count", "crawl_depth").join(counts, "url", "left").fillna(0, ["findings"]).orderBy(F.desc("findings"), "url").limit(listed).collect()
+    parts = {
+        "Findings by severity": bars, "Statuses": table(s["statuses"], ["status_code", "count", "share"]), "Depths": table(s["depths"], ["crawl_depth", "count"]), "TTFB": table(s["ttfb"], ["average", "p95"]),
+        "Rules": rules, "Top pages by rank": table(s["hubs"], ["node", "rank"]), f"Pages ({len(pages)} of {s['pages']})": table(pages, ["url", "status_code", "title", "word_count", "crawl_depth", "findings"]),
+    }
+    return f"<!DOCTYPE html><meta charset=utf-8><title>Site audit</title><h1>Health score {s['score']}</h1>" + "".join(f"<h2>{e(k)}</h2>{v}" for k, v in parts.items())
 
 
 def json_text(a: Audit) -> str:
     return json.dumps(summary(a), default=str, ensure_ascii=False)
+
+
+def scorecard(a: Audit, rules: int = 6, hubs: int = 5, width: int = 40) -> str:
+    """A few lines for a terminal: the score as a bar, TTFB, findings by severity, the most frequent rules, the top pages."""
+    s = summary(a, 1, hubs)
+    ttfb = s["ttfb"][0] if s["ttfb"] else {"average": None, "p95": None}
+    full = round(width * s["score"] / 100)
+    levels = {k: sum(r["n"] for r in s["rules"] if r["severity"] == k) for k in SEVERITIES}
+    out = [f"Health [{'#' * full}{'.' * (width - full)}] {s['score']}/100", f"{s['pages']} pages, TTFB average {ttfb['average']} ms, p95 {ttfb['p95']} ms", ", ".join(f"{n} {SEVERITIES[k]}" for k, n in levels.items()), "", "Most frequent findings"]
+    out += [f"  {r['n']:>8}  {SEVERITIES[r['severity']]:<8}  {r['title']}" for r in sorted(s["rules"], key=lambda r: (-r["n"], r["code"]))[:rules]]
+    return "\n".join([*out, "", "Top pages by rank", *[f"  {r['rank']:.6f}  {r['node']}" for r in s["hubs"]]]) + "\n"
+
+
+def inspection(fetches: DataFrame, url: str) -> str:
+    """What is known of one page, as text: its response, head, headings, links, structured data and findings.
+    A page that isn't among the responses gives a line that says so; lists are shown by their size."""
+    parsed = pages_of.parse_pages(fe.prepared(fetches.filter(F.col("url") == url)))
+    page = parsed.limit(1).collect()
+    if not page:
+        return f"{url}: no response\n"
+    row = page[0].asDict(recursive=True)
+    show = lambda names: [f"  {n}: {row[n]}" for n in names if row.get(n) not in (None, "", [])]
+    sections = {
+        "Response": show(["status_code", "content_type", "size_bytes", "ttfb_ms", "crawl_depth"]),
+        "Head": show(["title", "meta_description", "canonical_url", "html_lang", "viewport", "robots_flags"]),
+        "Content": [*show(["h1_primary", "h1_count", "word_count", "dom_element_count"]), *[f"  h2: {h}" for h in row["h2_headings"][:10]], f"  intent: {row['page_intent']['archetype']}"],
+        "Items": [f"  {n}: {len(row[n])}" for n in ("links", "images", "schemas", "hreflangs")],
+    }
+    found = pr.issues(pages_of.features_of(parsed), "url").select("severity", "code", "title").orderBy("severity", "code").collect()  # at most one a rule
+    sections[f"Findings ({len(found)})"] = [f"  [{SEVERITIES[r['severity']]}] {r['code']}: {r['title']}" for r in found]
+    return "\n".join([url, *[line for name, lines in sections.items() for line in ("", name, *lines)]]) + "\n"
+
+
+def json_schema(t: T.DataType, top: bool = True) -> dict:
+    """The JSON Schema (2020-12) of rows of a schema, as JSON lines hold them; fields that may be null may be left out."""
+    if isinstance(t, T.StructType):
+        out = {"type": "object", "properties": {f.name: json_schema(f.dataType, False) for f in t.fields}, "required": [f.name for f in t.fields if not f.nullable]}
+    elif isinstance(t, T.ArrayType):
+        out = {"type": "array", "items": json_schema(t.elementType, False)}
+    elif isinstance(t, T.MapType):
+        out = {"type": "object", "additionalProperties": json_schema(t.valueType, False)}
+    elif isinstance(t, T.BooleanType):
+        out = {"type": "boolean"}
+    elif isinstance(t, T.IntegralType):
+        out = {"type": "integer"}
+    elif isinstance(t, T.NumericType):
+        out = {"type": "number"}
+    else:
+        out = {"type": "string", **({"format": "date-time"} if isinstance(t, T.TimestampType) else {})}
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", **out} if top else out

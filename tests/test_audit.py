@@ -244,7 +244,25 @@ def test_whole_audit(spark, crawl, tmp_path):
     assert "Health score" in text and "ERR_HTTP_4XX_CLIENT_ERROR" in text
     assert "<h1>Health score" in reports.html_report(a) and "Quick wins" in reports.llm_report(a)
     json.loads(reports.json_text(a))
+    dashboard = reports.html_report(a, 2)
+    assert "Pages (2 of 4)" in dashboard and dashboard.count("<meter") == 4 and "https://other.org" not in dashboard
+    card = reports.scorecard(a, 3, 2, 20).splitlines()
+    assert card[0].startswith("Health [") and len(card[0].split("]")[0]) == 28 and card[1].startswith("4 pages, TTFB average 10 ms, p95 10 ms")
+    assert len(card) == 5 + 3 + 2 + 2
     assert inspect(crawl, "https://e.com/").count() > 0
+    text = reports.inspection(crawl, "https://e.com/")
+    assert "status_code: 200" in text and "links: 3" in text and f"Findings ({inspect(crawl, 'https://e.com/').count()})" in text
+    assert reports.inspection(crawl, "https://e.com/none") == "https://e.com/none: no response\n"
+
+
+def test_json_schema():
+    from pyspark.sql import types as T
+
+    t = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.ArrayType(T.StringType())), T.StructField("c", T.MapType(T.StringType(), T.DoubleType())), T.StructField("d", T.StructType([T.StructField("e", T.BooleanType())]))])
+    assert reports.json_schema(t) == {
+        "$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "required": ["a"],
+        "properties": {"a": {"type": "integer"}, "b": {"type": "array", "items": {"type": "string"}}, "c": {"type": "object", "additionalProperties": {"type": "number"}}, "d": {"type": "object", "properties": {"e": {"type": "boolean"}}, "required": []}},
+    }
 
 
 def test_rendered_differences(spark):

@@ -94,3 +94,10 @@ def test_json_ld():
     assert audit["n_products_no_offer"] == 0 and audit["n_products_no_availability"] == 1
     v = jsonld.validate('<script type="application/ld+json">{"@type":"Product","name":"x"}</script>')
     assert v["detected_type"] == "Product" and not v["is_rich_result_eligible"]
+
+
+def test_protected_emails():
+    hide = lambda mail, key: bytes([key, *(b ^ key for b in mail.encode())]).hex()
+    html = f'<a href="/cdn-cgi/l/email-protection#{hide("desk@shop.org", 7)}">x</a><span data-cfemail="{hide("Lee@inn.net", 0x5A).upper()}"></span><i data-cfemail="zz12"></i><i data-cfemail="{hide("not a mail", 3)}"></i>'
+    assert co.protected_emails(html).splitlines() == ["desk@shop.org", "Lee@inn.net"]
+    assert co.protected_emails("") == ""
