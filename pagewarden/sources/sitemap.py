@@ -10,8 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import url as ux
+from ..functions.dialect import SPARK
+
 #: No sitemap may inflate to more; indexes are followed so deep.
 MAX_BYTES, MAX_DEPTH = 50 << 20, 3
+#: Where sitemaps are looked for when robots.txt names none, and the least bound on what is discovered.
+USUAL_NAMES, LEAST_FOUND = ("sitemap.xml", "sitemap_index.xml", "wp-sitemap.xml"), 10_000
 ENTRIES = "sitemap_url string, is_index boolean, loc string, lastmod string, changefreq string, priority float, alternates array<struct<hreflang:string,href:string>>"
 
 
@@ -72,3 +77,19 @@ def discovered(entries: DataFrame, roots: DataFrame, depth: int = MAX_DEPTH) ->
         found = urls if found is None else found.unionByName(urls)
         at = met.filter("is_index").select(F.col("loc").alias("sitemap_url")).distinct()
     return found.distinct()
+
+
+def sitemap_roots(sites: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, url of the sitemaps of sites(host, origin): those that rules (robots.robots_rules) name, or else the usual ones."""
+    named = rules.filter("sitemap IS NOT NULL").select("host", F.col("sitemap").alias("url")).distinct()
+    usual = sites.join(named.select("host").distinct(), "host", "left_anti")
+    usual = usual.select("host", F.explode(F.array(*[F.concat("origin", F.lit(f"/{n}")) for n in USUAL_NAMES])).alias("url"))
+    return named.join(sites.select("host"), "host", "left_semi").unionByName(usual)
+
+
+def discovered_pages(entries: DataFrame, roots: DataFrame, host: str, max_pages: int = 0) -> DataFrame:
+    """url of the pages of one host that its sitemaps lead to, files left out. With max_pages at most
+    max(3 * max_pages, LEAST_FOUND), the first by url: the crawl takes no more."""
+    urls = discovered(entries, roots).select(F.col("loc").alias("url"))
+    own = urls.filter(F.expr(ux.host(SPARK, "url")) == host.lower()).filter(f"NOT {ux.is_asset(SPARK, 'url')}")
+    return own.orderBy("url").limit(max(3 * max_pages, LEAST_FOUND)) if max_pages else own

@@ -156,6 +156,16 @@ def test_sitemaps(spark):
     assert entries.filter("loc = 'a'").first()["alternates"][0]["hreflang"] == "de"
 
 
+def test_discovery(spark):
+    sites = spark.createDataFrame([("e.com", "https://e.com"), ("f.com", "https://f.com")], "host string, origin string")
+    rules_ = rb.robots_rules(spark.createDataFrame([("e.com", "User-agent: *\nDisallow: /x\nSitemap: https://e.com/maps.xml"), ("f.com", "User-agent: *\nAllow: /")], "host string, body string"))
+    roots = sm.sitemap_roots(sites, rules_)
+    assert sorted(r["url"] for r in roots.collect()) == ["https://e.com/maps.xml", "https://f.com/sitemap.xml", "https://f.com/sitemap_index.xml", "https://f.com/wp-sitemap.xml"]
+    entries = spark.createDataFrame([("https://e.com/maps.xml", True, "https://e.com/m1.xml"), ("https://e.com/m1.xml", False, "https://e.com/a"), ("https://e.com/m1.xml", False, "https://e.com/a"), ("https://e.com/m1.xml", False, "https://e.com/b.pdf"), ("https://e.com/m1.xml", False, "https://g.com/c")], "sitemap_url string, is_index boolean, loc string")
+    for most in (0, 5):
+        assert [r["url"] for r in sm.discovered_pages(entries, roots, "E.com", most).collect()] == ["https://e.com/a"]
+
+
 def test_rate_control(spark):
     c = fr.Controller(10)
     c.failure(429)
