@@ -3,6 +3,9 @@ survive hot keys, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,6 +50,23 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 500_000):
         at = to
 
 
+def giving_back(run):
+    """run(batches) for a Python worker; when it ends, what the worker has freed goes back to the machine. Workers outlive
+    their tasks, and Arrow and the C library would keep it, in each worker, beside whatever the executor does next."""
+
+    @functools.wraps(run)
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return out
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, spread: list[str], how: str = "inner", weights: DataFrame | None = None) -> DataFrame:
     """rows joined with groups, which has one row for each key. weights (groups itself, unless given) has
     the number of each key's rows in the column `weight`; it is read twice, so it should be staged.

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, components, slices, stage
+from .common import attach, components, giving_back, slices, stage
 
 BANDS, ROWS = 24, 4
 #: MinHash values, of which the bands take the first and the sketch all.
@@ -116,6 +116,7 @@ def most_differing(threshold: float) -> int:
 
 
 def _sets(width: int):
+    @giving_back
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -136,6 +137,7 @@ def _sets(width: int):
 
 
 def _only_sets(width: int):
+    @giving_back
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -145,6 +147,7 @@ def _only_sets(width: int):
 
 
 def _differ(most: int):
+    @giving_back
     def run(batches):
         for batch in batches:
             if batch.num_rows:
@@ -158,6 +161,7 @@ def _differ(most: int):
 
 
 def _verify(percent: int):
+    @giving_back
     def run(batches):
         for batch in batches:
             good = []
@@ -286,6 +290,7 @@ def _could_link(c, n, s, c2, n2, s2, most: int, percent: int) -> np.ndarray:
 def _plausible_blocks(most: int, percent: int):
     top = np.iinfo(np.int64).max
 
+    @giving_back
     def run(batches):
         for batch in batches:
             out = []
@@ -340,6 +345,7 @@ def _link_blocks(most: int, percent: int):
                         yield int(ids_left[i]), int(ids_right[j])
             mark[mine] = False
 
+    @giving_back
     def run(batches):
         for batch in batches:
             (e, s, (r, c, n)), (e2, s2, (r2, c2, n2)) = _sides(batch, ("rep", "component", "size"))

@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import random
+import subprocess
+import sys
 import time
 import zlib
 
@@ -717,3 +719,28 @@ def test_training_apart_gives_the_same_scorer():
     assert np.allclose(here.score(texts), apart.score(texts))
     with pytest.raises(RuntimeError, match="training failed"):
         toxicity.trained_apart([("a", "no label")])
+
+
+WORKER = r"""
+import re
+import pyarrow as pa
+from pagewarden.llm import neardup
+
+def held():
+    return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    for k in range(2):
+        yield pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([f"w{k} " * 30_000 for i in range(400)])], ["doc_id", "text"])
+
+before = held()
+for run in (neardup._sets(5), neardup._only_sets(5)):
+    assert sum(x.num_rows for x in run(batches())) == 800
+    print(held() - before)
+"""
+
+
+def test_workers_give_back_what_they_held():
+    """After batches of 36 MB a worker keeps little; without giving_back it kept over 60 MB."""
+    grown = subprocess.run([sys.executable, "-c", WORKER], capture_output=True, text=True, check=True).stdout.split()
+    assert len(grown) == 2 and max(map(float, grown)) < 45, grown
