@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import giving_back, slices
 from .network import HIDDEN, INPUTS, NUMBERS, SEED, THRESHOLD, VECTOR, WINDOW, Network, Scorer, Vectors, _sigmoid, grams, train, windows, words_in  # noqa: F401
 
 #: Bounds of the training sample: rows of either label, characters of a row.
@@ -73,6 +73,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame) -> Scorer:
 
 
 def _score(sent):
+    @giving_back
     def run(batches):
         scorer = sent.value
         for whole in batches:
