@@ -160,3 +160,33 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     out = format_chats(transcripts_of(conversations), train(conversations))
     return out.select("conv_id", F.size("roles").cast("long").alias("n_turns"), "roles", F.col("truth").alias("roles_given"), F.sha2("rendered", 256).alias("rendered_sha256"), F.length("rendered").cast("long").alias("n_chars"))
+
+
+_FIELDS = " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "{n}", "text"))
+_MERKLE_SQL = f"""
+    WITH RECURSIVE d AS (SELECT *, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                lambda a, x: list_reduce(range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), xor(a, x)), 4294967295::BIGINT) AS crc FROM documents),
+    l AS (SELECT doc_id, lang, sha256({_FIELDS.replace("{n}", "n_chars")}) AS leaf, CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256({_FIELDS.replace("{n}", "(n_chars + 1)")}) END AS changed FROM d),
+    p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l),
+    t AS (SELECT lang, 0 AS lev, pos, leaf AS node, n FROM p
+          UNION ALL SELECT lang, lev + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 1) // 2) FROM t WHERE n > 1 GROUP BY lang, lev, pos // 2),
+    s AS (SELECT lang, lev AS height, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+    u AS (SELECT 0 AS lev, pos, subroot AS node, n FROM s
+          UNION ALL SELECT lev + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 1) // 2) FROM u WHERE n > 1 GROUP BY lev, pos // 2),
+    r AS (SELECT lev AS height, node AS root FROM u WHERE n = 1),
+    e AS (SELECT p.doc_id, p.leaf, x.lev, p.pos >> x.lev AS side, t.node AS sib FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang, unnest(range(s.height)) AS x(lev)
+          LEFT JOIN t ON t.lang IS NOT DISTINCT FROM p.lang AND t.lev = x.lev AND t.pos = xor(p.pos >> x.lev, 1)
+          UNION ALL SELECT p.doc_id, p.leaf, 1000 + x.lev, s.pos >> x.lev, u.node FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN r, unnest(range(r.height)) AS x(lev)
+          LEFT JOIN u ON u.lev = x.lev AND u.pos = xor(s.pos >> x.lev, 1)),
+    f AS (SELECT doc_id, leaf, list(CASE WHEN sib IS NULL THEN '-' WHEN side % 2 = 1 THEN 'L' || sib ELSE 'R' || sib END ORDER BY lev) AS path, coalesce(string_agg(sib, '' ORDER BY lev), '') AS sibs FROM e GROUP BY ALL),
+    o AS (SELECT p.doc_id, p.leaf, s.subroot, r.root, sha256(coalesce(f.sibs, '')) AS proof_sha256,
+                 list_reduce(coalesce(f.path, []), lambda a, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || a WHEN 'R' THEN a || x[2:] ELSE a END), coalesce(p.changed, p.leaf)) AS folded_root
+          FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN r LEFT JOIN f ON f.doc_id = p.doc_id AND f.leaf = p.leaf)
+    SELECT *, folded_root = root AS verified FROM o"""
+
+
+@query("op13_merkle", _MERKLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import verified
+
+    return verified(table(spark, sf_dir, "documents"))
