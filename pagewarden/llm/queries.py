@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ over whole tables, their SQL where SQL can say it, and the pipeline."""
+"""The queries op1_ to op13_ over whole tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -209,3 +209,16 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", noisy)
     return hard_negatives(vectors, F.col("vec_id") % 100 == 0).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def _licenses_sql() -> str:
+    from .licenses import oracle
+
+    return oracle()
+
+
+@query("op11_licenses", _licenses_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import summary
+
+    return summary(table(spark, sf_dir, "documents"))
