@@ -42,6 +42,8 @@ def main(argv: list[str] | None = None) -> int:
     command("check-ai", ("robots",), ("--llms", {"action": "store_true"}))
     command("delete", ("session",))
     command("clean", ("--days", {"type": int, "default": None}))
+    command("vacuum", ("--hours", {"type": float, "default": 24}))
+    command("compact", ("session",))
     command("schema", ("file",))
     command("extract", ("pages",), ("--schema", {"action": "store_true"}))
     command("mcp")
@@ -101,6 +103,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if store.delete(a.session) else 1
     elif a.command == "clean":
         print(store.clean(a.days))
+    elif a.command == "vacuum":
+        print(store.vacuum(a.hours))
+    elif a.command == "compact":
+        store.compact(a.session)
     elif a.command == "mcp":
         from .mcp import Tools, serve
 

@@ -3,4 +3,4 @@
 
 def all_queries() -> None:
     """Registers every query."""
-    from . import extract_queries, graph_queries, page_queries, site_cases  # noqa: F401
+    from . import extract_queries, graph_queries, page_queries, session_queries, site_cases  # noqa: F401

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import page_rules as pr
+from ..operators.catalog import rules_table
 from ..operators.frontier import Controller
 from ..sources import fetches as fe
 from ..sources import html
+from ..sources.storage import Store
 
 
 def fetch_stream(spark: SparkSession, folder: str, files: int = 10) -> DataFrame:
@@ -30,6 +32,20 @@ def write_batches(issues: DataFrame, folder: str, checkpoint: str, every: str =
     return issues.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
+def write_session(fetches: DataFrame, store: Store, session_id: str, checkpoint: str, every: str | None = None):
+    """Pages, their children and page findings of a stream of responses go to a stored session, a version a batch.
+    Without `every`, the query ends when all that is there has been read."""
+
+    def derived(pages: DataFrame) -> dict[str, DataFrame]:
+        rules = rules_table(pages.sparkSession)
+        found = pr.findings(html.features_of(pages), "url").select("url", "code", F.lit(None).cast("string").alias("related"), F.lit("page").alias("phase"), "detail", F.col("url").alias("source_page_url"))
+        return html.children(pages) | {"issues": pr.described(found, rules)}
+
+    sink = store.sink(session_id, lambda df: {"pages": html.parse_pages(fe.prepared(df))}, derived)
+    when = {"processingTime": every} if every else {"availableNow": True}
+    return fetches.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**when).start()
+
+
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events and their value by type and window; later than `late` they are left out."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
