@@ -89,6 +89,29 @@ def robots_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rb.verdicts(rb.robots_rules(files), urls, agents)
 
 
+def _many_rules_oracle() -> str:
+    return f"""WITH p AS ({_paths(DUCK)}),
+        r AS (SELECT host, false AS allow, path[:9] AS body, 'prefix' AS kind, length(path[:9]) AS n FROM p UNION SELECT host, true, path, 'whole', length(path) + 1 FROM p WHERE length(path) % 2 = 0
+              UNION SELECT host, length(path) % 3 = 0, path[-7:], 'end', length(path[-7:]) + 3 FROM p UNION SELECT host, length(path) % 5 = 0, path[5:12], 'piece', length(path[5:12]) + 3 FROM p),
+        h AS (SELECT p.host, p.path, r.n, r.allow FROM p JOIN r ON p.host = r.host AND CASE r.kind WHEN 'prefix' THEN starts_with(p.path, r.body) WHEN 'whole' THEN p.path = r.body
+              WHEN 'end' THEN ends_with(p.path[2:], r.body) ELSE contains(p.path[2:], r.body) END)
+        SELECT p.host, p.path, 'MyBot' AS agent, coalesce(arg_max(h.allow, h.n * 2 + h.allow::INT), true) AS allowed FROM p LEFT JOIN h USING (host, path) GROUP BY ALL"""
+
+
+@query("robots_many_rules", _many_rules_oracle)
+def robots_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts for every page's path where each page of a host adds four rules to its robots file: a prefix, its whole path,
+    its end behind a wildcard, and a piece of it between wildcards."""
+    load(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    urls = spark.sql(_paths(SPARK))
+    n = F.length("path")
+    line = lambda allow, *body: F.concat(F.when(allow, "Allow: ").otherwise("Disallow: "), *body)
+    lines = F.array(line(F.lit(False), F.substring("path", 1, 9)), F.when(n % 2 == 0, line(F.lit(True), "path", F.lit("$"))), line(n % 3 == 0, F.lit("/*"), F.expr("right(path, 7)"), F.lit("$")), line(n % 5 == 0, F.lit("/*"), F.substring("path", 5, 8), F.lit("*")))
+    rules = urls.select("host", F.explode(F.array_compact(lines)).alias("line")).distinct()
+    files = rules.groupBy("host").agg(F.concat(F.lit("User-agent: *\n"), F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("body"))
+    return rb.verdicts(rb.robots_rules(files), urls, spark.createDataFrame([("MyBot",)], "agent string"))
+
+
 @query(
     "ai_bot_readiness",
     lambda: f"""SELECT host, CASE WHEN length(host) % 2 = 0 THEN 'PerplexityBot' ELSE '' END AS retrieval_blocked, CASE WHEN length(host) % 5 = 0 THEN 'CCBot,GPTBot' ELSE '' END AS training_blocked,

@@ -1,4 +1,4 @@
-"""robots.txt: rows of rules, and verdicts for URLs by joins."""
+"""robots.txt: rows of rules, kept as the nodes of a prefix tree, and verdicts for URLs by joins with them."""
 
 from __future__ import annotations
 
@@ -33,8 +33,9 @@ def parse_robots(text: str) -> list[dict]:
             row(sitemap=value)
         elif key in ("allow", "disallow") and agents:
             open_ = False
+            pattern = value if value[:1] in ("", "/", "*") else f"/{value}"
             for a in agents:
-                row(group_no=group, agent=a, is_allow=key == "allow" or not value, pattern=value, length=len(value))
+                row(group_no=group, agent=a, is_allow=key == "allow" or not value, pattern=pattern, length=len(pattern.encode()))
         elif key == "crawl-delay" and agents:
             open_ = False
             if re.fullmatch(r"\d+(\.\d+)?", value):
@@ -55,11 +56,45 @@ def robots_rules(files: DataFrame) -> DataFrame:
     return files.select("host", "body").mapInPandas(run, RULES)
 
 
-def pattern_regex(pattern: str) -> str:
-    """SQL for the regular expression of a robots pattern: * is a wildcard, a final $ an anchor, else a prefix."""
-    escaped = f"regexp_replace({pattern}, r'([.+?^(){{}}\\[\\]|\\\\])', r'\\\\$1')"
-    starred = f"replace({escaped}, '*', '.*')"
-    return f"concat('^', CASE WHEN {pattern} LIKE '%$' THEN {starred} ELSE replace({starred}, '$', '[$]') END)"
+#: Wildcard rules are found by so many first characters of their longest fixed piece.
+GRAM = 4
+
+
+def trie(rules: DataFrame) -> DataFrame:
+    """host, group_no, is_allow, length, and how a rule is found and checked: a row a rule.
+
+    A pattern is what stands before its first *, the prefix, and the pieces after it. Its node is the hash of the prefix
+    and its length, so a path meets the rules on its own way down and no others. A wildcard rule with a long enough
+    piece is found by the piece's first characters in place of the prefix, as many such rules begin alike."""
+    own = rules.filter("pattern IS NOT NULL").select("host", "group_no", "is_allow", "pattern", "length").distinct()
+    own = own.withColumn("anchored", F.col("pattern").endswith("$")).withColumn("parts", F.split(F.regexp_replace("pattern", "[$]$", ""), "[*]"))
+    own = own.withColumn("prefix", F.element_at("parts", 1)).withColumn("wild", F.col("anchored") | (F.size("parts") > 1))
+    after = F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0)))
+    longest = F.array_max(F.transform(after, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))
+    own = own.withColumn("last", F.when(F.col("anchored") & (F.size("parts") > 1), F.element_at("parts", -1)))
+    own = own.withColumn("middle", F.filter(F.when(F.col("last").isNotNull(), F.slice(after, 1, F.size(after) - 1)).otherwise(after), lambda p: p != ""))
+    own = own.withColumn("gram", F.when(longest["n"] >= GRAM, F.substring(longest["p"], 1, GRAM)))
+    node = F.when(F.col("gram").isNull(), F.xxhash64(F.length("prefix"), "prefix")).otherwise(F.xxhash64(F.lit(-1), "gram"))
+    return own.withColumn("node", node).withColumn("depth", F.when(F.col("gram").isNull(), F.length("prefix"))).drop("pattern", "parts", "gram")
+
+
+def matched(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, group_no, path, length, allow: the rules' longest pattern that matches each of paths(host, group_no, path); of equal ones, one that allows.
+
+    A path is looked up at the depths its group has, and by its pieces if the group has rules found so;
+    what is found is compared without regular expressions, pieces from left to right."""
+    nodes = trie(rules)
+    depths = nodes.groupBy("host", "group_no").agg(F.collect_set("depth").alias("depths"), F.max(F.col("depth").isNull()).alias("pieces"))
+    down = F.expr("transform(filter(depths, d -> d <= length(path)), d -> xxhash64(d, substring(path, 1, d)))")
+    across = F.expr(f"CASE WHEN pieces AND length(path) >= {GRAM} THEN array_distinct(transform(sequence(1, length(path) - {GRAM - 1}), i -> xxhash64(-1, substring(path, i, {GRAM})))) ELSE array() END")
+    probes = paths.join(depths, ["host", "group_no"]).select("host", "group_no", "path", F.explode(F.concat(down, across)).alias("node"))
+    met = probes.join(nodes, ["host", "group_no", "node"]).filter("startswith(path, prefix)")
+    # where the next piece may begin, 0 if one is missing
+    end = F.expr("aggregate(middle, length(prefix) + 1, (at, p) -> CASE WHEN at = 0 OR locate(p, path, at) = 0 THEN 0 ELSE locate(p, path, at) + length(p) END)")
+    whole = F.expr("CASE WHEN NOT wild THEN true WHEN end = 0 THEN false WHEN last IS NOT NULL THEN endswith(path, last) AND length(path) - length(last) + 1 >= end WHEN anchored THEN path = prefix ELSE true END")
+    met = met.withColumn("end", F.when(F.col("wild"), end)).filter(whole)
+    won = F.max(F.struct("length", F.col("is_allow").cast("int").alias("allow")))
+    return met.groupBy("host", "group_no", "path").agg(won.alias("w")).select("host", "group_no", "path", "w.length", "w.allow")
 
 
 def agent_group(rules: DataFrame, agents: DataFrame) -> DataFrame:
@@ -74,14 +109,14 @@ def agent_group(rules: DataFrame, agents: DataFrame) -> DataFrame:
 
 
 def verdicts(rules: DataFrame, urls: DataFrame, agents: DataFrame) -> DataFrame:
-    """host, path, agent, allowed for urls(host, path): the longest pattern that matches wins, allow wins ties."""
-    chosen = agent_group(rules, agents)
-    own = rules.filter("pattern IS NOT NULL").select("host", "group_no", "is_allow", "pattern", "length").distinct().withColumn("regex", F.expr(pattern_regex("pattern")))
-    asked = urls.crossJoin(F.broadcast(agents.select("agent").distinct()))
-    met = asked.join(chosen, ["host", "agent"], "left").join(own, ["host", "group_no"], "left")
-    hit = F.expr("coalesce(pattern = '' OR path RLIKE regex, false)")
-    won = F.max(F.when(hit, F.struct("length", F.col("is_allow").cast("int").alias("allow"))))
-    return met.groupBy("host", "path", "agent").agg(won.alias("w")).select("host", "path", "agent", F.coalesce(F.col("w.allow") == 1, F.lit(True)).alias("allowed"))
+    """host, path, agent, allowed for urls(host, path): the longest pattern that matches wins, allow wins ties.
+
+    Agents of one group share its verdicts."""
+    paths, chosen = urls.select("host", "path").distinct(), agent_group(rules, agents)
+    asked = paths.join(chosen.select("host", "group_no").distinct(), "host")
+    found = matched(asked, rules).select("host", "group_no", "path", "allow")
+    every = paths.crossJoin(F.broadcast(agents.select("agent").distinct())).join(chosen, ["host", "agent"], "left")
+    return every.join(found, ["host", "group_no", "path"], "left").select("host", "path", "agent", F.coalesce(F.col("allow") == 1, F.lit(True)).alias("allowed"))
 
 
 # Bots of AI search and of AI training.
