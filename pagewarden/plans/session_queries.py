@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import DUCK, SPARK
+from ..operators import substring
 from ..sources import markup
 from ..sources.storage import Store
-from ..staging import fresh
+from ..staging import fresh, stage
 from .registry import load, query
 
 
@@ -43,3 +44,23 @@ def session_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = store.table("links").groupBy("crawl_id", "page_id").agg(F.count("*").alias("links"), F.count_if("is_internal").alias("internal_links"))
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("bytes", "links", "internal_links")]
     return seen.join(links, ["crawl_id", "page_id"], "left").groupBy(F.col("crawl_id").alias("session_id"), "status_code").agg(F.count("*").alias("pages"), *sums)
+
+
+#: Parts of URLs: a host's, a path's, one with wildcards, one in capitals, one too short for the index, one that no URL has.
+NEEDLES = ("spam-farm", "/es/5", "page=_&ref", "BLOG.%.HTML", "/9", "no-such-part")
+
+
+@query("url_substring_search", lambda: "SELECT needle, page_id, url FROM pages JOIN (VALUES " + ", ".join(f"('{n}')" for n in NEEDLES) + ") AS n(needle) ON url ILIKE concat('%', needle, '%')")
+def url_substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages whose URL has each of some parts, by an index of all URLs."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    path = fresh(spark, "url_texts")
+    numbered = substring.numbered(pages, "url")
+    numbered.write.partitionBy("shelf").parquet(path)
+    texts = spark.read.schema(numbered.schema).parquet(path)
+    lists = stage(substring.postings(texts), "url_grams")
+    found = [substring.search(texts, lists, n).select(F.lit(n).alias("needle"), F.col("text").alias("url")) for n in NEEDLES]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.join(pages, "url").select("needle", "page_id", "url")

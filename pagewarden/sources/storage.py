@@ -10,10 +10,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import substring
 from .commits import Commits, schema_of
 
 TABLES = ("pages", "links", "images", "schemas", "hreflangs", "issues")
 CRAWLS = "target_url string, status string, started_at timestamp, finished_at timestamp, total_pages bigint, error_count bigint, alert_count bigint, warning_count bigint, health_score int"
+#: Tables of the index for substrings of URLs.
+INDEX = ("url_texts", "url_grams")
 #: The column by which each table is kept in order when a session is compacted.
 KEYS = {"pages": "url", "links": "source_url", "images": "page_url", "schemas": "page_url", "hreflangs": "page_url", "issues": "url"}
 
@@ -50,6 +53,19 @@ class Store:
             df.write.parquet(f"{self.folder}/{path}")
             files[name], schemas[name] = path, df.schema.json()
 
+    def _index(self, files: dict, schemas: dict) -> None:
+        """An index for substrings of the URLs of the findings just written."""
+        folder = f"data/{uuid.uuid4().hex}"
+
+        def write(df: DataFrame, name: str, *by: str) -> DataFrame:
+            files[name], schemas[name] = f"{folder}/{name}", df.schema.json()
+            df.write.partitionBy(*by).parquet(f"{self.folder}/{folder}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{folder}/{name}")
+
+        urls = self.spark.read.schema(schema_of(schemas["issues"])).parquet(f"{self.folder}/{files['issues']}")
+        rows = write(substring.numbered(urls, "url"), "url_texts", "shelf")
+        write(substring.postings(rows), "url_grams")
+
     def begin(self, session_id: str, target_url: str) -> None:
         self.log.commit("status", session_id, self.log.latest(), crawl={"target_url": target_url, "status": "crawling", "started_at": _now()})
 
@@ -91,10 +107,12 @@ class Store:
         self.log.commit("replace", session_id, since, None, files, schemas, self._closed(session_id, "completed", audit.pages, audit.issues))
 
     def compact(self, session_id: str) -> None:
-        """A session's batches as one, with every table in order of its page's URL."""
+        """A session's batches as one, with every table in order of its page's URL, and an index of the findings' URLs."""
         since, files, schemas = self.log.latest(), {}, {}
         known = self.at(since)
         self._write({n: known.table(n, session_id).drop("crawl_id") for n in known.names(session_id)}, session_id, files, schemas, ordered=True)
+        if "issues" in files:
+            self._index(files, schemas)
         crawl = known.crawls().filter(F.col("session_id") == session_id).drop("session_id").first()
         self.log.commit("replace", session_id, since, None, files, schemas, crawl.asDict() if crawl else None)
 
@@ -123,7 +141,7 @@ class Store:
     def names(self, session_id: str) -> list[str]:
         """The tables a session has."""
         named = self._entries().filter(F.col("session") == session_id).select(F.explode(F.map_keys("files")).alias("name")).distinct()
-        return sorted(r["name"] for r in named.collect())
+        return sorted(r["name"] for r in named.collect() if r["name"] not in INDEX)
 
     def pages_with_children(self, session_id: str, limit: int, offset: int = 0) -> DataFrame:
         """A slice of a session's pages in order of url; the children are nested lists of the row."""
@@ -156,7 +174,13 @@ class Store:
         for column, value in (("severity", severity), ("category", category), ("code", code)):
             if value is not None:
                 out = out.filter(F.col(column) == value)
-        return out.filter(F.col("url").ilike(f"%{url_part}%")) if url_part else out
+        if not url_part:
+            return out
+        batches = self._entries().filter((F.col("session") == session_id) & F.col("files")["issues"].isNotNull())
+        if batches.select(F.every(F.col("files")["url_grams"].isNotNull()).alias("all")).first()["all"]:  # none was added since it was compacted
+            urls = substring.search(*(self.table(name, session_id) for name in INDEX), url_part)
+            return out.join(urls, out["url"] == urls["text"], "left_semi")
+        return out.filter(F.col("url").ilike(f"%{url_part}%"))
 
     def broken_links(self, session_id: str) -> DataFrame:
         """Internal links to pages that answer 404."""
