@@ -12,6 +12,7 @@ from ..operators import frontier as fr
 from ..operators import page_rules as pr
 from ..operators import site
 from ..sources import html, markup
+from ..sources import jsonld_sql as jl
 from ..sources import robots as rb
 from .registry import load, query, sql_query
 
@@ -134,3 +135,32 @@ def aimd_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.abs(F.col("value") * 10).cast("int")
     status = F.when(F.col("event_type") == "error", 503).otherwise(200)
     return fr.control(load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("host"), F.col("event_id").alias("seq"), ms.alias("ttfb_ms"), status.alias("status_code")))
+
+
+def _described(d) -> str:
+    """SQL for page_id and html: each page with scripts that describe it, in one of six shapes, behind its own markup."""
+    text = "VARCHAR" if d is DUCK else "STRING"
+    number = f"CAST(page_id AS {text})"
+    node = lambda kind, more="": f"""concat('{{"@type":{kind},"url":"', url, '","sku":', {number}, '{more}}}')"""
+    product, article, thing = node('"Product"', ',"offers":[{"lowPrice":3},{"availability":"InStock"}]'), node('["NewsArticle","Thing"]', ',"datePublished":"2024-02-30x"'), node('"WebPage"', ',"author":{"@type":"Person"}')
+    block = lambda *parts: "concat('<script type=\"application/ld+json\">', " + ", ".join(parts) + ", '</script >')"
+    shapes = [block(product), block("""'{"@graph":['""", article, "',['", thing, "']]}'"), block("'{'", product), block("'['", product, "','", thing, "',7]'"), block("' '"), f"concat({block(thing)}, '<script>x</script>', {block(article)})"]
+    return "SELECT page_id, concat(html, CASE page_id % 6 " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(shapes)) + " END) AS html FROM pages"
+
+
+def _records_oracle() -> str:
+    found = [(0, "Product", True, True), (1, "NewsArticle", True, True), (1, "WebPage", True, False), (2, "InvalidJson", False, False), (3, "Product", True, True), (3, "WebPage", True, False), (5, "WebPage", True, False), (5, "NewsArticle", True, True)]
+    counts = {"n_schema_invalid": (2,), "n_products_valid": (0, 3), "n_products_no_offer": (), "n_products_no_availability": (), "n_articles_valid": (1, 5), "n_articles_no_author": (5,), "n_articles_no_date": (), "n_schema_bad_dates": (1, 1, 5)}
+    rows = ", ".join(f"({k}, '{t}', {v}, {g})" for k, t, v, g in found)
+    sums = ", ".join("(CASE page_id % 6 " + " ".join(f"WHEN {k} THEN {ks.count(k)}" for k in sorted({*ks})) + f" ELSE 0 END)::INT AS {n}" if ks else f"0 AS {n}" for n, ks in counts.items())
+    return f"SELECT page_id, schema_type, is_valid_json, is_google_eligible, {sums} FROM pages JOIN (VALUES {rows}) AS f(k, schema_type, is_valid_json, is_google_eligible) ON page_id % 6 = k"
+
+
+@query("json_ld_records", _records_oracle)
+def json_ld_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed nodes of the scripts that describe each page, and what the rules count of its page."""
+    load(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    values = jl.parsed(jl.blocks(spark.sql(_described(SPARK)), "html", "page_id"))
+    counts = "n_schema_invalid n_products_valid n_products_no_offer n_products_no_availability n_articles_valid n_articles_no_author n_articles_no_date n_schema_bad_dates".split()
+    found = jl.records(values, ["page_id", "block"]).select("page_id", "schema_type", "is_valid_json", "is_google_eligible")
+    return found.join(jl.audit(values, ["page_id"]).select("page_id", *counts), "page_id")

@@ -15,6 +15,10 @@ AUDIT_FIELDS = "n_schema_invalid n_schema_incomplete n_schema_bad_dates n_produc
 ISO = re.compile(r"^([1-9]\d{3})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])(?:[Tt ]([01]\d|2[0-3]):[0-5]\d:[0-5]\d.*)?$", re.S)
 
 
+def _refused(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def parse_json_ld(raw: str) -> list[dict]:
     """A record for each typed node of a block; one of type InvalidJson if it can't be read."""
     raw = raw.strip()
@@ -22,7 +26,7 @@ def parse_json_ld(raw: str) -> list[dict]:
         return []
     record = lambda kind, valid: {"schema_type": kind, "raw_json": raw, "is_valid_json": valid, "is_google_eligible": kind.lower() in ELIGIBLE}
     try:
-        todo, out = [json.loads(raw)], []
+        todo, out = [json.loads(raw, parse_constant=_refused)], []
     except (ValueError, RecursionError):
         return [record("InvalidJson", False)]
     while todo:
