@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contacts as co
 from ..functions import design as de
+from ..functions import scan
 from ..functions.url import resolve_url
 
 # Kinds of pages with priority, number and keywords; what is never worth reading.
@@ -96,6 +97,12 @@ def select_pages(links: DataFrame, most: int = MAX_PAGES) -> DataFrame:
     return some.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy(*best))).filter(F.col("place") <= most).select("site", "kind", "url", "text", "place")
 
 
+STYLE, STYLE_END = re.compile(r"(?i)<style[^>]*>"), re.compile(r"(?i)</style\s*>")
+# Marks of pages that scripts build.
+DIV, ROOT, CLOSED = re.compile(r"(?i)<div[^>]*>"), re.compile(r"(?i).id=[\"']?(root|app|__next|__nuxt)[\"']?"), re.compile(r"(?i)\s*+</div>")
+NOSCRIPT, ASKS = re.compile(r"(?i)<noscript[^>]*>"), re.compile(r"(?i)enable javascript|requires javascript|javascript is")
+
+
 class _Markdown(HTMLParser):
     SKIP = {"script", "style", "noscript", "template", "svg", "iframe", "select", "head"}
     BLOCK = set("p div section article main header footer nav aside table tr blockquote pre form figure ul ol dl dt dd address".split())
@@ -105,10 +112,19 @@ class _Markdown(HTMLParser):
         self.base, self.out, self.skip, self.links, self.lists = base, [], [], [], []
 
     def _break(self, n: int = 2):
-        text = "".join(self.out)
-        self.out = [text.rstrip(" ")] if text else []
-        if text and (missing := n - (len(text.rstrip(" ")) - len(text.rstrip(" ").rstrip("\n")))) > 0:
-            self.out.append("\n" * missing)
+        out, lines = self.out, 0
+        while out and not (kept := out[-1].rstrip(" ")):
+            out.pop()
+        if not out:
+            return
+        out[-1] = kept
+        for piece in reversed(out):
+            bare = piece.rstrip("\n")
+            lines += len(piece) - len(bare)
+            if bare or lines >= n:
+                break
+        if lines < n:
+            out.append("\n" * (n - lines))
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -130,7 +146,7 @@ class _Markdown(HTMLParser):
             self._break(1)
             self.out.append("  " * max(0, len(self.lists) - 1) + ("1. " if self.lists[-1:] == ["ol"] else "- "))
         elif tag == "a":
-            self.links.append((len("".join(self.out)), a.get("href", "")))
+            self.links.append((len(self.out), a.get("href", "")))
         elif tag in self.BLOCK:
             self._break(1 if tag in ("ul", "ol") and self.lists else 2)
             if tag in ("ul", "ol"):
@@ -143,12 +159,12 @@ class _Markdown(HTMLParser):
                     pass
         elif tag == "a" and self.links:
             at, href = self.links.pop()
-            text = "".join(self.out)
-            label = " ".join(text[at:].split())
+            text = "".join(self.out[at:])
+            label = " ".join(text.split())
             target = resolve_url(self.base, href) if href and not href.lower().startswith(("javascript:", "#")) else None
             if href.lower().startswith(("tel:", "mailto:")):
                 target = href
-            self.out = [text[:at], f"[{label}]({target})" if target and label else text[at:]]
+            self.out[at:] = [f"[{label}]({target})" if target and label else text]
         elif re.fullmatch("h[1-6]", tag) or tag in self.BLOCK:
             if tag in ("ul", "ol") and self.lists:
                 self.lists.pop()
@@ -307,12 +323,12 @@ def page_documents(pages: DataFrame) -> DataFrame:
         html = html or ""
         row, text = parse_html(html, url), to_markdown(html, url)
         hrefs = " ".join(re.findall(r"(?i)href\s*=\s*[\"']([^\"']+)", html))
-        styles = "\n".join(re.findall(r"(?is)<style[^>]*>(.*?)</style\s*>", html)) + "\n".join(f"x{{{s}}}" for s in re.findall(r"(?i)\sstyle\s*=\s*\"([^\"]*)\"", html))
+        styles = "\n".join(html[a:b] for _, a, b, _ in scan.elements(STYLE, STYLE_END, html)) + "\n".join(f"x{{{s}}}" for s in re.findall(r"(?i)\sstyle\s*=\s*\"([^\"]*)\"", html))
         design = de.analyse(styles)
         n = row["word_count"]
         scripts = len(re.findall(r"(?i)<script", html))
-        empty_root = bool(re.search(r"(?is)<div[^>]+id=[\"']?(root|app|__next|__nuxt)[\"']?[^>]*>\s*</div>", html))
-        asks = bool(re.search(r"(?is)<noscript[^>]*>[^<]*(enable javascript|requires javascript|javascript is)", html))
+        empty_root = any(ROOT.search(m[0]) and CLOSED.match(html, m.end()) for m in scan.tags(DIV, html))
+        asks = any(ASKS.search(html, m.end(), (html.find("<", m.end()) + 1 or len(html) + 1) - 1) for m in scan.tags(NOSCRIPT, html))
         shell = n == 0 and not row["links"] or empty_root and n < 200 or asks and n < 120 or scripts > 0 and n < 40
         return {"site": site, "url": url, "kind": kind, "title": row["title"], "markdown": text, "word_count": n, "is_js_shell": bool(shell), **co.contacts_of("\n".join((text, hrefs, co.protected_emails(html)))), "facts": business_facts([s["raw_json"] for s in row["schemas"]]), **design, **head_facts(html, url)}
 

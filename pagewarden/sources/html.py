@@ -22,7 +22,7 @@ from .jsonld import AUDIT_FIELDS, audit_schemas, parse_json_ld
 from .markup import GENERIC_ANCHORS, SOFT_404, SPA_MARKERS
 
 EXCLUDED = {"head", "nav", "header", "footer", "script", "style", "noscript"}
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_ALNUM = re.compile(r"[^\W_]")
 
 PARSED = """title string, title_count int, meta_description string, description_count int, meta_keywords string, viewport string, charset string, html_lang string,
 robots_flags int, canonical_url string, canonical_count int, is_canonical_relative boolean, h1_primary string, h1_count int, h2_headings array<string>, h3_headings array<string>,
@@ -59,8 +59,14 @@ def hash60(text: str) -> int:
     return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
 
 
+def _core(word: str) -> str:
+    """A word without signs around it."""
+    first = _ALNUM.search(word)
+    return word[first.start() : len(word) - _ALNUM.search(word[::-1]).start()] if first else ""
+
+
 def simhash(text: str) -> int:
-    tokens = Counter(t for w in text.lower().split() if (t := w if w.isalnum() else _EDGES.sub("", w)))
+    tokens = Counter(t for w in text.lower().split() if (t := w if w.isalnum() else _core(w)))
     if not tokens:
         return 0
     h = np.fromiter(map(hash60, tokens), dtype=np.int64, count=len(tokens))
