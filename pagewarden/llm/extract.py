@@ -3,7 +3,10 @@
 A page becomes a tree: its block elements, and as leaves the text blocks between their tags (inline
 elements belong to the block that they stand in). Every node is content or not. Each node has a
 potential from its tag, its class, id and role words and, for a leaf, from its length, share of link
-text and ending; each edge has one from the labels of parent and child and the child's tag.
+text and ending; each edge has one from the labels of parent and child, the child's tag and whether it has such words.
+Like siblings, which share tag and words, hang on one group node between them and their parent, so that however
+many there are, the parent hears them once; those without words, as the lines of a poem or the entries of a list,
+share one potential among them, so that their number says nothing.
 Messages pass once from the leaves up and once from the root down, which gives the exact marginal of
 every node; leaves over 0.5 are the main text.
 
@@ -268,6 +271,38 @@ def _leaf(text: str, links: float) -> list[str]:
     return [f"size{size}", f"link{0 if links == 0 else 1 if links < 0.5 else 2}", "ends" if text[-1] in ".!?:…»\"'”" else "open", "legal" if "©" in text else "plain"]
 
 
+#: Like siblings are of one kind, but for these, which frame all sorts of things; they are too if they share words, or hold nothing but text.
+FRAMES = set("div section article main body html".split())
+#: Pages on which a word must stand to be learnt.
+LEAST = 3
+#: P(member is content | group is not), P(member is content | group is).
+TIED = (0.01, 0.99)
+
+
+def siblings(page: Page, words_of) -> tuple[list[int], list[int], list[float]]:
+    """The group of each node or -1, the first node of each group, and the share of its potential that each node has."""
+    n = len(page.parent)
+    plain = [True] * n  # holds text alone
+    for i in range(1, n):
+        if i not in page.text:
+            plain[page.parent[i]] = False
+    words = [words_of(a) for a in page.attrs]
+    met: dict[tuple, list[int]] = {}
+    for i in range(1, n):
+        if page.tag[i] not in FRAMES or words[i] or plain[i]:
+            met.setdefault((page.parent[i], page.tag[i], *words[i]), []).append(i)
+    group, first, share = [-1] * n, [], [1.0] * n
+    for members in met.values():
+        if len(members) > 1:
+            for i in members:
+                group[i] = len(first)
+                share[i] = 1.0 if words[i] else 1 / len(members)
+            first.append(members[0])
+    for i in range(1, n):
+        share[i] *= share[page.parent[i]]
+    return group, first, share
+
+
 class Model:
     """Potentials by counts; the weights are logarithms."""
 
@@ -276,8 +311,11 @@ class Model:
         self.node: tuple[Counter, Counter] = (Counter(), Counter())
         self.edge: Counter = Counter()
         self.total: tuple[Counter, Counter] = (Counter(), Counter())
-        for page in pages:
-            self._count(Page(page))
+        read = [Page(page) for page in pages]
+        on = Counter(x for page in read for x in {x for a in page.attrs for x in _words(a)})
+        self.vocabulary = {x for x, n in on.items() if n >= LEAST}
+        for page in read:
+            self._count(page)
         self.known: dict = {}
 
     def _count(self, page: Page) -> None:
@@ -295,13 +333,20 @@ class Model:
                 self.node[y][group, feature] += 1
                 self.total[y][group] += 1
             if i:
-                self.edge[label[page.parent[i]], page.tag[i], y] += 1
+                self.edge[label[page.parent[i]], self.kind(page, i), y] += 1
+
+    def _words(self, attrs: str) -> list[str]:
+        """The words that it has learnt; others are as none."""
+        return [x for x in _words(attrs) if x in self.vocabulary] if attrs else []
+
+    def kind(self, page: Page, i: int) -> str:
+        """A node's tag, and whether it has words: a div that is named is another thing than a bare one."""
+        return page.tag[i] + ("." if self._words(page.attrs[i]) else "")
 
-    @staticmethod
-    def _features(page: Page, i: int) -> list[tuple[str, str]]:
+    def _features(self, page: Page, i: int) -> list[tuple[str, str]]:
         if i in page.text:
             return [("leaf" + str(k), x) for k, x in enumerate(_leaf(page.text[i], page.links[i]))]
-        return [("tag", page.tag[i]), *(("word", x) for x in _words(page.attrs[i]))]
+        return [("tag", self.kind(page, i)), *(("word", x) for x in self._words(page.attrs[i]))]
 
     def _potential(self, features: list[tuple[str, str]]) -> float:
         """log of P(features | content) / P(features | not)."""
@@ -315,17 +360,18 @@ class Model:
             out += math.log(p[1] / p[0])
         return out
 
-    def _edge(self, tag: str) -> tuple[float, float]:
-        """P(child is content | parent is not), P(child is content | parent is)."""
+    def _edge(self, kind: str) -> tuple[float, float]:
+        """P(child is content | parent is not), P(child is content | parent is); kinds never seen follow their parent."""
         out = []
         for y in (0, 1):
-            a, b = self.edge[y, tag, 1], self.edge[y, tag, 0]
-            out.append((a + (0.02 if y == 0 else 1.0)) / (a + b + (1.02 if y == 0 else 1.5)))
+            a, b = self.edge[y, kind, 1], self.edge[y, kind, 0]
+            out.append((a + (0.02 if y == 0 else 3.8)) / (a + b + (1.02 if y == 0 else 4.0)))
         return out[0], out[1]
 
     def marginals(self, page: Page) -> list[float]:
         """P(content) of every node, by sum-product."""
         n, parent = len(page.parent), page.parent
+        group, first, share = siblings(page, self._words)
         ratio, edges = [0.0] * n, [(0.0, 0.0)] * n
         known = self.known
         for i in range(n):
@@ -337,31 +383,47 @@ class Model:
             if got is None:
                 if len(known) > 50_000:
                     known.clear()
-                got = known[key] = (math.exp(max(-30.0, min(30.0, self._potential(self._features(page, i))))), self._edge(page.tag[i]))
-            ratio[i], edges[i] = got
-        # belief0, belief1: what a node's own potential and its children's messages say, scaled
+                got = known[key] = (max(-30.0, min(30.0, self._potential(self._features(page, i)))), self._edge(self.kind(page, i)))
+            ratio[i], edges[i] = math.exp(got[0] * share[i]), got[1]
+        # belief0, belief1: what a node's own potential and its children's messages say, scaled; groups have none of their own
         low = [1 / (1 + r) for r in ratio]
         high = [r / (1 + r) for r in ratio]
-        up0, up1 = [1.0] * n, [1.0] * n
+        glow, ghigh = [0.5] * len(first), [0.5] * len(first)
+        up0, up1, gup0, gup1 = [1.0] * n, [1.0] * n, [1.0] * len(first), [1.0] * len(first)
+
+        def heard(a, b, m0, m1):
+            a, b = a * m0, b * m1
+            return a / (a + b), b / (a + b)
+
         for i in range(n - 1, 0, -1):
-            e0, e1 = edges[i]
-            m0, m1 = low[i] * (1 - e0) + high[i] * e0, low[i] * (1 - e1) + high[i] * e1
-            up0[i], up1[i] = m0, m1
-            p = parent[i]
-            a, b = low[p] * m0, high[p] * m1
-            low[p], high[p] = a / (a + b), b / (a + b)
-        out = [0.0] * n
-        out[0] = high[0]
+            p, g = parent[i], group[i]
+            e0, e1 = edges[i] if g < 0 else TIED
+            up0[i], up1[i] = m0, m1 = low[i] * (1 - e0) + high[i] * e0, low[i] * (1 - e1) + high[i] * e1
+            if g < 0:
+                low[p], high[p] = heard(low[p], high[p], m0, m1)
+                continue
+            glow[g], ghigh[g] = heard(glow[g], ghigh[g], m0, m1)
+            if first[g] == i:  # all others have a higher number
+                e0, e1 = edges[i]
+                gup0[g], gup1[g] = m0, m1 = glow[g] * (1 - e0) + ghigh[g] * e0, glow[g] * (1 - e1) + ghigh[g] * e1
+                low[p], high[p] = heard(low[p], high[p], m0, m1)
+
+        def told(one, m0, m1, low, high, e0, e1):
+            """A node's marginal from the marginal above it, without the message that it sent there itself."""
+            a, b = (1 - one) / m0, one / m1
+            a, b = a / (a + b), b / (a + b)
+            x, y = low * (a * (1 - e0) + b * (1 - e1)), high * (a * e0 + b * e1)
+            return y / (x + y)
+
+        out, gout = [high[0]] + [0.0] * (n - 1), [0.0] * len(first)
         for i in range(1, n):
-            p = parent[i]
-            # the parent's belief without this child's message
-            a, b = (1 - out[p]) / up0[i], out[p] / up1[i]
-            s = a + b
-            a, b = a / s, b / s
-            e0, e1 = edges[i]
-            one = high[i] * (a * e0 + b * e1)
-            zero = low[i] * (a * (1 - e0) + b * (1 - e1))
-            out[i] = one / (one + zero)
+            p, g = parent[i], group[i]
+            if g < 0:
+                out[i] = told(out[p], up0[i], up1[i], low[i], high[i], *edges[i])
+                continue
+            if first[g] == i:
+                gout[g] = told(out[p], gup0[g], gup1[g], glow[g], ghigh[g], *edges[i])
+            out[i] = told(gout[g], up0[i], up1[i], low[i], high[i], *TIED)
         return out
 
     def text(self, source: str) -> str:
@@ -388,7 +450,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
     links = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 9))) + "</ul>"
     comment = lambda: box("div", "comment comment-body reply", f"<p>{prose()}</p>" + maybe(0.5, lambda: f"<span>{words(1, 2)}</span>"))
     boxes = {
-        "menu": lambda: box(pick(["nav", "nav", "div", "ul"]), "- nav menu navbar navigation breadcrumb breadcrumbs main-nav site-nav topbar", links()),
+        "menu": lambda: box("nav", "-", links()) if r.random() < 0.1 else box(pick(["nav", "nav", "div", "ul"]), "nav menu navbar navigation breadcrumb breadcrumbs main-nav site-nav topbar", links()),
         "header": lambda: box("header", "- header site-header masthead top banner", f"<div>{words(1, 4)}</div>" + maybe(0.5, links)),
         "heading": lambda: box("div", "header site-header masthead topbar branding logo", f"<p>{words(1, 5)}</p>"),
         "footer": lambda: box(pick(["footer", "footer", "div"]), "- footer site-footer copyright legal bottom", f"© {words(1, 4)}. " + prose() + maybe(0.4, links)),
@@ -423,6 +485,28 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
         '<select data-label="0"><option data-label="0">{0}<option data-label="0">{1}', '<select data-label="0"><option>{0}</option></select>', "<p>{0} {1} <math><mi>{0}</mi><mo>=</mo><mn>1</mn></math> {1}.</p>",
     )
 
+    more = random.Random(seed + 2)
+
+    def few(a, b):
+        return " ".join("".join(more.choice(parts) for _ in range(more.randint(1, 4))) for _ in range(more.randint(a, b)))
+
+    many = lambda tag, a, b: "".join(f"<{tag}>{few(a, b)}</{tag}>" for _ in range(more.randint(2, 9)))
+    said = lambda: few(4, 14).capitalize() + "."
+    shapes = (
+        lambda: f"<ol>{many('li', 1, 6)}</ol>", lambda: f"<ol><li>{said()}</li><li>{few(1, 3)}</li></ol>", lambda: "<ul>" + "".join(f"<li><a href='/{few(1, 1)}'>{few(1, 3)}</a></li>" for _ in range(4)) + "</ul>",
+        lambda: f"<h{more.randint(4, 6)}>{few(1, 5)}</h{more.randint(4, 6)}>", lambda: f"<dl><dt>{few(1, 2)}</dt><dd>{few(1, 8)}</dd><dt>{few(1, 2)}</dt><dd>{said()}</dd></dl>", lambda: many("p", 1, 5),
+        lambda: f"<div><div><p>{said()}</p></div></div>", lambda: f"<div>{few(1, 6)}</div><div><p>{few(1, 9)}</p></div>", lambda: f"<section><h2>{few(1, 4)}</h2><p>{said()}</p></section>",
+        lambda: f"<table><caption>{few(1, 4)}</caption><thead><tr>{many('th', 1, 2)}</tr></thead><tbody><tr>{many('td', 1, 2)}</tr></tbody></table>", lambda: f"<address>{few(1, 6)}</address>",
+        lambda: f"<details><summary>{few(1, 4)}</summary><p>{said()}</p></details>", lambda: f"<figure><img src=x><figcaption>{few(1, 6)}</figcaption></figure>", lambda: f"<pre>{few(1, 9)}</pre>", lambda: f"<blockquote>{many('p', 1, 5)}</blockquote>",
+    )
+
+    def with_shapes(core: str) -> str:
+        ends = [m.end() for m in re.finditer("</p>", core)]
+        for at in sorted((more.choice(ends) for _ in range(more.randrange(4)) if ends), reverse=True):
+            if core.count("data-label", 0, at) == 1:  # within nothing that is labelled otherwise
+                core = core[:at] + more.choice(shapes)() + core[at:]
+        return core
+
     def with_others(core: str) -> str:
         at = [m.end() for m in re.finditer("</p>", core)]
         if not at or others.random() < 0.7:
@@ -437,7 +521,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
         tag = pick(["article", "article", "article", "main", "div", "section"])
         attr = "" if names == "-" and tag in ("article", "main") else pick([f'class="{names}"', f'id="{names}"']) if names != "-" else 'class="content"'
         core = f'<{tag} {attr} data-label="1">{article()}{maybe(0.15, lambda: boxes["comments"]())}{maybe(0.1, lambda: "<footer data-label=0>" + words(2, 8) + "</footer>")}</{tag}>'
-        core = with_others(core)
+        core = with_shapes(with_others(core))
         if r.random() < 0.25:
             core = f'<div class="{pick(["container", "wrapper", "page", "row", "col", "layout", "site"])}">{core}{maybe(0.5, lambda: boxes["side"]())}</div>'
         before = [boxes[k]() for k in ("header", "heading", "menu", "notice", "advert", "form") if r.random() < 0.35]

@@ -96,7 +96,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
-@query("op10_main_text")
+# A plain reading of the driver's pages, whose article is one element that holds nothing else and is closed.
+_TEXT_SQL = r"""
+    WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)</article>', 1), '</?(?:p|h[1-6]|ul|ol|li|div|section|blockquote|table|tr|td|th)(?: [^>]*)?>') AS blocks FROM pages),
+    t AS (SELECT page_id, url, list_transform(blocks, lambda b: regexp_replace(replace(replace(replace(replace(replace(regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;?', '&', 'g')) AS texts FROM a),
+    j AS (SELECT page_id, url, array_to_string(list_filter(list_transform(texts, lambda b: trim(regexp_replace(b, '\s+', ' ', 'g'))), lambda b: b <> ''), chr(10)) AS text FROM t)
+    SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM j"""
+
+
+@query("op10_main_text", _TEXT_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .extract import main_text
 

@@ -643,7 +643,7 @@ def test_marginals_equal_enumeration():
             if y:
                 w *= math.exp(model._potential(model._features(page, i)))
             if i:
-                p = model._edge(page.tag[i])[labels[page.parent[i]]]
+                p = model._edge(model.kind(page, i))[labels[page.parent[i]]]
                 w *= p if y else 1 - p
         for i, y in enumerate(labels):
             weight[i, y] += w
