@@ -49,16 +49,27 @@ def architecture(pages: DataFrame, degrees: DataFrame, ranks: DataFrame) -> Data
     return met.select("url", F.explode(F.filter(code, lambda c: c.isNotNull())).alias("code"), F.lit(None).cast("string").alias("related"))
 
 
+def _blank(column: str):
+    """A text without white space around it; null if nothing is left."""
+    return F.expr(f"nullif(regexp_replace({column}, r'^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', ''), '')")
+
+
+def duplicate_keys(pages: DataFrame) -> DataFrame:
+    """url, code, key: what a page must not share with another, and the code of the finding if it does."""
+    keys = {"WARN_GRAPH_EXACT_DUPLICATE_CONTENT": F.when(F.expr(f"word_count >= {MIN_WORDS} AND content_hash <> 0"), F.col("content_hash").cast("string")), "WARN_GRAPH_DUPLICATE_TITLES": _blank("title"), "WARN_GRAPH_DUPLICATE_META_DESCS": _blank("meta_description")}
+    each = F.array(*[F.struct(F.lit(code).alias("code"), key.alias("key")) for code, key in keys.items()])
+    return pages.select("url", F.explode(F.filter(each, lambda x: x["key"].isNotNull())).alias("x")).select("url", "x.*")
+
+
 def duplicate_rules(pages: DataFrame, distance: int = dup.DISTANCE) -> DataFrame:
     """Same content, near content, same title, same description; the first page by seq is the primary.
     pages(seq, url, title, meta_description, word_count, content_hash, simhash)."""
     urls = pages.select(F.col("seq"), "url")
     named = lambda found, code: _found(found.join(urls, "seq").join(urls.select(F.col("seq").alias("primary"), F.col("url").alias("first_url")), "primary"), "url", code, F.col("first_url"))
-    blank = lambda c: F.expr(f"nullif(regexp_replace({c}, r'^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', ''), '')")
     body = pages.filter(f"word_count >= {MIN_WORDS}")
     out = named(dup.duplicates(body.filter("content_hash <> 0"), "content_hash", "seq"), "WARN_GRAPH_EXACT_DUPLICATE_CONTENT")
-    out = out.unionByName(named(dup.duplicates(pages.withColumn("k", blank("title")), "k", "seq"), "WARN_GRAPH_DUPLICATE_TITLES"))
-    out = out.unionByName(named(dup.duplicates(pages.withColumn("k", blank("meta_description")), "k", "seq"), "WARN_GRAPH_DUPLICATE_META_DESCS"))
+    out = out.unionByName(named(dup.duplicates(pages.withColumn("k", _blank("title")), "k", "seq"), "WARN_GRAPH_DUPLICATE_TITLES"))
+    out = out.unionByName(named(dup.duplicates(pages.withColumn("k", _blank("meta_description")), "k", "seq"), "WARN_GRAPH_DUPLICATE_META_DESCS"))
     # Exact duplicates are told already: only first pages of a content hash are compared.
     firsts = body.filter("simhash <> 0").groupBy("content_hash").agg(F.min(F.struct("seq", "simhash")).alias("f")).select("f.*")
     classes = dup.first_of_class(firsts, "seq")
