@@ -12,6 +12,7 @@ from ..operators import page_rules as pr
 from ..operators import score
 from ..operators.catalog import rules_table, values_sql
 from ..sources import markup
+from ..staging import stage
 from .registry import query, sql_query, views
 
 
@@ -44,12 +45,12 @@ def word_counts(d):
     return f"SELECT doc_id, CAST({tx.word_count(d, 'text')} AS BIGINT) AS words, {d.hash(tx.clean(d, 'text'))} AS content_hash FROM documents"
 
 
-@sql_query("thin_content", "pages")
+@sql_query("thin_content", "pages", deal=True)
 def thin_content(d):
     return f"SELECT page_id, CAST(words AS INT) AS words, words < 200 AS is_thin FROM (SELECT page_id, {tx.word_count(d, tx.editorial(d, 'html'))} AS words FROM pages) AS w"
 
 
-@sql_query("pages_parsed", "pages")
+@sql_query("pages_parsed", "pages", deal=True)
 def pages_parsed(d):
     kept = "page_id, url, title, title_count, h1_primary, h1_count, h2_count, h3_count, meta_description, viewport, robots_flags, canonical_url, n_links, n_empty_anchor, n_generic_anchor, word_count, html_lang, dom_element_count, size_bytes"
     ints = {"title_count", "h1_count", "h2_count", "h3_count", "robots_flags", "n_links", "n_empty_anchor", "n_generic_anchor", "word_count", "dom_element_count"}
@@ -57,12 +58,12 @@ def pages_parsed(d):
     return f"SELECT {cols} FROM ({markup.features_sql(d)}) AS f"
 
 
-@sql_query("links_extract", "pages")
+@sql_query("links_extract", "pages", deal=True)
 def links_extract(d):
     return markup.links_sql(d)
 
 
-@sql_query("link_anchor_quality", "pages")
+@sql_query("link_anchor_quality", "pages", deal=True)
 def link_anchor_quality(d):
     generic = "(" + ", ".join(f"'{x}'" for x in markup.GENERIC_ANCHORS) + ")"
     return f"""SELECT page_id, count(*) AS links, count(DISTINCT target_url) AS targets, sum(CASE WHEN anchor = '' THEN 1 ELSE 0 END) AS empty_anchors,
@@ -71,7 +72,7 @@ def link_anchor_quality(d):
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir, "pages")
+    views(spark, sf_dir, "pages", deal=True)
     return spark.sql(markup.features_sql(SPARK))
 
 
@@ -128,8 +129,8 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def top_samples_per_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 20 pages of each rule, and how many it has. A rule may fire on every page, so the
-    limit runs before the exchange and counts are partial first."""
-    found = _issues(spark, sf_dir).select("code", "page_id")
+    limit runs before the exchange and counts are partial first; both read the findings from where they were written."""
+    found = stage(_issues(spark, sf_dir).select("code", "page_id"), "found")
     first = found.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy("page_id"))).filter("place <= 20")
     return first.join(F.broadcast(found.groupBy("code").agg(F.count("*").alias("found"))), "code")
 
@@ -163,12 +164,12 @@ def ttfb_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.ttfb_summary(_features(spark, sf_dir).select("ttfb_ms"))
 
 
-@sql_query("missing_title_or_description", "pages")
+@sql_query("missing_title_or_description", "pages", deal=True)
 def missing_title_or_description(d):
     return f"SELECT page_id, url, title IS NULL AS no_title, meta_description IS NULL AS no_description FROM ({markup.features_sql(d)}) AS f WHERE title IS NULL OR meta_description IS NULL"
 
 
-@sql_query("csv_internal_all", "pages")
+@sql_query("csv_internal_all", "pages", deal=True)
 def csv_internal_all(d):
     indexable = score.indexability("status_code", "robots_flags", "canonical_url", "url", d)
     guard = score.csv_guard(d, "title")

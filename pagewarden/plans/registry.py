@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCK, SPARK
+from ..sources.html import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, Callable[[], str]] = {}
@@ -16,9 +17,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
+def views(spark: SparkSession, sf_dir: str, *names: str, deal: bool = False) -> None:
+    """deal: rows cost much each, so a small scan is dealt over all cores."""
     for name in names:
-        load(spark, sf_dir, name).createOrReplaceTempView(name)
+        rows = load(spark, sf_dir, name)
+        (spread(rows) if deal else rows).createOrReplaceTempView(name)
 
 
 def query(name: str, oracle: Callable[[], str] | None = None):
@@ -33,12 +36,12 @@ def query(name: str, oracle: Callable[[], str] | None = None):
     return add
 
 
-def sql_query(name: str, *tables: str):
+def sql_query(name: str, *tables: str, deal: bool = False):
     """Registers f(d), SQL for a dialect, as a query and as its oracle."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            views(spark, sf_dir, *tables)
+            views(spark, sf_dir, *tables, deal=deal)
             return spark.sql(f(SPARK))
 
         QUERIES[name], ORACLES[name] = run, lambda: f(DUCK)
