@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import address
 from ..functions import contacts as co
 from ..functions import url as ux
 from ..functions.dialect import DUCK, SPARK
@@ -164,3 +167,32 @@ def json_ld_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = "n_schema_invalid n_products_valid n_products_no_offer n_products_no_availability n_articles_valid n_articles_no_author n_articles_no_date n_schema_bad_dates".split()
     found = jl.records(values, ["page_id", "block"]).select("page_id", "schema_type", "is_valid_json", "is_google_eligible")
     return found.join(jl.audit(values, ["page_id"]).select("page_id", *counts), "page_id")
+
+
+# The first address of each restricted stretch of IPv4, and the first after it.
+_BOUNDS = [int(n[k]) + k for n in map(ipaddress.ip_network, address.V4) for k in (0, -1)]
+
+
+def _literal(d) -> str:
+    """SQL for page_id and an address literal: a few addresses to either side of a bound, written in one of three ways."""
+    bounds = ", ".join(map(str, _BOUNDS))
+    bound = f"list_extract([{bounds}], page_id % {len(_BOUNDS)} + 1)" if d is DUCK else f"element_at(array({bounds}), CAST(page_id % {len(_BOUNDS)} AS INT) + 1)"
+    whole = f"greatest(0, least(4294967295, {bound} + page_id % 7 - 3))"
+    part = lambda i: f"CAST((x {'//' if d is DUCK else 'div'} {256**i}) % 256 AS {'VARCHAR' if d is DUCK else 'STRING'})"
+    text = "VARCHAR" if d is DUCK else "STRING"
+    low = f"CAST(x % 65536 AS {text})"
+    dotted = f"concat({part(3)}, '.', {part(2)}, '.', {part(1)}, '.', {part(0)})"
+    return f"SELECT page_id, x, CASE page_id % 3 WHEN 0 THEN {dotted} WHEN 1 THEN CAST(x AS {text}) ELSE concat({part(3)}, '.', {part(2)}, '.', {low}) END AS host FROM (SELECT page_id, CAST({whole} AS BIGINT) AS x FROM pages) AS b"
+
+
+def _address_oracle() -> str:
+    a, b, c = "(x >> 24)", "((x >> 16) & 255)", "((x >> 8) & 255)"
+    kept = f"{a} IN (0, 10, 127) OR {a} >= 224 OR {a} = 100 AND {b} BETWEEN 64 AND 127 OR {a} = 169 AND {b} = 254 OR {a} = 172 AND {b} BETWEEN 16 AND 31 OR {a} = 192 AND ({b} = 168 OR {b} = 0 AND {c} = 2) OR {a} = 198 AND {b} = 51 AND {c} = 100 OR {a} = 203 AND {b} = 0 AND {c} = 113"
+    return f"SELECT page_id, host, NOT ({kept}) AS may_fetch FROM ({_literal(DUCK)}) AS l"
+
+
+@query("address_guard", _address_oracle)
+def address_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an address beside a bound of a restricted network, one a page, may be fetched."""
+    load(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    return spark.sql(_literal(SPARK)).select("page_id", "host", address.public_host(F.col("host")).alias("may_fetch"))
