@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import socket
 from urllib.parse import parse_qsl, quote, quote_plus, unquote, urljoin, urlsplit
 
 from pyspark.sql import Column
@@ -189,7 +190,12 @@ def is_public_address(name: str) -> bool:
     try:
         ip = ipaddress.ip_address(bare)
     except ValueError:
-        return True
+        if not re.search(r"(?:^|[.])(?:[0-9]+|0x[0-9a-f]*)$", bare):
+            return True
+        try:  # what ends in a number is an address, as short or as odd as URLs may write it, or nothing
+            ip = ipaddress.ip_address(socket.inet_aton(bare))
+        except OSError:
+            return False
     inner = getattr(ip, "ipv4_mapped", None) or getattr(ip, "sixtofour", None)
     return ip.is_global and not ip.is_multicast and (inner is None or inner.is_global)
 
