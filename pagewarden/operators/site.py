@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 import re
 from html.parser import HTMLParser
-from urllib.parse import unquote, urlsplit
+from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contacts as co
@@ -38,63 +38,50 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[^\W_ঀ-৿]+|[\wঀ-৿]+", text.lower().replace("_", " "))
 
 
-def _names(tokens: list[str], keyword: str) -> bool:
-    """Whether the keyword's words stand together among tokens; plurals fit, other scripts by prefix."""
-    want = _words(keyword)
-    fits = lambda w, k: w == k or w == k + "s" if k.isascii() else w.startswith(k)
-    return any(all(map(fits, tokens[i : i + len(want)], want)) for i in range(len(tokens) - len(want) + 1))
-
-
-def page_kind(text: str, url: str) -> tuple[str, int, bool] | None:
-    """Kind, priority and whether it is a listing of a link, or None if it isn't worth reading."""
-    u = urlsplit(url)
-    path, query = unquote(u.path).lower(), unquote(u.query).lower()
-    hay = f"{text.lower()} {path}{'?' if query else ''}{query}"
-    said, way = _words(text), _words(f"{path} {query}")
-    named = lambda k: _names(said, k) or _names(way, k)
-    if path.endswith(FILES) or any(p in hay for p in NEVER_PARTS) or any(map(named, NEVER)):
-        return None
-    segments = [s for s in path.split("/") if s]
-    for kind, priority, _, keywords in KINDS:
-        if any(map(named, keywords)):
-            if kind != "catalog":
-                return kind, priority, True
-            detail = next((i + 1 < len(segments) for i, s in enumerate(segments) if s in DETAIL), False)
-            if len(segments) > 2 or detail:
-                return None
-            last = _words(segments[-1]) if segments else []
-            return kind, priority, bool(segments and segments[0] in LISTINGS) or any(_names(last, k) for k in keywords)
-    return None
+def _said(text: Column) -> Column:
+    """The words of a text with a space around each."""
+    found = F.regexp_extract_all(F.lower(F.replace(text, F.lit("_"), F.lit(" "))), F.lit(r"(?U)[^\W_ঀ-৿]+|[\wঀ-৿]+"), F.lit(0))
+    return F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))
+
+
+def _naming(keywords: list[str]) -> str:
+    """Pattern of padded words in which a keyword stands; plurals fit, words of other scripts with any ending."""
+    word = lambda w: re.escape(w) + ("s?" if w.isascii() else "[^ ]*")
+    return " (?:" + "|".join(" ".join(map(word, _words(k))) for k in keywords) + ") "
+
+
+def _kinds(links: DataFrame) -> DataFrame:
+    """links with kind, priority, most of its kind and listing, by the first of KINDS whose keywords a link's text or address
+    has; a shop's single goods, and what is never worth reading, have none.
+
+    Columns needed: text, path and query (decoded, in lower case)."""
+    named = lambda keywords: F.col("said").rlike(_naming(keywords)) | F.col("way").rlike(_naming(keywords))
+    out = links.withColumn("said", _said(F.col("text"))).withColumn("way", _said(F.concat_ws(" ", "path", "query"))).withColumn("parts", F.filter(F.split("path", "/"), lambda x: x != ""))
+    hay = F.concat(F.lower("text"), F.lit(" "), "path", F.when(F.col("query") != "", "?").otherwise(""), "query")
+    never = F.col("path").rlike("(?:" + "|".join(map(re.escape, FILES)) + ")$") | hay.rlike("|".join(map(re.escape, NEVER_PARTS))) | named(NEVER)
+    # what the first segment of goods leads to is one of them
+    one = (F.size("parts") > 2) | F.col("path").rlike(rf"^/*(?:(?!(?:{'|'.join(DETAIL)})/)[^/]+/+)*(?:{'|'.join(DETAIL)})/+[^/]")
+    goods = next(k for kind, _, _, k in KINDS if kind == "catalog")
+    listing = F.coalesce(F.get("parts", F.lit(0)).isin(LISTINGS) | _said(F.try_element_at("parts", F.lit(-1))).rlike(_naming(goods)), F.lit(False))
+    table = [F.when(named(k), F.struct(F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), F.lit(n).alias("most"))) for kind, priority, n, k in KINDS]
+    out = out.withColumn("k", F.when(~never, F.coalesce(*table))).select("*", "k.*").filter("kind IS NOT NULL")
+    return out.filter((F.col("kind") != "catalog") | ~one).withColumn("listing", (F.col("kind") != "catalog") | listing)
 
 
 def select_pages(links: DataFrame, most: int = MAX_PAGES) -> DataFrame:
     """site, kind, url, place: pages to read, best first, from links(site, home, text, url, seq) of home pages."""
-    fields = "site string, kind string, priority int, has_query int, other int, depth int, seq bigint, url string, text string, page_key string, path_key string"
-
-    def run(frames):
-        names = [f.split()[0] for f in fields.split(", ")]
-        key = lambda u: (u.hostname or "").lower().removeprefix("www.") + u.path.rstrip("/").lower() + (f"?{u.query}" if u.query else "")
-        for frame in frames:
-            rows = []
-            for site, home, text, url, seq in frame[["site", "home", "text", "url", "seq"]].itertuples(index=False):
-                try:
-                    a, b = urlsplit(url), urlsplit(home)
-                    same = (a.hostname or "").removeprefix("www.") == (b.hostname or "").removeprefix("www.") and a.port == b.port
-                except ValueError:
-                    continue
-                if same and a.scheme in ("http", "https") and key(a) != key(b) and (found := page_kind(text or "", url)):
-                    kind, priority, listing = found
-                    url = url.partition("#")[0]
-                    rows.append((site, kind, priority, int("?" in url), int(not listing), len([s for s in a.path.split("/") if s]), seq, url, text, key(a), url.partition("?")[0]))
-            yield pd.DataFrame(rows, columns=names)
-
-    scored = links.mapInPandas(run, fields)
+    of = lambda c, part: F.coalesce(F.try_parse_url(F.replace(c, F.lit(" "), F.lit("%20")), F.lit(part)), F.lit(""))
+    own = lambda c: F.regexp_replace(F.lower(of(c, "AUTHORITY")), "^(?:[^@]*@)?(?:www[.])?", "")
+    key = lambda c: F.concat(own(c), F.lower(F.rtrim(of(c, "PATH"), F.lit("/"))), F.when(of(c, "QUERY") != "", "?").otherwise(""), of(c, "QUERY"))
+    plain = lambda c, part: F.lower(F.coalesce(F.try_url_decode(of(c, part)), of(c, part)))
+    url, home = F.col("url"), F.col("home")
+    near = links.filter(F.lower(of(url, "PROTOCOL")).isin("http", "https") & (own(url) == own(home)) & (key(url) != key(home)))
+    near = near.select("site", F.coalesce("text", F.lit("")).alias("text"), "seq", F.substring_index("url", "#", 1).alias("url"), key(url).alias("page_key"), plain(url, "PATH").alias("path"), plain(url, "QUERY").alias("query"))
+    scored = _kinds(near).withColumn("has_query", F.col("url").contains("?")).withColumn("other", ~F.col("listing")).withColumn("depth", F.size("parts")).withColumn("path_key", F.substring_index("url", "?", 1))
     best = [F.desc("priority"), "has_query", "other", "depth", "seq"]
-    once = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy("site", *by).orderBy(*best))).filter("r = 1").drop("r")
-    first = scored.withColumn("r", F.row_number().over(Window.partitionBy("site", "page_key").orderBy("seq"))).filter("r = 1").drop("r")
-    limits = F.create_map(*[F.lit(x) for k, _, n, _ in KINDS for x in (k, n)])
-    some = once(first, "path_key").withColumn("n", F.row_number().over(Window.partitionBy("site", "kind").orderBy(*best))).filter(F.col("n") <= limits[F.col("kind")])
-    return some.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy(*best))).filter(F.col("place") <= most).select("site", "kind", "url", "text", "place")
+    first = lambda df, n, order, *by: df.withColumn("r", F.row_number().over(Window.partitionBy("site", *by).orderBy(*order))).filter(F.col("r") <= n)
+    once = first(first(scored, 1, ["seq"], "page_key"), 1, best, "path_key")
+    return first(first(once, F.col("most"), best, "kind"), most, best).select("site", "kind", "url", "text", F.col("r").alias("place"))
 
 
 STYLE, STYLE_END = re.compile(r"(?i)<style[^>]*>"), re.compile(r"(?i)</style\s*>")

@@ -62,11 +62,11 @@ def test_words_and_robots_bits():
 
 
 def test_contacts():
-    assert co.find_phones("Call us: +880 1711-223344 or 01711223344. Hotline: 16516\nOrder no 123456") == ["+880 1711-223344", "16516"]
-    assert co.find_phones("Open 10.00 - 18.00, contact 2020-10-11, tk 50000") == []
-    assert co.find_phones("ফোন: ০১৭১১২২৩৩৪৪") == ["01711223344"]
+    assert co.find_phones("Phone +880 1856-909131, at night 01856909131. Helpline: 16247\nInvoice no 730915") == ["+880 1856-909131", "16247"]
+    assert co.find_phones("Mobile hours 9.30 - 17.15, call since 2019-03-08, taka 41500") == []
+    assert co.find_phones("মোবাইল ০১৮৫৬৯০৯১৩১") == ["01856909131"]
     assert co.find_emails("a [at] b [dot] com, x@y.png, Foo@Bar.org 0123456789abcdef0@x.com") == ["a@b.com", "foo@bar.org"]
-    assert co.find_whatsapp("https://wa.me/88016270-98372") == ["https://wa.me/8801627098372"]
+    assert co.find_whatsapp("https://wa.me/88019347 21560") == ["https://wa.me/8801934721560"]
     assert co.facebook_page("https://m.facebook.com/profile.php?id=12") == "https://www.facebook.com/profile.php?id=12"
     assert co.facebook_page("https://facebook.com/sharer.php?u=x") is None
     assert co.instagram_profile("http://instagram.com/p/abc") is None
