@@ -27,17 +27,23 @@ def simhashes(rows: DataFrame, text: str, id: str = "doc_id") -> DataFrame:
     return tokens.groupBy(id).agg(F.expr(tx.simhash_sums(SPARK, "h")).alias("simhash"))
 
 
-def near_pairs(hashes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def near_pairs(hashes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, keep: tuple[str, ...] = ()) -> DataFrame:
     """a, b, distance for two different simhashes within `distance` bits: the hashes themselves, as rows
-    with one hash are one class. Keys are the blocks that can stay equal, so each is long and selective."""
+    with one hash are one class. Keys are the blocks that can stay equal, so each is long and selective.
+
+    keep: columns that depend on the simhash alone, given as {name}_a and {name}_b."""
     width = tx.SIMHASH_BITS // blocks
-    value = lambda i: F.shiftright("simhash", i * width).bitwiseAND((1 << width) - 1)
     choices = list(combinations(range(blocks), blocks - distance))
-    keys = F.array(*[F.struct(F.lit(n).alias("table"), *[value(i).alias(f"v{j}") for j, i in enumerate(c)]) for n, c in enumerate(choices)])
-    one = hashes.filter("simhash <> 0").select("simhash").distinct().select("simhash", F.explode(keys).alias("key"))
-    a, b = one.select(F.col("simhash").alias("a"), "key"), one.select(F.col("simhash").alias("b"), "key")
-    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return a.join(b, "key").filter((F.col("a") < F.col("b")) & (bits <= distance)).select("a", "b", bits.alias("distance")).distinct()
+    masks = [sum(((1 << width) - 1) << i * width for i in c) for c in choices]
+    keys = F.array(*[F.struct(F.lit(n).alias("table"), F.col("simhash").bitwiseAND(mask).alias("part")) for n, mask in enumerate(masks)])
+    one = hashes.filter("simhash <> 0").select("simhash", *keep).distinct().select("simhash", *keep, F.explode(keys).alias("key")).select("simhash", *keep, "key.*")
+    side = lambda x: one.select(F.col("simhash").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in keep], "table", "part")
+    # Spark measures a side before its keys are exploded and would broadcast it through the driver.
+    met = side("a").hint("merge").join(side("b").hint("merge"), ["table", "part"]).filter("a < b")
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    # Of the tables in which a pair meets, the first gives it.
+    first = F.coalesce(*[F.when(differ.bitwiseAND(mask) == 0, F.lit(n)) for n, mask in enumerate(masks)])
+    return met.filter(F.bit_count(differ) <= distance).filter(first == F.col("table")).select("a", "b", F.bit_count(differ).alias("distance"), *[f"{c}_{x}" for c in keep for x in ("a", "b")])
 
 
 def first_of_class(hashes: DataFrame, id: str = "doc_id") -> DataFrame:

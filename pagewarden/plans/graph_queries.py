@@ -98,10 +98,8 @@ def simhash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dup_content_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of simhash classes within three bits, with each class's first document and size."""
-    hashes = dup.simhashes(load(spark, sf_dir, "documents"), "text")
-    classes = dup.first_of_class(hashes)
-    a, b = (classes.select(F.col("simhash").alias(x), F.col("first_id").alias(f"first_{x}"), F.col("rows").alias(f"rows_{x}")) for x in ("a", "b"))
-    return dup.near_pairs(hashes).join(a, "a").join(b, "b").select("first_a", "rows_a", "first_b", "rows_b", F.col("distance").cast("int").alias("distance"))
+    classes = dup.first_of_class(dup.simhashes(load(spark, sf_dir, "documents"), "text")).withColumnRenamed("first_id", "first")
+    return dup.near_pairs(classes, keep=("first", "rows")).select("first_a", "rows_a", "first_b", "rows_b", F.col("distance").cast("int").alias("distance"))
 
 
 @sql_query("broken_internal_links", "lineitem", "supplier")

@@ -43,3 +43,17 @@ def test_redirects_longer_than_a_thousand(spark):
     assert len(got) == len(chain) + len(loop)
     assert all(got[i] == (list(range(i, 1101)), False) for i in range(1100))
     assert got[5001] == ([*range(5001, 6050), 5000, 5001], True) and got[9000] == ([9000, *range(5000, 6050), 5000], True)
+
+
+def test_near_pairs_by_shuffles(spark):
+    """The keys of a hash, twenty times its rows, are not broadcast through the driver."""
+    from pagewarden.operators import duplicates as dup
+
+    values = [(1 << 59) - 7 * i for i in range(40)] + [5 ^ 1 << i for i in range(0, 60, 3)] + [5, 5, 0]
+    hashes = spark.createDataFrame([(i, v, f"n{v}") for i, v in enumerate(values)], "doc_id long, simhash long, name string")
+    near = dup.near_pairs(hashes.select("simhash"))
+    want = {(a, b, (a ^ b).bit_count()) for a in values for b in values if 0 < a < b and (a ^ b).bit_count() <= 3}
+    assert sorted(map(tuple, near.collect())) == sorted(want)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    named = dup.near_pairs(hashes.drop("doc_id"), keep=("name",))
+    assert {(r["a"], r["b"], r["name_a"], r["name_b"]) for r in named.collect()} == {(a, b, f"n{a}", f"n{b}") for a, b, _ in want}
