@@ -4,13 +4,17 @@ Edges are rows (src, dst, edge_type, is_nofollow), a row for each occurrence, so
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import stage
+from ..staging import bucketed, stage
 
 # Fixed values of PageRank.
 DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
+#: Nodes and links that a group has at most to be iterated within a task.
+LOCAL = 500
 
 
 def build_graph(pages: DataFrame, links: DataFrame, sitemap: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -43,31 +47,181 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return all_.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+class _Closed:
+    """Groups of nodes that no link leaves or enters, each a row of its nodes and links, iterated within tasks: LOCAL bounds
+    a group, numpy takes a batch of them at once. Only sums by round reach the driver."""
+
+    def __init__(self, packed: DataFrame):
+        self.packed = packed
+
+    @staticmethod
+    def _batch(frame):
+        size = frame["n"].to_numpy(np.int64)
+        at = np.concatenate(([0], np.cumsum(size)[:-1]))
+        ends = [np.concatenate([x.astype(np.int64) + o for x, o in zip(frame[c], at)]) for c in ("a", "b")]
+        out = np.bincount(ends[0], minlength=int(size.sum()))
+        share = DAMPING / out[ends[0]]
+        known = ends[1] >= np.repeat(at, [len(x) for x in frame["a"]])  # a link to no node has the place -1
+        a, b, share = ends[0][known], ends[1][known], share[known]
+        return out == 0, lambda r: np.bincount(b, weights=r[a] * share, minlength=len(out))
+
+    def _sums(self, each, rounds: int) -> list[float]:
+        batch = self._batch
+
+        def run(frames):
+            for f in frames:
+                yield pd.DataFrame({"k": range(rounds + 1), "x": each(*batch(f))})
+
+        sums = {r["k"]: r["x"] for r in self.packed.select("n", "a", "b").mapInPandas(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()}
+        return [sums.get(k, 0.0) for k in range(rounds + 1)]
+
+    def lost(self, rounds: int) -> list[float]:
+        """What nodes without out-links hold after each round if every node starts with 1 and nothing is given to all."""
+
+        def each(ends, step):
+            v, out = np.ones(len(ends)), []
+            for _ in range(rounds + 1):
+                out.append(v[ends].sum())
+                v = step(v)
+            return out
+
+        return self._sums(each, rounds)
+
+    def moved(self, n: int, base: list[float]) -> list[float]:
+        """How far each round moves the ranks. base: what round i gives to each node."""
+
+        def each(ends, step):
+            r, out = np.full(len(ends), 1.0 / n), [np.inf]
+            for x in base[1:]:
+                new = x + step(r)
+                out.append(np.abs(new - r).sum())
+                r = new
+            return out
+
+        return self._sums(each, len(base) - 1)
+
+    def ranks(self, n: int, base: list[float]) -> DataFrame:
+        batch = self._batch
+
+        def run(frames):
+            for f in frames:
+                ends, step = batch(f)
+                r = np.full(len(ends), 1.0 / n)
+                for x in base[1:]:
+                    r = x + step(r)
+                yield pd.DataFrame({"node": [x for names in f["nodes"] for x in names], "rank": r})
+
+        kind = self.packed.schema["nodes"].dataType.elementType.simpleString()
+        return self.packed.select("n", "a", "b", "nodes").mapInPandas(run, f"node {kind}, rank double")
+
+
+def _closed(nodes: DataFrame, links: DataFrame, part) -> tuple[_Closed, DataFrame | None, DataFrame | None]:
+    """Groups by `part` that are closed and small, and the nodes and links of all others, None if there are none."""
+    p, q = part("src"), part("dst")
+    end = lambda group, count: F.struct(group.alias("part"), F.lit(count).alias("size"), F.coalesce(p != q, F.lit(True)).alias("open"))
+    met = links.select(F.explode(F.array(end(p, 1), end(q, 0))).alias("e")).select("e.*")
+    sizes = nodes.select(part("node").alias("part"), F.lit(1).alias("size"), F.lit(False).alias("open")).unionByName(met)
+    sizes = stage(sizes.groupBy("part").agg((F.max("open") | (F.sum("size") > LOCAL) | F.col("part").isNull()).alias("open")), "parts")
+    local = sizes.filter("NOT open").select("part")
+    none = F.lit(None).cast(nodes.schema["node"].dataType)
+    rows = nodes.select(part("node").alias("part"), F.col("node").alias("src"), none.alias("dst")).unionByName(links.select(p.alias("part"), "src", "dst"))
+    rows = rows.join(local, "part").groupBy("part").agg(F.collect_list(F.when(F.col("dst").isNull(), F.col("src"))).alias("nodes"), F.collect_list(F.when(F.col("dst").isNotNull(), F.struct("src", "dst"))).alias("links"))
+
+    def place(frames):
+        for f in frames:
+            found = [(names, {x: i for i, x in enumerate(names)}, a, b) for names, a, b in zip(f["nodes"], f["a"], f["b"])]
+            kept = [(names, at, [(at[x], at.get(y, -1)) for x, y in zip(a, b) if x in at]) for names, at, a, b in found]
+            yield pd.DataFrame({"nodes": [names for names, _, _ in kept], "n": [len(at) for _, at, _ in kept], "a": [[x for x, _ in e] for *_, e in kept], "b": [[y for _, y in e] for *_, e in kept]})
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    packed = rows.select("nodes", F.col("links.src").alias("a"), F.col("links.dst").alias("b")).mapInPandas(place, f"nodes array<{kind}>, n int, a array<int>, b array<int>")
+    closed = _Closed(stage(packed, "closed"))
+    if not sizes.filter("open").limit(1).count():
+        return closed, None, None
+    outside = lambda df, end: df.join(local.select(F.col("part").alias("p")), part(end) == F.col("p"), "left_anti")
+    return closed, stage(outside(nodes, "node"), "nodes"), outside(links, "src")
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE, part=None) -> DataFrame:
     """node, rank over followed hyperlinks; nodes without out-links give to all. Ranks sum to 1.
 
-    Parallel edges are one edge with a weight. A round is a join and an aggregate over staged tables, the
-    only figures that reach the driver are two sums."""
+    Parallel edges are one edge with a weight. Links lie in buckets by source and ranks in buckets by node, so a round
+    shuffles only what nodes get; the only figures that reach the driver are sums. part: a function of a column's name
+    that gives a node's group, such as a host; small groups that no link leaves are iterated within tasks.
+
+    A round gives each node base + DAMPING * what it gets, so ranks after k rounds are the sum over j of
+    base[k - j] * v[j] (1 / n for base[0]), where v[0] is 1 everywhere and v[j] what nodes get of v[j - 1]. If rounds are fixed,
+    these v are passed on in place of ranks: nodes to which no path of j links leads drop out."""
     nodes = stage(nodes.select("node").distinct(), "nodes")
     n = nodes.count()
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("rank"))
-    weights = edges.filter("edge_type = 'hyperlink' AND NOT is_nofollow").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
-    weights = stage(weights, "weights")
-    out = weights.groupBy("src").agg(F.sum("w").alias("total"))
-    shares = stage(weights.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "shares")
-    ranks = stage(nodes.join(out.select(F.col("src").alias("node"), F.lit(True).alias("gives")), "node", "left").select("node", F.coalesce("gives", F.lit(False)).alias("gives"), F.lit(1.0 / n).alias("rank")), "ranks")
-    for _ in range(rounds):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(~F.col("gives"), F.col("rank"))), F.lit(0.0)).alias("x")).first()["x"]
-        got = shares.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        base = (1 - DAMPING) / n + DAMPING * lost / n
-        new = ranks.join(got, "node", "left").select("node", "gives", (F.lit(base) + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
-        new = stage(new, "ranks")
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("x")).first()["x"]
-        ranks = new.drop("old")
-        if moved < tolerance:
-            break
-    whole = ranks.agg(F.sum("rank").alias("x")).first()["x"]
+    links = edges.filter("edge_type = 'hyperlink' AND NOT is_nofollow").select("src", "dst")
+    closed = None
+    if part is not None:
+        closed, nodes, links = _closed(nodes, links, part)
+    held = closed.lost(rounds) if closed else [0.0] * (rounds + 1)
+    base, tables = [1.0 / n], []
+
+    def bucket(df, name, key):
+        out, table = bucketed(df, name, key)
+        tables.append(table)
+        return out
+
+    def lost(k, sums):
+        return sums[k] / n + sum(base[k - j] * sums[j] for j in range(k))
+
+    def give(x):
+        base.append((1 - DAMPING) / n + DAMPING * x / n)
+
+    ranks, summed = None, lambda df, c: df.agg(F.coalesce(F.sum(c), F.lit(0.0)).alias("x")).first()["x"]
+    if nodes is None:
+        for k in range(rounds):
+            give(lost(k, held))
+        if tolerance > 0:
+            stop = next((k for k, x in enumerate(closed.moved(n, base)) if x < tolerance), rounds)
+            base = base[: stop + 1]
+    else:
+        # Rows come dealt by source, so weights, their sums and the buckets need one exchange.
+        counted = links.repartition(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+        shares = bucket(counted.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("share")), "shares", "src")
+        gives = shares.select(F.col("src").alias("node")).distinct().withColumn("gives", F.lit(True))
+        nodes = bucket(nodes.join(gives, "node", "left").select("node", F.coalesce("gives", F.lit(False)).alias("gives")), "nodes", "node")
+        got_of = lambda df, c: shares.join(df.select(F.col("node").alias("src"), F.col(c).alias("x")), "src").groupBy(F.col("dst").alias("node")).agg((DAMPING * F.sum(F.col("x") * F.col("share"))).alias("got"))
+        loose = lambda df, c: summed(df, F.when(~F.col("gives"), F.col(c)))
+        if tolerance > 0:
+            ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+            for k in range(rounds):
+                give(lost(k, held) + loose(ranks, "rank"))
+                new = ranks.join(got_of(ranks, "rank"), "node", "left").select("node", "gives", (F.lit(base[-1]) + F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
+                ranks = bucket(new, "ranks", "node")
+                moved = summed(ranks, F.abs(F.col("rank") - F.col("old")))
+                ranks = ranks.drop("old")
+                if moved < tolerance and (not closed or moved + closed.moved(n, base)[-1] < tolerance):
+                    break
+        else:
+            parts = [nodes.withColumn("v", F.lit(1.0))]
+            sums = [held[0] + loose(parts[0], "v")]
+            for k in range(rounds):
+                give(lost(k, sums))
+                # A node that gets nothing isn't written; neither is one outside of nodes.
+                v = got_of(parts[-1], "v") if k else shares.groupBy(F.col("dst").alias("node")).agg((DAMPING * F.sum("share")).alias("got"))
+                parts.append(bucket(nodes.join(v.filter("got > 0"), "node").select("node", "gives", F.col("got").alias("v")), "v", "node"))
+                sums.append(held[k + 1] + loose(parts[-1], "v"))
+            each = [p.select("node", (F.lit(base[rounds - j]) * F.col("v")).alias("x")) for j, p in enumerate(parts) if j]
+            rest = nodes.select("node", F.lit(0.0).alias("x")).limit(0)
+            for p in each:
+                rest = rest.unionByName(p)
+            rest = rest.groupBy("node").agg(F.sum("x").alias("x"))
+            ranks = nodes.join(rest, "node", "left").select("node", (F.lit(base[rounds]) + F.coalesce("x", F.lit(0.0))).alias("rank"))
+        ranks = ranks.select("node", "rank")
+    if closed:
+        own = closed.ranks(n, base)
+        ranks = own if ranks is None else ranks.unionByName(own)
+    ranks = stage(ranks, "ranks")
+    for table in tables:
+        ranks.sparkSession.sql(f"DROP TABLE {table}")
+    whole = summed(ranks, "rank")
     return ranks.select("node", (F.col("rank") / F.lit(whole)).alias("rank"))
 
 

@@ -57,3 +57,51 @@ def test_near_pairs_by_shuffles(spark):
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
     named = dup.near_pairs(hashes.drop("doc_id"), keep=("name",))
     assert {(r["a"], r["b"], r["name_a"], r["name_b"]) for r in named.collect()} == {(a, b, f"n{a}", f"n{b}") for a, b, _ in want}
+
+
+def _ranks(nodes, links, rounds, tolerance):
+    """PageRank in plain Python."""
+    n, out = len(nodes), {}
+    for a, b in links:
+        out.setdefault(a, []).append(b)
+    ranks = dict.fromkeys(nodes, 1 / n)
+    for _ in range(rounds):
+        new = dict.fromkeys(nodes, (0.15 + 0.85 * sum(r for x, r in ranks.items() if x not in out)) / n)
+        for a, bs in out.items():
+            for b in bs:
+                if a in ranks and b in new:
+                    new[b] += 0.85 * ranks[a] / len(bs)
+        moved, ranks = sum(abs(new[x] - ranks[x]) for x in nodes), new
+        if moved < tolerance:
+            break
+    return {x: r / sum(ranks.values()) for x, r in ranks.items()}
+
+
+@pytest.mark.parametrize("rounds, tolerance", [(8, 0.0), (60, 1e-3)])
+@pytest.mark.parametrize("joined", [False, True])
+def test_pagerank_of_closed_and_open_groups(spark, rounds, tolerance, joined, monkeypatch):
+    """Small sites on their own are iterated within tasks, others by joins; both as plain Python has it."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(g, "LOCAL", 30)
+    links = [(f"{s}/{a}", f"{s}/{b}") for s in "xyz" for a, b in [(0, 1), (1, 0), (1, 2), (1, 2), (3, 1), (2, 4)]] + [("x/1", "x/gone")]
+    if joined:
+        links += [("w/0", "x/1"), ("w/1", "w/0")] + [(f"big/{i}", f"big/{i * 7 % 25}") for i in range(40)]
+    nodes = sorted({x for link in links for x in link} - {"x/gone"} | {"lone/0"})
+    edges = spark.createDataFrame([(a, b, "hyperlink", False) for a, b in links], "src string, dst string, edge_type string, is_nofollow boolean")
+    got = g.pagerank(spark.createDataFrame([(x,) for x in nodes], "node string"), edges, rounds, tolerance, part=lambda c: F.split(c, "/")[0])
+    want = _ranks(nodes, links, rounds, tolerance)
+    assert {r["node"]: pytest.approx(r["rank"], rel=1e-9) for r in got.collect()} == want
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("pagewarden_")]
+
+
+def test_a_round_of_pagerank_writes_little(spark, tmp_path, monkeypatch):
+    """Nodes that no path of so many links reaches are not written again."""
+    written = []
+    whole = g.bucketed
+    monkeypatch.setattr(g, "bucketed", lambda df, name, key: written.append((name, (out := whole(df, name, key))[0].count())) or out)
+    edges = spark.createDataFrame([(i, i + 1, "hyperlink", False) for i in range(50)], "src long, dst long, edge_type string, is_nofollow boolean")
+    nodes = spark.createDataFrame([(i,) for i in range(51)], "node long")
+    got = {r["node"]: r["rank"] for r in g.pagerank(nodes, edges, 8, 0.0).collect()}
+    assert {x: pytest.approx(r, rel=1e-9) for x, r in got.items()} == _ranks(range(51), [(i, i + 1) for i in range(50)], 8, 0.0)
+    assert written == [("shares", 50), ("nodes", 51)] + [("v", 50 - j) for j in range(8)]
