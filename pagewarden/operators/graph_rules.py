@@ -93,6 +93,6 @@ def graph_rules(pages: DataFrame, links: DataFrame, tags: DataFrame, sitemap: Da
         .unionByName(_found(chains, "url", "WARN_GRAPH_REDIRECT_CHAIN", F.col("r")))
         .unionByName(_found(g.canonical_loops(edges), "a", "ERR_GRAPH_CANONICAL_LOOP", F.col("b")))
         .unionByName(duplicate_rules(pages))
-        .unionByName(architecture(pages, g.degrees(names, edges), g.pagerank(names, edges)))
+        .unionByName(architecture(pages, g.degrees(names, edges), g.pagerank(names, edges, part=lambda node: ux.column(ux.host, node))))
         .unionByName(hreflang_rules(pages, tags))
     )

@@ -105,3 +105,9 @@ def test_a_round_of_pagerank_writes_little(spark, tmp_path, monkeypatch):
     got = {r["node"]: r["rank"] for r in g.pagerank(nodes, edges, 8, 0.0).collect()}
     assert {x: pytest.approx(r, rel=1e-9) for x, r in got.items()} == _ranks(range(51), [(i, i + 1) for i in range(50)], 8, 0.0)
     assert written == [("shares", 50), ("nodes", 51)] + [("v", 50 - j) for j in range(8)]
+
+
+def test_small_sites_need_no_join_a_round(spark, monkeypatch):
+    """Links within a host: each of the little sites is iterated within a task, and no round writes a table."""
+    monkeypatch.setattr(g, "bucketed", lambda *a: pytest.fail("a round by joins"))
+    assert registry.QUERIES["case_graph_issues"](spark, SF).filter("code = 'WARN_LOW_INTERNAL_PAGERANK_HUB'").count() > 0
