@@ -309,3 +309,35 @@ def test_site_document(spark):
     h = site.head_facts('<base href="/x/"><meta property="og:site_name" content="B"><link rel=stylesheet href="a.css"><link rel=stylesheet href="https://fonts.googleapis.com/css?family=Lato"><link rel=icon href=i.ico><div class="partner-logos"><img src="/p/logo.png" class="partner logo"></div><header><a href="/"><img src="/l.png" alt="Our logo"></a></header><a href="c">  <b>C</b></a>', "https://b.com/")
     assert h["site_name"] == "B" and h["stylesheets"] == ["https://b.com/x/a.css"] and h["web_fonts"] == ["Lato"] and h["logos"] == ["https://b.com/l.png"] and {"url": "https://b.com/x/c", "text": "C"} in h["anchors"]
     assert site.to_markdown("<h2>Hi</h2><ul><li>a</li></ul><p hidden>no</p><script>x</script>", "https://b.com/") == "## Hi\n\n- a"
+
+
+def test_site_documents_parses_a_page_once(spark, tmp_path):
+    """The branches of a site's document share one reading of its pages."""
+    made = spark.range(6).select(F.lit("s.example").alias("site"), F.concat(F.lit("https://s.example/"), "id").alias("url"), F.lit("page").alias("kind"), F.lit("<p>Call 01712345678</p>").alias("html"))
+    folder = str(tmp_path)
+
+    def count(frames):
+        import uuid
+
+        for f in frames:
+            for _ in range(len(f)):
+                open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+            yield f
+
+    docs = site.page_documents(made.mapInPandas(count, "site string, url string, kind string, html string"))
+    d = site.site_documents(docs).collect()
+    assert len(d) == 1 and len(d[0]["pages"]) == 6 and d[0]["phones"] == ["01712345678"]
+    assert len(list(tmp_path.iterdir())) == 6
+
+
+def test_pages_are_parsed_in_pieces():
+    """A batch is handed on in parts, so that a worker doesn't hold the parsed rows of all of it."""
+    import pandas as pd
+
+    from pagewarden.sources import html as h
+
+    frame = pd.DataFrame({"body": ["x" * 10] * 450 + [None, "y" * 9_000_000, "z"] + ["w" * 1_500_000] * 3})
+    parts = list(h.pieces(frame, "body"))
+    assert pd.concat(parts).equals(frame)
+    assert [len(p) for p in parts] == [200, 200, 51, 1, 3, 1]
+    assert list(h.pieces(frame[:0], "body")) == []
