@@ -11,6 +11,8 @@ from . import duplicates as dup
 from . import graph as g
 
 MIN_WORDS = 50
+#: Alternates that a task of their joins gets on average at most.
+TASK_TAGS = 250_000
 
 
 def _found(df: DataFrame, url: str, code: str, related=None) -> DataFrame:
@@ -28,13 +30,17 @@ def orphans(pages: DataFrame, sitemap: DataFrame, edges: DataFrame, exhaustive:
 def hreflang_rules(pages: DataFrame, tags: DataFrame) -> DataFrame:
     """Alternates against their crawled targets: status, canonical, and whether they point back.
     tags(page_url, lang_code, target_url); pages(url, status_code, canonical_url)."""
-    target = pages.select(F.col("url").alias("target_url"), F.col("status_code").alias("t_status"), F.col("canonical_url").alias("t_canonical"))
-    met = tags.join(target, "target_url")
-    back = tags.select(F.col("page_url").alias("target_url"), F.col("target_url").alias("page_url")).distinct()
+    # Both joins sort their rows: the more tags, the more tasks, so that what a task holds stays as it is.
+    n = max(int(tags.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tags.count() // TASK_TAGS))
+    target = pages.select(F.col("url").alias("target_url"), F.col("status_code").alias("t_status"), F.col("canonical_url").alias("t_canonical")).repartition(n, "target_url")
+    dealt = lambda df: df.repartition(n, "target_url")
+    met = dealt(tags).join(target, "target_url")
+    back = tags.select(F.col("page_url").alias("target_url"), F.col("target_url").alias("page_url")).repartition(n, "target_url", "page_url")
+    lone = tags.repartition(n, "target_url", "page_url").join(back, ["target_url", "page_url"], "left_anti")
     return (
         _found(met.filter("t_status >= 300"), "page_url", "ERR_HREFLANG_TO_BROKEN_OR_REDIRECT", F.col("target_url"))
         .unionByName(_found(met.filter("t_canonical <> target_url"), "page_url", "ERR_HREFLANG_TO_NON_CANONICAL", F.col("target_url")))
-        .unionByName(_found(met.join(back, ["target_url", "page_url"], "left_anti"), "page_url", "ERR_HREFLANG_NOT_RECIPROCAL", F.col("target_url")))
+        .unionByName(_found(dealt(lone).join(target, "target_url"), "page_url", "ERR_HREFLANG_NOT_RECIPROCAL", F.col("target_url")))
     )
 
 

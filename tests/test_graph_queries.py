@@ -111,3 +111,14 @@ def test_small_sites_need_no_join_a_round(spark, monkeypatch):
     """Links within a host: each of the little sites is iterated within a task, and no round writes a table."""
     monkeypatch.setattr(g, "bucketed", lambda *a: pytest.fail("a round by joins"))
     assert registry.QUERIES["case_graph_issues"](spark, SF).filter("code = 'WARN_LOW_INTERNAL_PAGERANK_HUB'").count() > 0
+
+
+def test_alternates_get_more_tasks_with_their_number(spark, monkeypatch):
+    monkeypatch.setattr(gr, "TASK_TAGS", 10, raising=False)
+    tags = spark.range(400).selectExpr("concat('p', id % 200) AS page_url", "'x' AS lang_code", "concat('p', (id * 7 + 3) % 200) AS target_url")
+    pages = tags.selectExpr("page_url AS url", "200 AS status_code", "cast(NULL AS string) AS canonical_url").distinct()
+    found = gr.hreflang_rules(pages, tags).filter("code = 'ERR_HREFLANG_NOT_RECIPROCAL'")
+    pairs = [(f"p{i % 200}", f"p{(i * 7 + 3) % 200}") for i in range(400)]
+    assert sorted((r["url"], r["related"]) for r in found.collect()) == sorted((a, b) for a, b in pairs if (b, a) not in pairs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ", 40), REPARTITION_BY_NUM" in plan
