@@ -11,6 +11,7 @@ from ..operators import duplicates as dup
 from ..operators import graph as g
 from ..operators import graph_rules as gr
 from ..sources import markup
+from ..staging import bucketed
 from .registry import load, query, sql_query, views
 
 #: A directed multigraph over part numbers, a row of lineitem an edge.
@@ -205,9 +206,13 @@ def pagerank_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def graph_architecture_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _whole_edges(spark, sf_dir)
-    nodes = _nodes(edges)
+    # Degrees name every end of an edge, so these are dealt by node once and all else reads them in their buckets.
+    degrees, table = bucketed(g.degrees(edges.select(F.col("src").alias("node")).limit(0), edges), "degrees", "node")
+    nodes = degrees.select("node")
     pages = nodes.select(F.col("node").alias("url"), (F.col("node") % 7).cast("int").alias("crawl_depth"))
-    return gr.architecture(pages, g.degrees(nodes, edges), g.pagerank(nodes, edges, rounds=8, tolerance=0.0)).select("url", "code")
+    ranks = g.pagerank(nodes, edges, rounds=8, tolerance=0.0)
+    spark.sql(f"DROP TABLE {table}")  # its files stay until the session ends
+    return gr.architecture(pages, degrees, ranks).select("url", "code")
 
 
 @query(

@@ -122,3 +122,14 @@ def test_alternates_get_more_tasks_with_their_number(spark, monkeypatch):
     assert sorted((r["url"], r["related"]) for r in found.collect()) == sorted((a, b) for a, b in pairs if (b, a) not in pairs)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert ", 40), REPARTITION_BY_NUM" in plan
+
+
+def test_architecture_deals_nodes_once(spark, monkeypatch):
+    """The ends of all links are shuffled for the degrees alone; pages and ranks take the nodes from their buckets."""
+    read = []
+    for module, name in ((gr, "architecture"), (g, "pagerank")):
+        whole = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df, *a, whole=whole, **b: read.append("l_partkey" in df._jdf.queryExecution().optimizedPlan().toString()) or whole(df, *a, **b))
+    found = registry.QUERIES["graph_architecture_whole"](spark, SF)
+    assert read == [False, False]
+    assert found.count() > 0 and not [t for t in spark.catalog.listTables() if t.name.startswith("pagewarden_")]
