@@ -341,3 +341,21 @@ def test_pages_are_parsed_in_pieces():
     assert pd.concat(parts).equals(frame)
     assert [len(p) for p in parts] == [200, 200, 51, 1, 3, 1]
     assert list(h.pieces(frame[:0], "body")) == []
+
+
+def test_a_batch_of_pages_stays_in_arrow(spark):
+    """Of a batch only the pages of one part become Python objects; its other columns are handed on as they came."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    parsed = to_arrow_schema(StructType.fromDDL(html.PARSED))
+    bodies = [f"<title>t{i}</title><p>one two" for i in range(450)] + [None]
+    batch = pa.RecordBatch.from_pydict({"body": bodies, "url": [f"https://a.example/{i}" for i in range(450)] + [None], "headers": pa.array([[("k", str(i))] for i in range(451)], pa.map_(pa.string(), pa.string()))})
+    parts = list(html.parse_batch(batch, "body", "url", parsed))
+    assert [p.num_rows for p in parts] == [200, 200, 51]
+    assert [x.equals(y) for p, at in zip(parts, (0, 200, 400)) for x, y in zip(p.columns, batch.slice(at, p.num_rows).columns)] == [True] * 9
+    assert all(x.buffers()[-1].address == y.buffers()[-1].address for p in parts for x, y in zip(p.columns[:2], batch.columns[:2]))
+    assert [t for p in parts for t in p.column("title").to_pylist()] == [f"t{i}" for i in range(450)] + [None]
+    assert {n for p in parts for n in p.column("word_count").to_pylist()[:50]} == {2}
+    assert parts[0].schema.names == [*batch.schema.names, *parsed.names]
